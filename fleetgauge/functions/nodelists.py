@@ -11,7 +11,9 @@ RANGE = r"^[0-9]+(-[0-9]+)?$"
 
 NODES_OBJECT = "STRUCT<allocation: ARRAY<STRUCT<name: STRING>>, list: STRING>"
 
-NO_NODES = F.array().cast("array<string>")
+
+def no_nodes() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _numbered(prefix: Column, part: Column) -> Column:
@@ -40,7 +42,7 @@ def expand(text: Column) -> Column:
     parts = F.split(F.regexp_extract(trimmed, COMPACT, 2), ",")
     names = F.flatten(F.transform(parts, lambda part: _numbered(prefix, part)))
     return (
-        F.when(F.coalesce(text, F.lit("")) == "", NO_NODES)
+        F.when(F.coalesce(text, F.lit("")) == "", no_nodes())
         .when(~trimmed.rlike(COMPACT), F.array(text))
         .when(F.forall(parts, lambda part: part.rlike(RANGE)), names)
     )

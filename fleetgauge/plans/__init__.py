@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from fleetgauge.plans import history, trips  # noqa: F401
+from fleetgauge.plans import (  # noqa: F401
+    clusters,
+    history,
+    jobs,
+    processes,
+    selection,
+    snapshots,
+    timelines,
+    trips,
+)
 from fleetgauge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
