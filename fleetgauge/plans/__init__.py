@@ -7,6 +7,7 @@ from fleetgauge.plans import (  # noqa: F401
     processes,
     selection,
     snapshots,
+    streams,
     timelines,
     trips,
 )

@@ -28,9 +28,9 @@ def _poll_ts(poll: str):
 # ---------------------------------------------------------------- samples, trips
 
 
-def samples(spark: SparkSession, folder: str) -> DataFrame:
+def samples_of(events: DataFrame) -> DataFrame:
     """One sample per event; values are exact, so sums do not depend on their order."""
-    return table(spark, folder, "events").select(
+    return events.select(
         F.expr("concat('u', user_id)").alias("entity_id"),
         F.col("event_type").alias("metric"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -39,6 +39,10 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def samples(spark: SparkSession, folder: str) -> DataFrame:
+    return samples_of(table(spark, folder, "events"))
+
+
 def trips(spark: SparkSession, folder: str) -> DataFrame:
     """One trip per event, with the time as a timestamp."""
     return table(spark, folder, "events").select(
@@ -289,12 +293,12 @@ def _timeline_document(shape: str):
     return f"concat({out})"
 
 
-def timeline_polls(spark: SparkSession, folder: str) -> DataFrame:
+def timeline_polls_of(events: DataFrame) -> DataFrame:
     """One landed timeline document per event; documents of a series overlap."""
     cases = " ".join(
         f"WHEN {i} THEN {_timeline_document(shape)}" for i, shape in enumerate(TIMELINE_SHAPES)
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.expr("user_id % 5").alias("job_id"),
         F.col("event_type").alias("metric"),
         F.expr("CASE WHEN user_id % 2 = 0 THEN 'timeline' ELSE 'timeline_extern' END").alias("endpoint"),
@@ -304,6 +308,10 @@ def timeline_polls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def timeline_polls(spark: SparkSession, folder: str) -> DataFrame:
+    return timeline_polls_of(table(spark, folder, "events"))
+
+
 def job_detail_polls(spark: SparkSession, folder: str) -> DataFrame:
     """Job detail documents in all shapes they may land in."""
     return table(spark, folder, "orders").select(
