@@ -26,11 +26,12 @@ def or_unknown(value: Column) -> Column:
 def to_number(text: Column) -> Column:
     """Text to double, null where it is no number.
 
-    Spark's cast also takes a type suffix such as ``1d``, which is no number in
-    JSON or CSV; the special words are the only texts that may end in a letter.
+    Spark's cast also takes a type suffix such as ``1d`` and hexadecimal floats,
+    which are no numbers in JSON or CSV.
     """
-    special = text.rlike(r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$")
-    return F.when(special | ~text.rlike(r"[a-zA-Z]\s*$"), text.try_cast("double"))
+    plain = F.lower(F.trim(text))
+    suffixed = F.right(plain, F.lit(1)).isin("d", "f") & ~plain.isin("inf", "+inf", "-inf")
+    return F.when(~suffixed & ~plain.contains("x"), text.try_cast("double"))
 
 
 def epoch_to_hms(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import constants as fixed
+from fleetgauge.functions import rows
 
 
 def _rules() -> dict[str, Column]:
@@ -52,54 +53,59 @@ def allocation_tree(jobs: DataFrame) -> DataFrame:
     first node and all nodes stand in where these are null. ``node_position`` and
     ``child_position`` give a row's place, so a job's tree is never collected.
     """
+    here, place = F.col("_node"), F.col("_place")
     master = F.coalesce("master_node", F.get("node_list", F.lit(0)))
     workers = F.coalesce("worker_nodes", "node_list")
+    # A job without nodes keeps one row here, for its root.
+    on_node = jobs.select(
+        "*",
+        master.alias("_master"),
+        workers.alias("_workers"),
+        F.posexplode_outer("node_list").alias("_place", "_node"),
+    )
 
-    def card(level: int, kind: str, title: Column, cores: str, memory: str, child: Column) -> Column:
+    def card(
+        level: int, kind: str, title: str | Column, cores: str, memory: str,
+        child: Column | None = None, position: Column = place,
+    ) -> Column:
         return F.struct(
+            position.alias("node_position"),
             F.lit(level).alias("level"),
-            child.cast("int").alias("child_position"),
+            (F.lit(0) if child is None else child).cast("int").alias("child_position"),
             F.lit(kind).alias("card_type"),
-            title.alias("title"),
+            (F.lit(title) if isinstance(title, str) else title).alias("title"),
             F.col(cores).cast("bigint").alias("cores"),
             F.col(memory).cast("bigint").alias("memory_mb"),
         )
 
-    none = F.lit(0)
-    root = jobs.select(
-        "job_id",
-        F.lit(-1).alias("node_position"),
-        F.inline(F.array(
-            card(0, "Job Allocation", F.lit("Slurm Job"), "total_cpus", "total_memory", none)
-        )),
-    )
-    on_node = jobs.select(
-        "*",
-        master.alias("_master"),
-        workers.alias("_workers"),
-        F.posexplode("node_list").alias("node_position", "_node"),
+    def only_if(condition: Column, one: Column) -> Column:
+        return F.when(condition, F.array(one)).otherwise(F.array().cast(_CARDS))
+
+    pools = F.transform(F.filter("_workers", lambda w: w == here), lambda w, i: i + 1)
+    root = card(
+        0, "Job Allocation", "Slurm Job", "total_cpus", "total_memory", position=F.lit(-1)
     )
-    pools = F.transform(
-        F.filter("_workers", lambda w: w == F.col("_node")), lambda w, i: i + 1
+    node = card(
+        1, "Physical Node", F.concat(F.lit("Node ID: "), here),
+        "cpus_per_node", "memory_per_node_effective",
     )
+    coordinator = card(2, "Process", "Coordinator", "driver_cpu", "driver_memory")
     cards = F.concat(
-        F.array(card(
-            1, "Physical Node", F.concat(F.lit("Node ID: "), "_node"),
-            "cpus_per_node", "memory_per_node_effective", none,
-        )),
-        F.when(
-            F.col("_node") == F.col("_master"),
-            F.array(card(2, "Process", F.lit("Coordinator"), "driver_cpu", "driver_memory", none)),
-        ).otherwise(F.array().cast(_CARDS)),
-        F.transform(pools, lambda i: card(
-            2, "", F.lit("Resource Pool"), "worker_cpu", "worker_memory", i)),
-        F.transform(pools, lambda i: card(
-            3, "Process", F.lit("Compute Unit"), "executor_cpu", "executor_memory", i)),
+        only_if(F.coalesce(place, F.lit(0)) == 0, root),
+        only_if(place.isNotNull(), node),
+        only_if(here == F.col("_master"), coordinator),
+        F.coalesce(
+            F.flatten(F.transform(pools, lambda i: F.array(
+                card(2, "", "Resource Pool", "worker_cpu", "worker_memory", i),
+                card(3, "Process", "Compute Unit", "executor_cpu", "executor_memory", i),
+            ))),
+            F.array().cast(_CARDS),
+        ),
     )
-    return root.unionByName(on_node.select("job_id", "node_position", F.inline(cards)))
+    return rows.structs(on_node, ["job_id"], cards, always="level")
 
 
 _CARDS = (
-    "array<struct<level:int,child_position:int,card_type:string,title:string,"
-    "cores:bigint,memory_mb:bigint>>"
+    "array<struct<node_position:int,level:int,child_position:int,card_type:string,"
+    "title:string,cores:bigint,memory_mb:bigint>>"
 )

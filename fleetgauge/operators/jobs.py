@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions import nodelists
+from fleetgauge.functions import nodelists, rows
 
 
 def job_identity(jobs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def with_nodes(jobs: DataFrame) -> DataFrame:
 
 def job_nodes(jobs: DataFrame) -> DataFrame:
     """One row per job and node, in the order of the job's list."""
-    return jobs.select("job_id", F.posexplode("node_list").alias("position", "node"))
+    return rows.positions(jobs, ["job_id"], F.col("node_list"), "position", "node")
 
 
 def master_and_workers(jobs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import MAX_POINTS
-from fleetgauge.functions import payloads, units
+from fleetgauge.functions import payloads, rows, units
 from fleetgauge.operators.chunks import with_carry_in
 from fleetgauge.operators.history import last_n
 
@@ -28,11 +28,8 @@ def _picked(polls: DataFrame, keep: Names) -> DataFrame:
 
 def timeline_blocks(polls: DataFrame, keep: Names) -> DataFrame:
     """One row per data block: its place in the document, key, values and meta."""
-    return (
-        _parsed(polls, keep)
-        .select(*keep, F.posexplode("_blocks").alias("block", "_block"))
-        .select(*keep, "block", "_block.key", "_block.values", "_block.meta")
-    )
+    found = rows.positions(_parsed(polls, keep), keep, F.col("_blocks"), "block", "_block")
+    return found.select(*keep, "block", "_block.key", "_block.values", "_block.meta")
 
 
 def densest_block(polls: DataFrame, keep: Names) -> DataFrame:
@@ -41,33 +38,28 @@ def densest_block(polls: DataFrame, keep: Names) -> DataFrame:
     A document with timestamps but without blocks has no key and no values; a
     document without timestamps is dropped.
     """
-    no_values = F.array().cast("array<string>")
-    return (
-        _picked(polls, keep)
-        .filter(F.col("_blocks").isNotNull())
-        .select(
-            *keep,
-            F.col("_block.key").alias("key"),
-            payloads.items(F.col("_top")["timestamps"]).alias("timestamps"),
-            F.coalesce("_block.values", no_values).alias("values"),
-            F.coalesce("_block.meta", F.lit("{}")).alias("meta"),
-        )
+    picked = F.struct(
+        F.col("_block.key").alias("key"),
+        payloads.items(F.col("_top")["timestamps"]).alias("timestamps"),
+        F.coalesce("_block.values", F.array().cast("array<string>")).alias("values"),
+        F.coalesce("_block.meta", F.lit("{}")).alias("meta"),
     )
+    one = F.when(F.col("_blocks").isNotNull(), F.array(picked))
+    return rows.structs(_picked(polls, keep), keep, one, always="timestamps")
 
 
 def timeline_points(polls: DataFrame, keep: Names) -> DataFrame:
     """One row per point whose timestamp and value are both numbers."""
-    return (
-        densest_block(polls, keep)
-        .select(*keep, F.posexplode(F.arrays_zip("timestamps", "values")).alias("position", "_p"))
-        .select(
-            *keep,
-            "position",
-            units.to_number(F.col("_p.timestamps")).alias("ts"),
-            units.to_number(F.col("_p.values")).alias("value"),
-        )
-        .filter("ts IS NOT NULL AND value IS NOT NULL")
+    numbers = F.transform(
+        F.arrays_zip("timestamps", "values"),
+        lambda pair, position: F.struct(
+            position.alias("position"),
+            units.to_number(pair["timestamps"]).alias("ts"),
+            units.to_number(pair["values"]).alias("value"),
+        ),
     )
+    points = F.filter(numbers, lambda p: p["ts"].isNotNull() & p["value"].isNotNull())
+    return rows.structs(densest_block(polls, keep), keep, points, always="position")
 
 
 def timeline_meta(polls: DataFrame, keep: Names) -> DataFrame:

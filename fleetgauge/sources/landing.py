@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import schemas
-from fleetgauge.functions import payloads
+from fleetgauge.functions import payloads, rows
 
 Names = Sequence[str]
 
@@ -36,10 +36,10 @@ def read_trips(spark: SparkSession, folder: str, schema: str | None = None) -> D
 def spark_records(raw: DataFrame, endpoint: str, keys: Names) -> DataFrame:
     """One row per record of an application endpoint, with its place in the page."""
     record = schemas.SPARK_ENDPOINTS[endpoint]
-    return (
-        raw.filter((F.col("endpoint") == endpoint) & F.col("ok"))
-        .select(*keys, F.posexplode(F.from_json("payload", f"ARRAY<{record}>")).alias("position", "_r"))
-        .select(*keys, "position", "_r.*")
+    pages = raw.filter((F.col("endpoint") == endpoint) & F.col("ok"))
+    records = F.from_json("payload", f"ARRAY<{record}>")
+    return rows.positions(pages, keys, records, "position", "_r").select(
+        *keys, "position", "_r.*"
     )
 
 
@@ -54,10 +54,9 @@ def flink_objects(raw: DataFrame, endpoint: str, keys: Names) -> DataFrame:
 
 def flink_jobs(raw: DataFrame, keys: Names) -> DataFrame:
     """One row per job of the cluster job listings."""
-    return (
-        flink_objects(raw, "jobs", keys)
-        .select(*keys, F.posexplode("jobs").alias("position", "_j"))
-        .select(*keys, "position", F.col("_j.id").alias("job_id"), F.col("_j.status"))
+    listings = flink_objects(raw, "jobs", keys)
+    return rows.positions(listings, keys, F.col("jobs"), "position", "_j").select(
+        *keys, "position", F.col("_j.id").alias("job_id"), F.col("_j.status")
     )
 
 
@@ -81,10 +80,8 @@ def process_samples(raw: DataFrame, keys: Names) -> DataFrame:
 
 def slurm_jobs(raw: DataFrame, keys: Names = ()) -> DataFrame:
     """One row per scheduler job of landed job or queue documents."""
-    return (
-        raw.select(*keys, F.from_json("payload", schemas.SLURM_JOBS).alias("_doc"))
-        .select(*keys, F.inline("_doc.jobs"))
-    )
+    parsed = raw.select(*keys, F.from_json("payload", schemas.SLURM_JOBS).alias("_doc"))
+    return rows.structs(parsed, keys, F.col("_doc.jobs"), always="job_id")
 
 
 def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +90,7 @@ def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(schemas.SLURM_JOBS)
         .option("multiLine", True)
         .json(path)
-        .select(F.inline("jobs"))
+        .transform(lambda docs: rows.structs(docs, [], F.col("jobs"), always="job_id"))
     )
 
 
@@ -102,15 +99,14 @@ def worker_listing(raw: DataFrame, keys: Names) -> DataFrame:
     parsed = raw.filter("ok").select(
         *keys, F.from_json("payload", schemas.WORKER_LISTING).alias("_doc")
     )
-    none = "array<struct<state:string,host:string>>"
-    managers = F.transform(
-        F.col("_doc.taskmanagers"),
-        lambda tm: F.struct(
-            F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("host")
-        ),
+    workers = "array<struct<state:string,host:string>>"
+    nameless = F.struct(
+        F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("host")
     )
     listed = F.concat(
-        F.coalesce("_doc.workers", F.array().cast(none)),
-        F.coalesce(managers, F.array().cast(none)),
+        F.coalesce("_doc.workers", F.array().cast(workers)),
+        F.coalesce(
+            F.transform("_doc.taskmanagers", lambda tm: nameless), F.array().cast(workers)
+        ),
     )
-    return parsed.select(*keys, F.inline(listed))
+    return rows.positions(parsed, keys, listed, "_position", "_w").select(*keys, "_w.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,16 @@ class Ring(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        ring = pd.DataFrame(columns=FIELDS)
-        if self.state.exists():
-            ring = pd.DataFrame(dict(zip(FIELDS, map(list, self.state.get()))))
+        ring = [np.array(kept) for kept in self.state.get()] if self.state.exists() else None
         # One Arrow batch at a time, so a hot key needs no more memory than others.
         for frame in rows:
-            both = pd.concat([ring, frame[FIELDS]]) if len(ring) else frame[FIELDS]
-            ring = both.sort_values(ORDER).tail(self.n)
-        self.state.update(tuple(ring[name].tolist() for name in FIELDS))
-        yield ring.assign(**dict(zip(self.keys, key)))[[*self.keys, *FIELDS]]
+            new = [frame[name].to_numpy() for name in FIELDS]
+            both = new if ring is None else [np.concatenate(c) for c in zip(ring, new)]
+            newest = np.lexsort((both[1], both[0]))[-self.n:]
+            ring = [column[newest] for column in both]
+        self.state.update(tuple(column.tolist() for column in ring))
+        columns = {name: [part] * len(ring[0]) for name, part in zip(self.keys, key)}
+        yield pd.DataFrame(columns | dict(zip(FIELDS, ring)))
 
     def close(self) -> None:
         pass
