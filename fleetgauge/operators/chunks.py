@@ -35,37 +35,21 @@ def with_carry_in(
     not decrease along ``order``. Chunks may hold fewer than ``rows`` rows; then a
     row is carried over several of them, which keeps the result exact.
     """
-    by_chunk = [*keys, chunk]
-    newest = Window.partitionBy(*by_chunk).orderBy(*[F.desc(name) for name in order])
-    tails = df.withColumn("_after", F.row_number().over(newest) - 1).filter(
-        F.col("_after") < rows
-    )
-
-    # One row per chunk. A tail holds all rows that can count, so its size serves
-    # as the size of its chunk: from `rows` on the exact number does not matter.
-    along = Window.partitionBy(*keys).orderBy(chunk)
-    before = F.coalesce(
-        F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    ahead = F.collect_list(F.struct(F.col(chunk).alias("chunk"), F.col("_before").alias("before")))
-    reach = (
-        tails.groupBy(*by_chunk)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", before)
-        .withColumn("_ahead", ahead.over(along.rowsBetween(1, rows)))
-        .select(*by_chunk, (F.col("_before") + F.col("_size")).alias("_end"), "_ahead")
-        .select(*by_chunk, "_end", F.explode("_ahead").alias("_to"))
-        .select(
-            *by_chunk,
-            F.col("_to.chunk").alias("_target"),
-            (F.col("_to.before") - F.col("_end")).alias("_gap"),
-        )
-        .filter(F.col("_gap") < rows)
-    )
-    columns = [F.col("_target").alias(c) if c == chunk else F.col(c) for c in df.columns]
+    newest = Window.partitionBy(*keys, chunk).orderBy(*[F.desc(name) for name in order])
+    tails = df.withColumn("_after", F.row_number().over(newest)).filter(F.col("_after") <= rows)
+
+    # Tails hold every row that can be carried, so their places stand in for the
+    # places in the whole series: a row is carried into each chunk that starts
+    # within the next `rows` places.
+    along = Window.partitionBy(*keys).orderBy(*order)
+    before = F.lag(chunk).over(along)
+    starts = F.when(before.isNull() | (before != F.col(chunk)), F.col(chunk))
+    ahead = F.collect_list("_starts").over(along.rowsBetween(1, rows))
+    others = [name for name in df.columns if name != chunk]
     carried = (
-        tails.join(reach, by_chunk)
-        .filter(F.col("_after") + F.col("_gap") < rows)
-        .select(*columns, F.lit(True).alias("carried"))
+        tails.withColumn("_starts", starts)
+        .withColumn("_ahead", ahead)
+        .select(*others, F.explode_outer("_ahead").alias(chunk), F.lit(True).alias("carried"))
+        .filter(F.col(chunk).isNotNull())
     )
     return df.withColumn("carried", F.lit(False)).unionByName(carried)

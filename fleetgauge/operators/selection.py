@@ -54,7 +54,8 @@ def sticky_entity(
 
     ``chunk`` cuts the polls of a cluster in consecutive pieces. Each piece is
     worked on by itself, then the choice standing at its end is handed on through
-    one summary row per piece, so no task needs all polls of a cluster.
+    one summary row per piece, so no task needs all polls of a cluster. Polls
+    without a cluster or a place in its order are left out.
     """
     offered = F.col(candidate)
     by_chunk = [*keys, "_chunk"]
@@ -64,6 +65,7 @@ def sticky_entity(
     since_fail = Window.partitionBy(*by_chunk, "_fails").orderBy(order)
     pieces = (
         polls.withColumn("_chunk", chunk)
+        .filter(" AND ".join(f"`{name}` IS NOT NULL" for name in by_chunk))
         .withColumn("_fails", F.coalesce(earlier_fails, F.lit(0)))
         .withColumn(
             "_choice",
