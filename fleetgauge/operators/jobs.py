@@ -80,6 +80,17 @@ def resource_columns(jobs: DataFrame) -> DataFrame:
     })
 
 
+# What `with_nodes` and `resource_columns` read of a scheduler job.
+RESOURCE_FIELDS = [
+    "job_id",
+    "cpus_per_task",
+    "tasks",
+    "memory_per_cpu",
+    "memory_per_node",
+    "job_resources",
+]
+
+
 def job_resources(jobs: DataFrame) -> DataFrame:
     """CPUs and memory per node and in total."""
     cpus = F.col("cpus_per_task") * F.col("tasks_per_node")

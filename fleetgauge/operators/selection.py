@@ -28,9 +28,9 @@ def current_app(apps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def current_flink_job(
-    jobs: DataFrame, keys: Sequence[str], fallback: str = CLUSTER
+    jobs: DataFrame, keys: Sequence[str], fallback: str | None = CLUSTER
 ) -> DataFrame:
-    """First running job, else the key of the whole cluster, per poll."""
+    """First running job, else ``fallback``, per poll."""
     running = F.when(F.col("status") == "RUNNING", F.col("position"))
     return jobs.groupBy(*keys).agg(
         F.coalesce(F.min_by("job_id", running), F.lit(fallback)).alias("job_id")

@@ -4,6 +4,7 @@ from fleetgauge.plans import (  # noqa: F401
     clusters,
     history,
     jobs,
+    monitors,
     processes,
     selection,
     snapshots,

@@ -49,7 +49,8 @@ def slurm_jobs_explode(spark, sf_dir):
     FROM effective
 """)
 def slurm_job_resources(spark, sf_dir):
-    jobs = landing.slurm_jobs(fixtures.slurm_documents(spark, sf_dir))
+    documents = fixtures.slurm_documents(spark, sf_dir)
+    jobs = landing.slurm_jobs(documents, fields=ops.RESOURCE_FIELDS)
     return ops.job_resources(ops.resource_columns(ops.with_nodes(jobs))).select(
         "job_id", "node_count", "cpus_per_node", "memory_per_node_effective", "total_cpus", "total_memory"
     )

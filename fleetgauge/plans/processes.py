@@ -15,7 +15,7 @@ PROCS_SQL = """
                CASE p_size % 10 WHEN 0 THEN 'zombie' WHEN 1 THEN 'dead' WHEN 2 THEN 'running'
                     ELSE 'sleeping' END AS status,
                CASE WHEN p_size % 13 = 0 THEN '' ELSE p_name || ' ' || p_type END AS command,
-               p_name, p_type, p_size, p_retailprice
+               p_name, p_type, p_size
         FROM part
     )
 """
@@ -54,7 +54,7 @@ def process_samples(spark, sf_dir):
 
 
 @query("process_snapshot", MATCH_SQL + """
-    SELECT title, pid, p_retailprice % 100 AS cpu, CAST(p_size AS DOUBLE) AS mem_pct,
+    SELECT title, pid, CAST(p_size * 0.25 AS DOUBLE) AS cpu, CAST(p_size AS DOUBLE) AS mem_pct,
            CAST(pid * 123456 AS DOUBLE) / 1048576 AS mem_rss,
            CAST(pid * 234567 AS DOUBLE) / 1048576 AS mem_vms, CAST(p_size AS BIGINT) AS threads,
            CAST(pid * 1000 AS DOUBLE) / 1048576 AS io_read,

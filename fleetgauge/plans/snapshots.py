@@ -213,30 +213,35 @@ def flink_status_histogram(spark, sf_dir):
     return ops.status_histogram(fixtures.flink_jobs(spark, sf_dir), CLUSTER)
 
 
-@query("flink_snapshot", f"""
+FLINK_SNAPSHOT_SQL = f"""
     WITH {FLINK_JOBS_SQL}, polls AS (
         SELECT cluster_id, poll_id, min(o_orderkey) AS k, count(*) AS total_jobs,
                count(*) FILTER (WHERE status = 'RUNNING') AS running_jobs,
                count(*) FILTER (WHERE status = 'FAILED') AS failed_jobs,
                count(*) FILTER (WHERE status = 'FINISHED') AS finished_jobs,
                count(*) FILTER (WHERE status IN ('CANCELLED', 'CANCELED')) AS cancelled_jobs,
-               count(*) FILTER (WHERE o_orderstatus = 'F') AS task_managers
+               count(*) FILTER (WHERE o_orderstatus = 'F') AS task_managers,
+               min(o_orderkey) FILTER (WHERE status = 'RUNNING') AS first_running
         FROM jobs GROUP BY ALL
+    ), snapshot AS (
+        SELECT cluster_id, poll_id, total_jobs, running_jobs, failed_jobs, finished_jobs,
+               cancelled_jobs,
+               CASE WHEN k % 5 <> 0 THEN k % 100 ELSE 0 END AS total_tasks,
+               CASE WHEN k % 5 <> 0 THEN k % 10 ELSE 0 END AS running_tasks,
+               CASE WHEN k % 5 <> 0 THEN k % 3 ELSE 0 END AS failed_tasks,
+               CASE WHEN k % 5 <> 0 THEN k % 7 ELSE 0 END AS finished_tasks,
+               CASE WHEN k % 5 <> 0 THEN k % 2 ELSE 0 END AS cancelled_tasks,
+               k % 50 + 10 AS total_slots, k % 10 AS used_slots, k % 50 + 10 - k % 10 AS free_slots,
+               task_managers, CAST(k AS DOUBLE) AS total_memory_mb,
+               CAST(k * 4096 AS DOUBLE) / 1048576 AS total_network_memory_mb,
+               CAST(k * 1000 AS DOUBLE) / 1048576 AS total_jvm_memory_mb,
+               strftime(make_timestamp((1704067200 + 5 * poll_id) * 1000000), '%H:%M:%S') AS timestamp
+        FROM polls WHERE poll_id % 8 <> 3
     )
-    SELECT cluster_id, poll_id, total_jobs, running_jobs, failed_jobs, finished_jobs,
-           cancelled_jobs,
-           CASE WHEN k % 5 <> 0 THEN k % 100 ELSE 0 END AS total_tasks,
-           CASE WHEN k % 5 <> 0 THEN k % 10 ELSE 0 END AS running_tasks,
-           CASE WHEN k % 5 <> 0 THEN k % 3 ELSE 0 END AS failed_tasks,
-           CASE WHEN k % 5 <> 0 THEN k % 7 ELSE 0 END AS finished_tasks,
-           CASE WHEN k % 5 <> 0 THEN k % 2 ELSE 0 END AS cancelled_tasks,
-           k % 50 + 10 AS total_slots, k % 10 AS used_slots, k % 50 + 10 - k % 10 AS free_slots,
-           task_managers, CAST(k AS DOUBLE) AS total_memory_mb,
-           CAST(k * 4096 AS DOUBLE) / 1048576 AS total_network_memory_mb,
-           CAST(k * 1000 AS DOUBLE) / 1048576 AS total_jvm_memory_mb,
-           strftime(make_timestamp((1704067200 + 5 * poll_id) * 1000000), '%H:%M:%S') AS timestamp
-    FROM polls WHERE poll_id % 8 <> 3
-""")
+"""
+
+
+@query("flink_snapshot", FLINK_SNAPSHOT_SQL + "SELECT * FROM snapshot")
 def flink_snapshot(spark, sf_dir):
     return ops.flink_snapshot(fixtures.flink_raw_polls(spark, sf_dir), CLUSTER)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 RAW_POLLS = """
     source STRING, cluster_id STRING, entity_id STRING, endpoint STRING,
-    poll_id BIGINT, poll_ts TIMESTAMP, ok BOOLEAN, payload STRING
+    poll_id BIGINT, poll_ts TIMESTAMP, page BIGINT, ok BOOLEAN, payload STRING
 """
 
 # Application REST listings. Every endpoint returns an array of records.
@@ -64,12 +66,26 @@ PROCESS = (
 # Scheduler records. A number may be an integer or an ISO time, and nodes may be
 # a list, an object or a text, so both stay strings until they are needed.
 TRIPLE = "STRUCT<`set`: BOOLEAN, `infinite`: BOOLEAN, `number`: STRING>"
-SLURM_JOB = (
-    "STRUCT<job_id: STRING, name: STRING, `partition`: STRING, user_name: STRING,"
-    f" node_count: {TRIPLE}, cpus_per_task: {TRIPLE}, tasks: {TRIPLE},"
-    f" memory_per_cpu: {TRIPLE}, memory_per_node: {TRIPLE}, start_time: {TRIPLE},"
-    " job_resources: STRUCT<nodes: STRING>, nodes: STRING>"
-)
-SLURM_JOBS = f"jobs ARRAY<{SLURM_JOB}>"
+SLURM_FIELDS = {
+    "job_id": "STRING",
+    "name": "STRING",
+    "partition": "STRING",
+    "user_name": "STRING",
+    "node_count": TRIPLE,
+    "cpus_per_task": TRIPLE,
+    "tasks": TRIPLE,
+    "memory_per_cpu": TRIPLE,
+    "memory_per_node": TRIPLE,
+    "start_time": TRIPLE,
+    "job_resources": "STRUCT<nodes: STRING>",
+    "nodes": "STRING",
+}
+
+
+def slurm_jobs(fields: Sequence[str] | None = None) -> str:
+    """Schema of a job or queue document, of all fields or the given ones only."""
+    chosen = ", ".join(f"`{name}`: {SLURM_FIELDS[name]}" for name in fields or SLURM_FIELDS)
+    return f"jobs ARRAY<STRUCT<{chosen}>>"
+
 
 TRIPS = "`Date/Time` STRING, Lat DOUBLE, Lon DOUBLE, Base STRING"

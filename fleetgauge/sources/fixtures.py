@@ -67,6 +67,7 @@ def spark_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         F.expr(ORDER_APP).alias("entity_id"),
         F.expr(ORDER_POLL).alias("poll_id"),
+        F.col("o_orderkey").alias("page"),
         F.expr(
             "CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'SUCCEEDED'"
             " ELSE 'FAILED' END"
@@ -81,6 +82,7 @@ def spark_stages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.expr(LINE_APP).alias("entity_id"),
         F.expr(LINE_POLL).alias("poll_id"),
+        F.expr("l_orderkey * 10 + l_linenumber").alias("page"),
         F.expr(
             "CASE WHEN l_linestatus = 'O' THEN 'ACTIVE' WHEN l_returnflag = 'R' THEN 'FAILED'"
             " ELSE 'COMPLETE' END"
@@ -115,6 +117,7 @@ def spark_executors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.expr(LINE_APP).alias("entity_id"),
         F.expr(LINE_POLL).alias("poll_id"),
+        F.expr("l_orderkey * 10 + l_linenumber").alias("page"),
         "l_linenumber",
         *[F.expr(sql).alias(name) for name, sql in EXECUTOR_FIELDS.items()],
     )
@@ -143,6 +146,7 @@ def _page(df: DataFrame, endpoint: str, fields: list[str], poll_no: str) -> Data
     return df.select(
         "entity_id",
         "poll_id",
+        "page",
         F.lit(endpoint).alias("endpoint"),
         F.to_json(F.array(F.struct(*fields))).alias("payload"),
     ).select(
@@ -150,6 +154,7 @@ def _page(df: DataFrame, endpoint: str, fields: list[str], poll_no: str) -> Data
         "endpoint",
         "poll_id",
         _poll_ts("poll_id"),
+        "page",
         F.expr(f"NOT ({failed})").alias("ok"),
         F.expr(f"CASE WHEN {failed} THEN NULL WHEN {empty} THEN '[]' ELSE payload END").alias("payload"),
     )
@@ -197,6 +202,7 @@ def flink_raw_polls(spark: SparkSession, folder: str) -> DataFrame:
     jobs = orders.select(
         *keys,
         F.lit("jobs").alias("endpoint"),
+        F.col("o_orderkey").alias("page"),
         F.to_json(F.expr(
             "named_struct('jobs', array(named_struct("
             f"'id', concat('job-', o_orderkey), 'status', {FLINK_STATUS})))"
@@ -205,6 +211,7 @@ def flink_raw_polls(spark: SparkSession, folder: str) -> DataFrame:
     managers = orders.select(
         *keys,
         F.lit("taskmanagers").alias("endpoint"),
+        F.col("o_orderkey").alias("page"),
         F.expr(
             "CASE WHEN o_orderstatus = 'F'"
             " THEN concat('{\"taskmanagers\":[{\"id\":\"tm-', o_custkey, '\"}]}')"
@@ -220,6 +227,7 @@ def flink_raw_polls(spark: SparkSession, folder: str) -> DataFrame:
             "cluster_id",
             "poll_id",
             F.lit("overview").alias("endpoint"),
+            F.lit(0).cast("bigint").alias("page"),
             F.to_json(F.expr(
                 "named_struct('tasks', CASE WHEN k % 5 <> 0 THEN named_struct("
                 "'total', k % 100, 'running', k % 10, 'failed', k % 3, 'finished', k % 7,"
@@ -238,6 +246,7 @@ def flink_raw_polls(spark: SparkSession, folder: str) -> DataFrame:
             "endpoint",
             "poll_id",
             _poll_ts("poll_id"),
+            "page",
             F.expr(f"NOT ({failed})").alias("ok"),
             F.expr(f"CASE WHEN NOT ({failed}) THEN payload END").alias("payload"),
         )
@@ -357,7 +366,7 @@ def processes(spark: SparkSession, folder: str) -> DataFrame:
             "CASE WHEN p_size % 13 = 0 THEN CAST(array() AS ARRAY<STRING>)"
             " ELSE concat(split(p_name, ' '), array(p_type)) END"
         ).alias("cmdline"),
-        F.expr("p_retailprice % 100.0D").alias("cpu_percent"),
+        F.expr("p_size * 0.25D").alias("cpu_percent"),
         F.expr("CAST(p_size AS DOUBLE)").alias("memory_percent"),
         F.expr("p_partkey * 123456").alias("rss"),
         F.expr("p_partkey * 234567").alias("vms"),

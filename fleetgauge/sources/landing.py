@@ -1,14 +1,15 @@
 """Readers for landed metric records.
 
-``raw`` frames hold one landed page per row: key columns, ``endpoint``, ``ok`` and
-the JSON text ``payload``.
+``raw`` frames hold one landed page per row: key columns, ``endpoint``, ``page``,
+``ok`` and the JSON text ``payload``. A listing may land in several pages; the place
+of a record in it is its ``position``, made of the page and the place in the page.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import schemas
@@ -33,13 +34,17 @@ def read_trips(spark: SparkSession, folder: str, schema: str | None = None) -> D
     return reader.option("inferSchema", True).csv(folder)
 
 
+def _position() -> Column:
+    return F.struct("page", F.col("_place").alias("place")).alias("position")
+
+
 def spark_records(raw: DataFrame, endpoint: str, keys: Names) -> DataFrame:
     """One row per record of an application endpoint, with its place in the page."""
     record = schemas.SPARK_ENDPOINTS[endpoint]
     pages = raw.filter((F.col("endpoint") == endpoint) & F.col("ok"))
     records = F.from_json("payload", f"ARRAY<{record}>")
-    return rows.positions(pages, keys, records, "position", "_r").select(
-        *keys, "position", "_r.*"
+    return rows.positions(pages, [*keys, "page"], records, "_place", "_r").select(
+        *keys, _position(), "_r.*"
     )
 
 
@@ -54,9 +59,10 @@ def flink_objects(raw: DataFrame, endpoint: str, keys: Names) -> DataFrame:
 
 def flink_jobs(raw: DataFrame, keys: Names) -> DataFrame:
     """One row per job of the cluster job listings."""
-    listings = flink_objects(raw, "jobs", keys)
-    return rows.positions(listings, keys, F.col("jobs"), "position", "_j").select(
-        *keys, "position", F.col("_j.id").alias("job_id"), F.col("_j.status")
+    keep = [*keys, "page"]
+    listings = flink_objects(raw, "jobs", keep)
+    return rows.positions(listings, keep, F.col("jobs"), "_place", "_j").select(
+        *keys, _position(), F.col("_j.id").alias("job_id"), F.col("_j.status")
     )
 
 
@@ -78,16 +84,20 @@ def process_samples(raw: DataFrame, keys: Names) -> DataFrame:
     )
 
 
-def slurm_jobs(raw: DataFrame, keys: Names = ()) -> DataFrame:
-    """One row per scheduler job of landed job or queue documents."""
-    parsed = raw.select(*keys, F.from_json("payload", schemas.SLURM_JOBS).alias("_doc"))
+def slurm_jobs(raw: DataFrame, keys: Names = (), fields: Names | None = None) -> DataFrame:
+    """One row per scheduler job of landed job or queue documents.
+
+    ``fields`` limits what is parsed, because Spark cannot prune what it unnests;
+    it must include ``job_id``.
+    """
+    parsed = raw.select(*keys, F.from_json("payload", schemas.slurm_jobs(fields)).alias("_doc"))
     return rows.structs(parsed, keys, F.col("_doc.jobs"), always="job_id")
 
 
 def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
     """Scheduler jobs from files that each hold one JSON document."""
     return (
-        spark.read.schema(schemas.SLURM_JOBS)
+        spark.read.schema(schemas.slurm_jobs())
         .option("multiLine", True)
         .json(path)
         .transform(lambda docs: rows.structs(docs, [], F.col("jobs"), always="job_id"))

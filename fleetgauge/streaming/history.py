@@ -54,13 +54,26 @@ def ring_samples(samples: DataFrame) -> DataFrame:
     })
 
 
+def _cut_batches(
+    keys: Sequence[str], n: int
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Cut every Arrow batch to the newest ``n`` samples per key."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.sort_values(ORDER).groupby(list(keys), sort=False).tail(n)
+
+    return cut
+
+
 def stream_last_n(
-    samples: DataFrame, keys: Sequence[str], n: int = HISTORY_SIZE, parts: int = 8
+    samples: DataFrame, keys: Sequence[str], n: int = HISTORY_SIZE, parts: int = 1
 ) -> DataFrame:
-    """The newest ``n`` samples of every changed key and part, after every batch.
+    """The newest ``n`` samples of every changed key, after every batch.
 
-    A key is spread over ``parts`` rings by its samples, so one busy key does not
-    hold up a batch; ``merge_rings`` gives the newest samples of the whole key.
+    Samples are cut before the shuffle, so a busy key reaches its state as a few
+    rows per input batch. Where that is still too much for one task, ``parts``
+    gives each key several rings; ``merge_rings`` joins them.
     """
     ring_keys = [*keys, "part"]
     schema = ", ".join(
@@ -71,6 +84,7 @@ def stream_last_n(
     return (
         ring_samples(samples)
         .select(*keys, spread.alias("part"), *FIELDS)
+        .mapInPandas(_cut_batches(ring_keys, n), schema)
         .groupBy(*ring_keys)
         .transformWithStateInPandas(
             statefulProcessor=Ring(ring_keys, n),

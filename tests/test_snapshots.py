@@ -7,10 +7,11 @@ import pytest
 from fleetgauge.operators import snapshots as ops
 from fleetgauge.operators.catalog import enabled_metrics
 from fleetgauge.constants import SPARK_ENABLED, SPARK_LABELS
+from fleetgauge.operators.selection import current_flink_job
 from fleetgauge.sources import landing
 
 MIB = 1024 ** 2
-RAW = "entity_id string, poll_id long, endpoint string, poll_ts timestamp, ok boolean, payload string"
+RAW = "entity_id string, poll_id long, endpoint string, poll_ts timestamp, page long, ok boolean, payload string"
 KEYS = ["entity_id", "poll_id"]
 
 
@@ -19,8 +20,8 @@ def raw(spark, pages, poll=1):
 
     at = datetime(2024, 1, 1, 12, 0, poll)
     rows = [
-        ("app-1", poll, endpoint, at, ok, doc if isinstance(doc, str) or doc is None else json.dumps(doc))
-        for endpoint, ok, doc in pages
+        ("app-1", poll, endpoint, at, page, ok, doc if isinstance(doc, str) or doc is None else json.dumps(doc))
+        for page, (endpoint, ok, doc) in enumerate(pages)
     ]
     return spark.createDataFrame(rows, RAW)
 
@@ -139,3 +140,17 @@ def test_enabled_metrics_keep_field_order(spark):
     ]
     assert enabled_metrics(snapshot, KEYS, [*SPARK_LABELS], SPARK_ENABLED).count() == 7
     assert enabled_metrics(snapshot, KEYS, [*SPARK_LABELS], []).count() == 0
+
+
+def test_first_running_job_over_several_pages(spark):
+    pages = [("jobs", True, {"jobs": [{"id": f"j{i}", "status": s} for i, s in page]}) for page in (
+        [(0, "FAILED"), (1, "FAILED")], [(2, "FAILED"), (3, "RUNNING")], [(4, "RUNNING")],
+    )]
+    jobs = landing.flink_jobs(raw(spark, pages).orderBy("page", ascending=False), KEYS)
+    assert current_flink_job(jobs, KEYS).first()["job_id"] == "j3"
+
+
+def test_records_keep_their_place(spark):
+    df = raw(spark, [("stages", True, [{"status": "b"}, {"status": "c"}]), ("stages", True, [{"status": "a"}])])
+    found = landing.spark_records(df, "stages", KEYS).orderBy("position").collect()
+    assert [r["status"] for r in found] == ["b", "c", "a"]
