@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from fleetgauge.constants import FLINK_LABELS, HISTORY_SIZE
-from fleetgauge.operators import history, selection, snapshots
+from fleetgauge.operators import history, selection
 from fleetgauge.operators.catalog import enabled_metrics
-from fleetgauge.sources import landing
 
 Names = Sequence[str]
 
@@ -45,22 +43,14 @@ def monitor_stats(
     return history.padded_stats(recent, [*keys, "metric"], n=n)
 
 
-def flink_monitor(raw: DataFrame, chunk: Column, n: int = HISTORY_SIZE) -> DataFrame:
+def flink_monitor(polls: DataFrame, chunk: Column, n: int = HISTORY_SIZE) -> DataFrame:
     """Statistics of cluster snapshots, filed under the job each poll reports on.
 
     The first running job is kept until a poll fails; polls without one go to the
-    cluster itself. ``chunk`` cuts the polls of a cluster (see ``sticky_entity``).
+    cluster itself. ``polls`` comes from ``flink_polls``; it is read more than once,
+    so store it first where it is large. ``chunk`` cuts the polls of a cluster (see
+    ``sticky_entity``).
     """
-    poll = ["cluster_id", "poll_id"]
-    wide = snapshots.flink_snapshot(raw, poll)
-    offered = selection.current_flink_job(landing.flink_jobs(raw, poll), poll, fallback=None)
-    polls = (
-        raw.select(*poll)
-        .distinct()
-        .join(offered.withColumnRenamed("job_id", "candidate"), poll, "left")
-        .join(wide.withColumn("ok", F.lit(True)), poll, "left")
-        .withColumn("ok", F.coalesce("ok", F.lit(False)))
-    )
     filed = selection.sticky_entity(
         polls, ["cluster_id"], "poll_id", chunk, fallback=selection.CLUSTER
     )

@@ -90,12 +90,15 @@ def _match_by_pieces(processes: DataFrame, owner: Column, patterns: DataFrame) -
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
+    first = patterns.groupBy("pattern").agg(
+        F.min_by("title", "priority").alias("title"), F.min("priority").alias("priority")
+    )
     every_piece = F.flatten(F.array(*[pieces(size) for size in lengths]))
     titles = (
         live.select("_command")
         .distinct()
         .select("_command", F.explode(F.array_distinct(every_piece)).alias("pattern"))
-        .join(patterns.select("pattern", "title", "priority"), "pattern")
+        .join(first, "pattern")
         .groupBy("_command")
         .agg(F.min_by("title", "priority").alias("title"))
     )

@@ -70,21 +70,16 @@ def executor_total_aggs(executor: Column) -> list[Column]:
     ]
 
 
-def _complete_polls(pages: DataFrame, keys: Names, endpoints: Names, aggs: list[Column]) -> DataFrame:
-    """Aggregate ``pages`` per poll; a poll with any failed endpoint is dropped."""
+def _polls(pages: DataFrame, keys: Names, endpoints: Names, aggs: list[Column]) -> DataFrame:
+    """Aggregate ``pages`` per poll; ``ok`` is false where any endpoint failed."""
     arrived = [F.coalesce(F.bool_or(F.col("endpoint") == name), F.lit(False)) for name in endpoints]
     complete = F.bool_and("page_ok")
     for seen in arrived:
         complete = complete & seen
-    return (
-        pages.groupBy(*keys)
-        .agg(
-            *aggs,
-            F.date_format(F.max("poll_ts"), "HH:mm:ss").alias("timestamp"),
-            complete.alias("_complete"),
-        )
-        .filter("_complete")
-        .drop("_complete")
+    return pages.groupBy(*keys).agg(
+        *aggs,
+        F.date_format(F.max("poll_ts"), "HH:mm:ss").alias("timestamp"),
+        complete.alias("ok"),
     )
 
 
@@ -118,7 +113,7 @@ def spark_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
         *task_total_aggs(of("jobs")),
         *executor_total_aggs(of("executors")),
     ]
-    return _complete_polls(pages, keys, endpoints, aggs)
+    return _polls(pages, keys, endpoints, aggs).filter("ok").drop("ok")
 
 
 def status_histogram(jobs: DataFrame, keys: Names) -> DataFrame:
@@ -130,13 +125,17 @@ def status_histogram(jobs: DataFrame, keys: Names) -> DataFrame:
     )
 
 
-def flink_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
-    """Job, task, slot and memory figures, one row per cluster and poll."""
+def flink_polls(raw: DataFrame, keys: Names) -> DataFrame:
+    """Figures of all polls, failed ones too, with the first running job listed.
+
+    ``ok`` tells whether a poll is complete; only then its figures mean something.
+    """
     endpoints = ("overview", "jobs", "taskmanagers")
     pages = raw.filter(F.col("endpoint").isin(*endpoints)).select(
         *keys,
         "endpoint",
         "poll_ts",
+        "page",
         "ok",
         F.from_json("payload", schemas.FLINK_OBJECT).alias("_doc"),
     )
@@ -152,6 +151,8 @@ def flink_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
     def gauge(value: Column) -> Column:
         return units.or_zero(F.max(value))
 
+    running = F.filter(jobs, lambda job: job["status"] == "RUNNING")
+    first_running = F.get(running, F.lit(0))["id"]
     used, total = gauge(doc["slots-used"]), gauge(doc["slots-total"])
     aggs = [
         listed(jobs).alias("total_jobs"),
@@ -173,4 +174,10 @@ def flink_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
         units.bytes_to_mib(gauge(doc["total-network-memory"])).alias("total_network_memory_mb"),
         units.bytes_to_mib(gauge(doc["total-jvm-memory"])).alias("total_jvm_memory_mb"),
     ]
-    return _complete_polls(pages, keys, endpoints, aggs)
+    candidate = F.min_by(first_running, F.when(first_running.isNotNull(), F.col("page")))
+    return _polls(pages, keys, endpoints, [*aggs, candidate.alias("candidate")])
+
+
+def flink_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
+    """Job, task, slot and memory figures, one row per cluster and poll."""
+    return flink_polls(raw, keys).filter("ok").drop("ok", "candidate")

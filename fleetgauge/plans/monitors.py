@@ -16,6 +16,7 @@ from fleetgauge.plans.processes import MATCH_SQL
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.selection import CHUNK_POLLS
 from fleetgauge.plans.snapshots import FLINK_SNAPSHOT_SQL, SPARK_SNAPSHOT_SQL
+from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
 
 
@@ -62,7 +63,9 @@ def spark_monitor(spark, sf_dir):
 """ + stats_sql("filed", "cluster_id, entity_id", "poll_id", [*FLINK_LABELS]))
 def flink_monitor(spark, sf_dir):
     chunk = F.floor(F.col("poll_id") / CHUNK_POLLS)
-    return ops.flink_monitor(fixtures.flink_raw_polls(spark, sf_dir), chunk)
+    raw = fixtures.flink_raw_polls(spark, sf_dir)
+    polls = stored(snapshots.flink_polls(raw, ["cluster_id", "poll_id"]), "polls")
+    return ops.flink_monitor(polls, chunk)
 
 
 @query("process_monitor", MATCH_SQL + """,
