@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.units import to_number
-
 OBJECT = "MAP<STRING, STRING>"
 LIST = "ARRAY<STRING>"
+BLOCK_META = "STRUCT<mean: STRING, best_node: STRING, lowest_node: STRING>"
 
 
 def is_list(text: Column) -> Column:
@@ -87,14 +86,6 @@ def densest(found: Column) -> Column:
     return F.array_max(ranked)
 
 
-def meta_number(meta: Column, name: str) -> Column:
-    return to_number(meta_text(meta, name))
-
-
-def meta_text(meta: Column, name: str) -> Column:
-    return F.get_json_object(meta, f"$.{name}")
-
-
 def job_detail(document: Column) -> Column:
     """An object, or the object a list starts with; anything else is empty."""
     first = F.get(items(document), F.lit(0))

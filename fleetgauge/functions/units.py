@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetgauge.constants import MESSAGE_KEEP, MESSAGE_LIMIT
 
+# A hexadecimal mark, or a final d or f that does not end "inf".
+NO_NUMBER = r"[xX]|[dD]\s*$|(?<![iI][nN])[fF]\s*$"
+
 # A double, so that the quotient is a double and not a scaled decimal.
 MIB = 1048576.0
 
@@ -29,9 +32,7 @@ def to_number(text: Column) -> Column:
     Spark's cast also takes a type suffix such as ``1d`` and hexadecimal floats,
     which are no numbers in JSON or CSV.
     """
-    plain = F.lower(F.trim(text))
-    suffixed = F.right(plain, F.lit(1)).isin("d", "f") & ~plain.isin("inf", "+inf", "-inf")
-    return F.when(~suffixed & ~plain.contains("x"), text.try_cast("double"))
+    return F.when(~text.rlike(NO_NUMBER), text.try_cast("double"))
 
 
 def epoch_to_hms(seconds: Column) -> Column:

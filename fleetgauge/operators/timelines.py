@@ -64,13 +64,13 @@ def timeline_points(polls: DataFrame, keep: Names) -> DataFrame:
 
 def timeline_meta(polls: DataFrame, keep: Names) -> DataFrame:
     """Unit of each document; mean, nodes and key of its densest block."""
-    meta = F.col("_block.meta")
-    return _picked(polls, keep).select(
+    meta = F.from_json("_block.meta", payloads.BLOCK_META)
+    return _picked(polls, keep).withColumn("_meta", meta).select(
         *keep,
         F.col("_top")["unit"].alias("unit"),
-        payloads.meta_number(meta, "mean").alias("mean"),
-        payloads.meta_text(meta, "best_node").alias("best_node"),
-        payloads.meta_text(meta, "lowest_node").alias("lowest_node"),
+        units.to_number(F.col("_meta.mean")).alias("mean"),
+        "_meta.best_node",
+        "_meta.lowest_node",
         F.col("_block.key").alias("data_key"),
     )
 
