@@ -70,6 +70,11 @@ def executor_total_aggs(executor: Column) -> list[Column]:
     ]
 
 
+def _with(keys: Names, *columns: str) -> list[str]:
+    """Keys and further columns, each once; a stream's keys include ``poll_ts``."""
+    return [*dict.fromkeys([*keys, *columns])]
+
+
 def _polls(pages: DataFrame, keys: Names, endpoints: Names, aggs: list[Column]) -> DataFrame:
     """Aggregate ``pages`` per poll; ``ok`` is false where any endpoint failed."""
     arrived = [F.coalesce(F.bool_or(F.col("endpoint") == name), F.lit(False)) for name in endpoints]
@@ -91,14 +96,13 @@ def spark_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
     listing that arrived empty counts as zeros.
     """
     endpoints = ("jobs", "stages", "executors")
+    keep = _with(keys, "endpoint", "poll_ts")
     parsed = F.from_json("payload", f"ARRAY<{schemas.SPARK_RECORD}>")
     pages = (
         raw.filter(F.col("endpoint").isin(*endpoints))
-        .select(*keys, "endpoint", "poll_ts", "ok", parsed.alias("_records"))
+        .select(*keep, "ok", parsed.alias("_records"))
         .select(
-            *keys,
-            "endpoint",
-            "poll_ts",
+            *keep,
             (F.col("ok") & F.col("_records").isNotNull()).alias("page_ok"),
             F.explode_outer("_records").alias("_record"),
         )
@@ -132,11 +136,7 @@ def flink_polls(raw: DataFrame, keys: Names) -> DataFrame:
     """
     endpoints = ("overview", "jobs", "taskmanagers")
     pages = raw.filter(F.col("endpoint").isin(*endpoints)).select(
-        *keys,
-        "endpoint",
-        "poll_ts",
-        "page",
-        "ok",
+        *_with(keys, "endpoint", "poll_ts", "page", "ok"),
         F.from_json("payload", schemas.FLINK_OBJECT).alias("_doc"),
     )
     pages = pages.withColumn("page_ok", F.col("ok") & F.col("_doc").isNotNull())

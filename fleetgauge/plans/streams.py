@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from fleetgauge.plans.history import ENTITY, HISTORY_SQL
 from fleetgauge.plans.registry import query
+from fleetgauge.plans.snapshots import APP, SPARK_SNAPSHOT_SQL
 from fleetgauge.plans.timelines import BLOCKS_SQL, META_SQL, SERIES
+from fleetgauge.operators.snapshots import spark_snapshot
 from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures, landing
-from fleetgauge.sources.tables import table
-from fleetgauge.streaming import history, timelines
-from fleetgauge.streaming.ingest import run_available, stream_files
+from fleetgauge.streaming import history, snapshots, timelines
+from fleetgauge.streaming.ingest import run_available, stream_table
 
 
 def _events(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return stream_files(spark, sf_dir, schema, glob="events.parquet")
+    return stream_table(spark, sf_dir, "events")
 
 
 def _columns(recent):
@@ -79,3 +79,14 @@ def stream_latest_meta(spark, sf_dir):
         latest.writeStream.outputMode("complete").foreachBatch(history.batch_sink(folder)),
     )
     return history.read_latest(spark, folder)
+
+
+@query("stream_spark_snapshot", SPARK_SNAPSHOT_SQL + "SELECT * EXCLUDE (no) FROM snapshot")
+def stream_spark_snapshot(spark, sf_dir):
+    folder = new_folder(spark, "snapshots")
+    raw = fixtures.spark_raw_polls(spark, sf_dir, read=stream_table)
+    wide = snapshots.stream_snapshots(raw, spark_snapshot, APP)
+    run_available(
+        spark, wide.writeStream.outputMode("update").foreachBatch(history.batch_sink(folder))
+    )
+    return snapshots.newest_rows(history.read_batches(spark, folder), APP).drop("poll_ts")

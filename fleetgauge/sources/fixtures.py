@@ -7,11 +7,16 @@ projections: they move no rows and their output grows with the table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.sources.tables import table
 
+# Reads a table as a batch or as a stream.
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
 # Start of the polls: 2024-01-01 00:00:00 UTC.
 EPOCH = 1704067200
 
@@ -63,8 +68,8 @@ def trip_texts(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------ application records
 
 
-def spark_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+def spark_jobs(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    return read(spark, folder, "orders").select(
         F.expr(ORDER_APP).alias("entity_id"),
         F.expr(ORDER_POLL).alias("poll_id"),
         F.col("o_orderkey").alias("page"),
@@ -78,8 +83,8 @@ def spark_jobs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def spark_stages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+def spark_stages(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    return read(spark, folder, "lineitem").select(
         F.expr(LINE_APP).alias("entity_id"),
         F.expr(LINE_POLL).alias("poll_id"),
         F.expr("l_orderkey * 10 + l_linenumber").alias("page"),
@@ -113,8 +118,8 @@ EXECUTOR_FIELDS = {
 }
 
 
-def spark_executors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+def spark_executors(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    return read(spark, folder, "lineitem").select(
         F.expr(LINE_APP).alias("entity_id"),
         F.expr(LINE_POLL).alias("poll_id"),
         F.expr("l_orderkey * 10 + l_linenumber").alias("page"),
@@ -164,14 +169,14 @@ def _page(df: DataFrame, endpoint: str, fields: list[str], poll_no: str) -> Data
 POLL_NO = "(poll_id + CAST(substring(entity_id, 5) AS BIGINT))"
 
 
-def spark_raw_polls(spark: SparkSession, folder: str) -> DataFrame:
+def spark_raw_polls(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Landed pages of the three application endpoints."""
     jobs = ["status", "numActiveTasks", "numCompletedTasks", "numFailedTasks"]
     return (
-        _page(spark_jobs(spark, folder), "jobs", jobs, POLL_NO)
-        .unionByName(_page(spark_stages(spark, folder), "stages", ["status"], POLL_NO))
+        _page(spark_jobs(spark, folder, read), "jobs", jobs, POLL_NO)
+        .unionByName(_page(spark_stages(spark, folder, read), "stages", ["status"], POLL_NO))
         .unionByName(
-            _page(spark_executors(spark, folder), "executors", [*EXECUTOR_FIELDS], POLL_NO)
+            _page(spark_executors(spark, folder, read), "executors", [*EXECUTOR_FIELDS], POLL_NO)
         )
     )
 

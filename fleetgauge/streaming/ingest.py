@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from fleetgauge.constants import POLL_INTERVALS
 from fleetgauge.session import new_folder
+from fleetgauge.sources.tables import table
 
 
 def stream_files(
@@ -26,6 +27,12 @@ def stream_files(
     return reader.parquet(folder)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables as a stream."""
+    schema = table(spark, folder, name).schema
+    return stream_files(spark, folder, schema, glob=f"{name}.parquet")
+
+
 def poll_interval(source: str, seconds: float | None = None) -> float:
     """Seconds between polls of a source: its default, or a value within its bounds."""
     default, low, high = POLL_INTERVALS[source]

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from fleetgauge.constants import POLL_INTERVALS
 from fleetgauge.operators import history, timelines
+from fleetgauge.operators.snapshots import spark_snapshot
 from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures
 from fleetgauge.sources.tables import table
 from fleetgauge.streaming import history as stream_history
+from fleetgauge.streaming import snapshots as stream_snapshots
 from fleetgauge.streaming import timelines as stream_timelines
 from fleetgauge.streaming.ingest import poll_interval, run_available, stream_files, trigger
 
@@ -93,6 +95,29 @@ def test_latest_meta_equals_batch(spark, landed):
     assert got.orderBy(*key).collect() == want.orderBy(*key).collect()
 
 
+def test_snapshots_of_polls_that_arrive_in_parts(spark, tmp_path):
+    """One endpoint per micro-batch, and one poll whose last page comes late."""
+    keys = ["entity_id", "poll_id"]
+    raw = fixtures.spark_raw_polls(spark, SF_DIR)
+    late = (F.col("endpoint") == "jobs") & (F.col("page") % 10 == 3)
+    folder, out = str(tmp_path / "raw"), new_folder(spark, "snapshots")
+    for part in (
+        raw.filter((F.col("endpoint") == "jobs") & ~late), raw.filter("endpoint = 'stages'"),
+        raw.filter("endpoint = 'executors'"), raw.filter(late),
+    ):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_files(spark, folder, raw.schema, files_per_batch=1)
+    wide = stream_snapshots.stream_snapshots(stream, spark_snapshot, keys, delay="1 day")
+    run_available(
+        spark, wide.writeStream.outputMode("update").foreachBatch(stream_history.batch_sink(out))
+    )
+    batches = stream_history.read_batches(spark, out)
+    got = stream_snapshots.newest_rows(batches, keys).drop("poll_ts")
+    want = spark_snapshot(raw, keys)
+    assert batches.select("batch_id").distinct().count() == 2
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+
+
 def test_poll_intervals():
     for source, (default, low, high) in POLL_INTERVALS.items():
         assert poll_interval(source) == default
