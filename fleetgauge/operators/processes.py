@@ -97,7 +97,7 @@ def _match_by_pieces(processes: DataFrame, owner: Column, patterns: DataFrame) -
     titles = (
         live.select("_command")
         .distinct()
-        .select("_command", F.explode(F.array_distinct(every_piece)).alias("pattern"))
+        .select("_command", F.explode_outer(F.array_distinct(every_piece)).alias("pattern"))
         .join(first, "pattern")
         .groupBy("_command")
         .agg(F.min_by("title", "priority").alias("title"))
