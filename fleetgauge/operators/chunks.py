@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of one series that one task sorts at ease.
+ROWS_PER_CHUNK = 1_000_000
+
 
 def time_chunk(ts: str, seconds: int) -> Column:
     """Consecutive spans of fixed length.
@@ -22,6 +25,36 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts)) / seconds)
 
 
+def busy_series(
+    df: DataFrame, keys: Sequence[str], at: Column, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Series with more rows than a chunk should hold, and how to cut them.
+
+    ``at`` is a whole number that grows along the series. There are at most as many
+    busy series as the data has chunks. The result is joined to the data, so store
+    it first: then Spark knows its size and broadcasts it only if it is small.
+    """
+    rows = F.count(F.lit(1))
+    step = F.floor((F.max(at) - F.min(at)) / F.ceil(rows / F.lit(rows_per_chunk))) + 1
+    return (
+        df.groupBy(*keys)
+        .agg(rows.alias("_rows"), F.min(at).alias("_first"), step.alias("_step"))
+        .filter(F.col("_rows") > rows_per_chunk)
+        .drop("_rows")
+    )
+
+
+def with_chunks(
+    df: DataFrame, keys: Sequence[str], at: Column, busy: DataFrame, name: str = "chunk"
+) -> DataFrame:
+    """Add the chunk of each row of a busy series; null for series left whole."""
+    return (
+        df.join(busy, [*keys], "left")
+        .withColumn(name, F.floor((at - F.col("_first")) / F.col("_step")))
+        .select(*df.columns, name)
+    )
+
+
 def with_carry_in(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,10 +66,12 @@ def with_carry_in(
 
     Copies have ``carried`` set and the chunk they are carried into. ``chunk`` must
     not decrease along ``order``. Chunks may hold fewer than ``rows`` rows; then a
-    row is carried over several of them, which keeps the result exact.
+    row is carried over several of them, which keeps the result exact. A series
+    without chunks is whole and needs no copies.
     """
+    cut = df.filter(F.col(chunk).isNotNull())
     newest = Window.partitionBy(*keys, chunk).orderBy(*[F.desc(name) for name in order])
-    tails = df.withColumn("_after", F.row_number().over(newest)).filter(F.col("_after") <= rows)
+    tails = cut.withColumn("_after", F.row_number().over(newest)).filter(F.col("_after") <= rows)
 
     # Tails hold every row that can be carried, so their places stand in for the
     # places in the whole series: a row is carried into each chunk that starts

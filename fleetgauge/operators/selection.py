@@ -52,7 +52,8 @@ def sticky_entity(
     anew. Failed polls report nothing. A poll without an entity goes to
     ``fallback``, or reports nothing where there is none.
 
-    ``chunk`` cuts the polls of a cluster in consecutive pieces. Each piece is
+    ``chunk`` cuts the polls of a cluster in consecutive pieces; null leaves it
+    whole. Each piece is
     worked on by itself, then the choice standing at its end is handed on through
     one summary row per piece, so no task needs all polls of a cluster. Polls
     without a cluster or a place in its order are left out.
@@ -64,7 +65,7 @@ def sticky_entity(
     earlier_fails = F.sum(failed).over(along.rowsBetween(Window.unboundedPreceding, -1))
     since_fail = Window.partitionBy(*by_chunk, "_fails").orderBy(order)
     pieces = (
-        polls.withColumn("_chunk", chunk)
+        polls.withColumn("_chunk", F.coalesce(chunk, F.lit(-1)))
         .filter(" AND ".join(f"`{name}` IS NOT NULL" for name in by_chunk))
         .withColumn("_fails", F.coalesce(earlier_fails, F.lit(0)))
         .withColumn(

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetgauge.operators import chunks
 from fleetgauge.operators import history as ops
-from fleetgauge.operators.chunks import time_chunk
 from fleetgauge.plans.registry import query
+from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
 
 ENTITY = ["entity_id"]
 SERIES = ["entity_id", "metric"]
 ORDER = ["ts", "sample_id"]
 
-# Series of the given events hold a few samples a day.
-CHUNK_SECONDS = 10 * 86400
+# Longer series are cut.
+ROWS_PER_CHUNK = chunks.ROWS_PER_CHUNK
 
 SAMPLES_SQL = """
     samples AS (
@@ -132,9 +133,10 @@ def rolling_sql(count: str, high: str, low: str) -> str:
 
 def _rolling(spark, sf_dir, padded):
     samples = fixtures.samples(spark, sf_dir)
-    rolled = ops.rolling_stats(
-        samples, ENTITY, ORDER, time_chunk("ts", CHUNK_SECONDS), padded=padded
-    )
+    at = F.unix_micros("ts")
+    busy = stored(chunks.busy_series(samples, ENTITY, at, ROWS_PER_CHUNK), "busy")
+    samples = chunks.with_chunks(samples, ENTITY, at, busy)
+    rolled = ops.rolling_stats(samples, ENTITY, ORDER, F.col("chunk"), padded=padded)
     return rolled.select("entity_id", "sample_id", "samples", "mean", "max", "min")
 
 

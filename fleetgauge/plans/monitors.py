@@ -14,7 +14,7 @@ from fleetgauge.operators import monitors as ops
 from fleetgauge.operators import processes, snapshots
 from fleetgauge.plans.processes import MATCH_SQL
 from fleetgauge.plans.registry import query
-from fleetgauge.plans.selection import CHUNK_POLLS
+from fleetgauge.plans.selection import cut_polls
 from fleetgauge.plans.snapshots import FLINK_SNAPSHOT_SQL, SPARK_SNAPSHOT_SQL
 from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
@@ -62,10 +62,9 @@ def spark_monitor(spark, sf_dir):
     )
 """ + stats_sql("filed", "cluster_id, entity_id", "poll_id", [*FLINK_LABELS]))
 def flink_monitor(spark, sf_dir):
-    chunk = F.floor(F.col("poll_id") / CHUNK_POLLS)
     raw = fixtures.flink_raw_polls(spark, sf_dir)
     polls = stored(snapshots.flink_polls(raw, ["cluster_id", "poll_id"]), "polls")
-    return ops.flink_monitor(polls, chunk)
+    return ops.flink_monitor(cut_polls(polls), F.col("chunk"))
 
 
 @query("process_monitor", MATCH_SQL + """,

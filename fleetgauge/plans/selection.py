@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetgauge.operators import chunks, timelines
 from fleetgauge.operators import selection as ops
-from fleetgauge.operators import timelines
 from fleetgauge.plans.registry import query
+from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
 
 POLL = ["cluster_id", "poll_id"]
 
-# Polls of one cluster per piece.
-CHUNK_POLLS = 4096
+# Clusters with more polls are cut.
+ROWS_PER_CHUNK = chunks.ROWS_PER_CHUNK
+
+
+def cut_polls(polls):
+    """Polls with the chunk of each poll of a busy cluster."""
+    keys, at = ["cluster_id"], F.col("poll_id")
+    busy = stored(chunks.busy_series(polls, keys, at, ROWS_PER_CHUNK), "busy")
+    return chunks.with_chunks(polls, keys, at, busy)
 
 
 @query("current_app", """
@@ -62,11 +70,10 @@ def sticky_sql(entity: str) -> str:
 
 
 def _sticky(spark, sf_dir, fallback):
-    polls = fixtures.poll_outcomes(spark, sf_dir)
-    chunk = F.floor(F.col("poll_id") / CHUNK_POLLS)
-    return ops.sticky_entity(polls, ["cluster_id"], "poll_id", chunk, fallback=fallback).select(
-        *POLL, "entity_id"
-    )
+    polls = cut_polls(fixtures.poll_outcomes(spark, sf_dir))
+    return ops.sticky_entity(
+        polls, ["cluster_id"], "poll_id", F.col("chunk"), fallback=fallback
+    ).select(*POLL, "entity_id")
 
 
 @query("sticky_entity", sticky_sql("choice"))
@@ -93,7 +100,5 @@ def sticky_entity_flink(spark, sf_dir):
     FROM seen WHERE NOT ok AND before
 """)
 def metric_errors_first(spark, sf_dir):
-    polls = fixtures.poll_outcomes(spark, sf_dir).withColumn(
-        "chunk", F.floor(F.col("poll_id") / CHUNK_POLLS)
-    )
+    polls = cut_polls(fixtures.poll_outcomes(spark, sf_dir))
     return timelines.first_errors(polls, ["cluster_id"], "chunk")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import history as ops
-from fleetgauge.operators.chunks import time_chunk
+from fleetgauge.operators.chunks import busy_series, time_chunk, with_chunks
 
 SCHEMA = "entity string, at long, id long, value double"
 
@@ -112,3 +112,21 @@ def test_rolling_stats_do_not_depend_on_the_cut(spark, width, padded):
 def test_time_chunk(spark):
     row = spark.sql("SELECT timestamp'1970-01-01 02:00:01' AS ts").select(time_chunk("ts", 3600))
     assert row.first()[0] == 2
+
+
+def test_only_busy_series_are_cut(spark):
+    rows = [("hot", i, i, 1.0) for i in range(100)] + [("calm", i, i, 1.0) for i in range(10)]
+    df = frame(spark, rows)
+    at = F.col("at")
+    cut = with_chunks(df, ["entity"], at, busy_series(df, ["entity"], at, rows_per_chunk=30))
+    sizes = {(r["entity"], r["chunk"]): r["count"] for r in cut.groupBy("entity", "chunk").count().collect()}
+    assert sizes == {
+        ("calm", None): 10, ("hot", 0): 25, ("hot", 1): 25, ("hot", 2): 25, ("hot", 3): 25,
+    }
+
+
+def test_series_at_a_single_moment_stays_one_chunk(spark):
+    df = frame(spark, [("hot", 5, i, 1.0) for i in range(50)])
+    at = F.col("at")
+    cut = with_chunks(df, ["entity"], at, busy_series(df, ["entity"], at, rows_per_chunk=10))
+    assert [r["chunk"] for r in cut.select("chunk").distinct().collect()] == [0]

@@ -35,3 +35,15 @@ def test_import_needs_no_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; assert e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("rows", [3, 40])
+@pytest.mark.parametrize("name", [
+    "rolling_stats", "rolling_stats_padded", "sticky_entity", "sticky_entity_flink",
+    "metric_errors_first", "flink_monitor",
+])
+def test_cut_series_match_sql(spark, tables, monkeypatch, name, rows):
+    """The same results when nearly every series is long enough to be cut."""
+    monkeypatch.setattr("fleetgauge.plans.history.ROWS_PER_CHUNK", rows)
+    monkeypatch.setattr("fleetgauge.plans.selection.ROWS_PER_CHUNK", rows)
+    assert compare(queries()[name](spark, SF_DIR), tables, oracle_sql()[name]) == []
