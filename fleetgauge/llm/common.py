@@ -40,14 +40,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema; only the driver can work it out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
 def sliced(
     df: DataFrame, text: str, work: Callable[[pa.RecordBatch], dict], schema: str
 ) -> DataFrame:
     """``work`` on slices of ``df``, as new columns by name."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import lengths, packing
+from fleetgauge.llm import chat, kdtree, lengths, packing, warc
 from fleetgauge.llm.common import shipped
 from fleetgauge.sources.tables import table
 
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_warc", warc.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
@@ -35,3 +40,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.encoded_lengths(table(spark, sf_dir, "documents"))
     return lengths.context_limits(lengths.length_histogram(counted))
+
+
+@query("op9_chat", chat.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_template_like(table(spark, sf_dir, "conversations"))
+    return chat.formatted_digests(rows)
+
+
+@query("op10_top_k", kdtree.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.nearest(table(spark, sf_dir, "embeddings"))
