@@ -20,6 +20,9 @@ from fleetgauge.session import configure
 #: UTF-8 bytes of text a task works on at once; a longer text is a slice by itself.
 SLICE_BYTES = 2 << 20
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 2048
+
 
 def column(name: str) -> Column:
     """A column by its exact name, dots and other signs included."""
@@ -89,4 +92,5 @@ def shipped(spark: SparkSession) -> SparkSession:
     Spark hands the source to each worker once, from the driver's file server.
     """
     _ship(spark.sparkContext.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return configure(spark)

@@ -11,7 +11,7 @@ from functools import cache
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 #: Strings of which a worker keeps the ids; further ones are encoded at each use.
-KEPT = 800_000
+KEPT = 250_000
 
 #: How the vocabulary's own pre-tokenizer cuts a text, for letters and digits up to
 #: U+00FF in lower case; fixed value.
