@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import chat, kdtree, lengths, packing, warc
+from fleetgauge.llm import chat, decontaminate, kdtree, lengths, packing, quality, warc
 from fleetgauge.llm.common import shipped
 from fleetgauge.sources.tables import table
 
@@ -31,6 +31,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+@query("op3_decontamination", decontaminate.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
