@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import chat, decontaminate, kdtree, lengths, packing, quality, warc
+from fleetgauge.llm import chat, decontaminate, kdtree, lengths, packing, quality, urls, warc
 from fleetgauge.llm.common import shipped
 from fleetgauge.sources.tables import table
 
@@ -48,6 +48,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op6_url_filters", urls.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.encoded_lengths(table(spark, sf_dir, "documents"))
