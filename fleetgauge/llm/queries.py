@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import chat, decontaminate, kdtree, lengths, packing, quality, urls, warc
+from fleetgauge.llm import (
+    chat,
+    decontaminate,
+    kdtree,
+    lengths,
+    near_dedup,
+    packing,
+    quality,
+    urls,
+    warc,
+)
 from fleetgauge.llm.common import shipped
 from fleetgauge.sources.tables import table
 
@@ -31,6 +41,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+@query("op2_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op3_decontamination", decontaminate.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(
