@@ -72,6 +72,19 @@ def sliced(
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """Rows of ``df`` whose text ``keep`` accepts, with all columns, where they are read."""
+    packed = df.select(F.struct("*").alias("row"), column(text).alias("text"))
+
+    def work(part: pa.RecordBatch) -> dict:
+        chosen = pa.array(keep(part.column("text").to_pylist()), pa.bool_())
+        return {"row": part.column("row").filter(chosen)}
+
+    row = packed.schema["row"].dataType.simpleString()
+    kept = sliced(packed, "text", work, f"row {row}")
+    return kept.select(*(F.col("row").getField(name).alias(name) for name in df.columns))
+
+
 @cache
 def _ship(application: str) -> None:
     from pyspark import SparkContext

@@ -19,13 +19,15 @@ besides the named ones are never read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import column, sliced
+from fleetgauge.llm.common import column, kept_rows, sliced
 from fleetgauge.llm.text import shingle_hashes, word_hashes
 from fleetgauge.session import stored
 
@@ -57,7 +59,7 @@ class Index:
     """The sketches of a block of items, by hash."""
 
     def __init__(self, shingles: list[np.ndarray], threshold: float):
-        self.items = shingles
+        self.items, self.threshold = shingles, threshold
         keys, owners = [], []
         for item, hashes in enumerate(shingles):
             largest = (1 << len(hashes).bit_length()) - 1
@@ -81,6 +83,38 @@ class Index:
         at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         return np.unique(np.column_stack([doc, self.owners[at]]), axis=0)
 
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
+        """Rows of texts, the items they contain, and how many shingles of each."""
+        hashes, of = shingle_hashes(*word_hashes(texts))
+        hits = []
+        for doc, item in self.candidates(hashes, of):
+            start, end = np.searchsorted(of, [doc, doc + 1])
+            wanted = self.items[item]
+            matched = int(np.isin(wanted, hashes[start:end]).sum())
+            if matched >= self.threshold * len(wanted) - 1e-9:
+                hits.append((int(doc), int(item), matched))
+        return hits
+
+
+def _blocks(
+    items: DataFrame, item_id: str, text: str, threshold: float
+) -> Iterator[Broadcast]:
+    """Broadcast item ids and indexes, a bounded number of shingles at a time."""
+    spark = items.sparkSession
+    known = stored(item_shingles(items, item_id, text), "items")
+    total = known.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-total // BLOCK))
+    for number in range(blocks):
+        own = F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == number
+        rows = known.filter(own).toArrow()
+        if rows.num_rows:
+            hashes = [
+                np.asarray(x, np.int64).view(np.uint64)
+                for x in rows.column("shingles").to_pylist()
+            ]
+            ids = rows.column("item_id").to_pylist()
+            yield spark.sparkContext.broadcast((ids, Index(hashes, threshold)))
+
 
 def contained(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
@@ -92,51 +126,43 @@ def contained(
     ``doc_id, item_id, matched`` (the item's shingles found), ``item_shingles`` and
     ``containment``.
     """
-    spark = docs.sparkSession
-    known = stored(item_shingles(items, item_id, item_text), "items")
-    total = known.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-total // BLOCK))
     read = docs.select(
         column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text")
     )
     schema = "doc_id bigint, item_id bigint, matched bigint, item_shingles bigint"
-    found = None
-    for number in range(blocks):
-        own = F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == number
-        rows = known.filter(own).toArrow()
-        ids = rows.column("item_id").to_pylist()
-        hashes = [
-            np.asarray(x, np.int64).view(np.uint64) for x in rows.column("shingles").to_pylist()
-        ]
-        if not ids:
-            continue
-        shared = spark.sparkContext.broadcast((ids, Index(hashes, threshold)))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for shared in _blocks(items, item_id, item_text, threshold):
 
         def work(part: pa.RecordBatch, shared=shared) -> dict:
             ids, index = shared.value
-            hashes, of = shingle_hashes(*word_hashes(part.column("text").to_pylist()))
-            pairs = index.candidates(hashes, of)
-            first = np.searchsorted(of, pairs[:, 0], "left")
-            last = np.searchsorted(of, pairs[:, 0], "right")
-            made: dict[str, list] = {n.split()[0]: [] for n in schema.split(", ")}
+            hits = index.search(part.column("text").to_pylist())
             doc_ids = part.column("doc_id").to_pylist()
-            for (doc, item), start, end in zip(pairs, first, last, strict=True):
-                wanted = index.items[item]
-                matched = int(np.isin(wanted, hashes[start:end]).sum())
-                if matched >= threshold * len(wanted) - 1e-9:
-                    made["doc_id"].append(doc_ids[doc])
-                    made["item_id"].append(ids[item])
-                    made["matched"].append(matched)
-                    made["item_shingles"].append(len(wanted))
-            return made
-
-        part = sliced(read, "text", work, schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+            return {
+                "doc_id": [doc_ids[doc] for doc, _, _ in hits],
+                "item_id": [ids[item] for _, item, _ in hits],
+                "matched": [matched for _, _, matched in hits],
+                "item_shingles": [len(index.items[item]) for _, item, _ in hits],
+            }
+
+        found = found.unionAll(sliced(read, "text", work, schema))
     return found.withColumn("containment", F.col("matched") / F.col("item_shingles"))
 
 
+def clean_rows(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text",
+    item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows that contain no item, with all their columns; nothing is shuffled."""
+    for shared in _blocks(items, item_id, item_text, threshold):
+
+        def clean(texts: list[str | None], shared=shared) -> list[bool]:
+            hit = {doc for doc, _, _ in shared.value[1].search(texts)}
+            return [row not in hit for row in range(len(texts))]
+
+        docs = kept_rows(docs, text, clean)
+    return docs
+
+
 SQL = r"""
 WITH w AS (
   SELECT doc_id AS id, 0 AS kind, string_split_regex(trim(lower(text)), '\s+') AS w

@@ -251,3 +251,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         .otherwise(F.coalesce(F.when(F.col("bands").isNotNull(), F.col("class_id")), "doc_id"))
         .alias("class_id"),
     )
+
+
+def first_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, the one with the smallest id, with all its columns.
+
+    Rows without an id stay; of rows with one id one stays.
+    """
+    ids = column(doc_id).cast("bigint")
+    dropped = classes(docs, doc_id, text).filter(F.col("doc_id") != F.col("class_id"))
+    gone = stored(dropped.select(F.col("doc_id").alias("gone")).distinct(), "copies")
+    kept = docs.join(gone, ids == F.col("gone"), "left_anti")
+    if docs.groupBy(ids.alias("id")).count().filter("id IS NOT NULL AND count > 1").isEmpty():
+        return kept
+    named = kept.filter(ids.isNotNull()).dropDuplicates([doc_id])
+    return named.unionAll(kept.filter(ids.isNull()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import column, sliced
+from fleetgauge.llm.common import column, kept_rows, sliced
 from fleetgauge.llm.text import word_hashes
 
 #: Labelled rows the classifier is fitted on, at most: the bound of what is broadcast.
@@ -167,3 +167,9 @@ def score(
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     result = score(docs, fit(docs, labels))
     return result.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def good_rows(docs: DataFrame, voters: Voters, text: str = "text") -> DataFrame:
+    """The rows that score as good, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    return kept_rows(docs, text, lambda texts: (shared.value.scores(texts) >= GOOD).tolist())

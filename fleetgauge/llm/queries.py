@@ -14,6 +14,7 @@ from fleetgauge.llm import (
     near_dedup,
     packing,
     quality,
+    suffixes,
     urls,
     warc,
 )
@@ -74,6 +75,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.length_histogram(counted))
 
 
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op9_chat", chat.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_template_like(table(spark, sf_dir, "conversations"))
