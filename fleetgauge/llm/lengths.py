@@ -23,7 +23,7 @@ from fleetgauge.llm.tokens import encoder, vocabulary
 LIMITS = [2**k for k in range(7, 18)]
 
 #: Lengths summed by one task.
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(
