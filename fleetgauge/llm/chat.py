@@ -247,11 +247,11 @@ WITH rows AS (
     (-7, 1, 'assistant', '\### Assistant: </turn> ok')
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
     AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
     AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
     FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('### ' || role || ': ' || text || '</turn>' || chr(10))
     + length(regexp_replace(text, '[^\\#<]', '', 'g'))

@@ -173,11 +173,13 @@ def compared(found: DataFrame) -> DataFrame:
         edge = np.zeros(len(first), bool)
         edge[[0, -1]] = True
         size = np.diff(np.append(first, len(key)))
-        open_ = np.repeat((kinds > 1) | edge, size) & new_whole
+        earliest = np.maximum.accumulate(np.where(new_whole, np.arange(len(key)), 0))
+        later = (d != d[earliest]) | (start != start[earliest])
+        open_ = np.repeat((kinds > 1) | edge, size) & ~later
         split = np.repeat(edge | (kinds > GROUP), size)
         parts = np.repeat(-(-kinds // GROUP), size)
         part = np.where(split, mix(d.astype(np.uint64)) % parts.astype(np.uint64), 0)
-        for rows, is_open in ((np.flatnonzero(~new_whole), False), (np.flatnonzero(open_), True)):
+        for rows, is_open in ((np.flatnonzero(later), False), (np.flatnonzero(open_), True)):
             for i in range(0, len(rows), 100_000):
                 own = rows[i : i + 100_000]
                 columns = [pa.array(x[own]) for x in (d, t, start, n)]

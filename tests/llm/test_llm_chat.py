@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow.parquet as pq
 import pytest
 
 from oracle import connect
@@ -16,7 +17,7 @@ ROWS = [
 
 def test_digests_equal_sql(spark, frame, tmp_path):
     rows = chat.with_template_like(frame(ROWS, SCHEMA))
-    frame(ROWS, SCHEMA).coalesce(1).toPandas().to_parquet(tmp_path / "conversations.parquet")
+    pq.write_table(frame(ROWS, SCHEMA).toArrow(), tmp_path / "conversations.parquet")
     con = connect(str(tmp_path))
     want = con.execute(chat.SQL).fetchall()
     got = chat.formatted_digests(rows.repartition(3)).collect()

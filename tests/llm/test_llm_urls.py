@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 
 from oracle import compare, connect
@@ -31,7 +32,7 @@ def unique(rows):
 def test_links_and_rules_equal_sql(spark, frame, tmp_path):
     rows = unique(PAGES)
     df = frame(rows, SCHEMA)
-    df.toPandas().to_parquet(tmp_path / "pages.parquet")
+    pq.write_table(df.toArrow(), tmp_path / "pages.parquet")
     assert compare(urls.judged(df.repartition(3)), connect(str(tmp_path)), urls.SQL) == []
 
 
