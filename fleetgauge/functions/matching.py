@@ -34,7 +34,8 @@ def first_title(command: Column, patterns: Sequence[Pattern]) -> Column:
         text = item.get("pattern")
         if not text:
             continue
-        hit, title = command.contains(text), F.lit(item.get("title") or text)
+        title = item.get("title")
+        hit, title = command.contains(text), F.lit(text if title is None else title)
         label = F.when(hit, title) if label is None else label.when(hit, title)
     return F.lit(None).cast("string") if label is None else label
 

@@ -22,6 +22,23 @@ def is_object(text: Column) -> Column:
     return text.startswith("{")
 
 
+def record_list(payload: Column, record: str) -> Column:
+    """The records of a listing; null for anything that is no whole JSON list."""
+    listing = F.from_json(payload, f"ARRAY<{record}>")
+    # Spark reads a lone object as a list of one.
+    return F.when(is_list(F.ltrim(payload)), listing)
+
+
+def page_object(payload: Column, schema: str) -> Column:
+    """A landed object, with its text in ``_bad`` where that is no whole JSON object."""
+    with_text = schema[: -len(">")] + ", _bad: STRING>"
+    return F.from_json(payload, with_text, {"columnNameOfCorruptRecord": "_bad"})
+
+
+def readable(page: Column) -> Column:
+    return page.isNotNull() & page["_bad"].isNull()
+
+
 def members(document: Column) -> Column:
     """Top-level members of a JSON object, null for anything else."""
     return F.from_json(document, OBJECT)

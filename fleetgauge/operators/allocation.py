@@ -36,9 +36,14 @@ def _rules() -> dict[str, Column]:
 
 
 def check_plans(plans: DataFrame) -> DataFrame:
-    """Add the names of the rules each plan breaks, and whether it breaks none."""
+    """Add the names of the rules each plan breaks, and whether it breaks none.
+
+    A rule that cannot be told, for a missing number, is broken.
+    """
     broken = F.array_compact(
-        F.array(*[F.when(~rule, F.lit(name)) for name, rule in _rules().items()])
+        F.array(*[
+            F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in _rules().items()
+        ])
     )
     return plans.withColumn("violated", broken).withColumn(
         "feasible", F.size("violated") == 0

@@ -9,50 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one series that one task sorts at ease.
-ROWS_PER_CHUNK = 1_000_000
+from fleetgauge.session import stored
 
 
-def time_chunk(ts: str, seconds: int) -> Column:
-    """Consecutive spans of fixed length.
-
-    A good span holds many more samples of a usual series than its windows look
-    back, and no more samples of the busiest series than one task can sort.
-    """
-    return F.floor(F.unix_seconds(F.col(ts)) / seconds)
-
-
-def busy_series(
-    df: DataFrame, keys: Sequence[str], at: Column, rows_per_chunk: int = ROWS_PER_CHUNK
+def with_chunks(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    pieces: int | None = None,
+    name: str = "chunk",
 ) -> DataFrame:
-    """Series with more rows than a chunk should hold, and how to cut them.
+    """Rows in consecutive chunks of about equal size, along the keys and the order.
 
-    ``at`` is a whole number that grows along the series. There are at most as many
-    busy series as the data has chunks. The result is joined to the data, so store
-    it first: then Spark knows its size and broadcasts it only if it is small.
+    Spark samples the bounds from the rows themselves, so a burst, or many rows with one
+    time, are cut as evenly as the rest, and a long series has as many chunks as its rows
+    ask for. Rows without a place in the order stand before all others. The result is
+    written, because the bounds must not be sampled twice.
     """
-    rows = F.count(F.lit(1))
-    step = F.floor((F.max(at) - F.min(at)) / F.ceil(rows / F.lit(rows_per_chunk))) + 1
-    return (
-        df.groupBy(*keys)
-        .agg(rows.alias("_rows"), F.min(at).alias("_first"), step.alias("_step"))
-        .filter(F.col("_rows") > rows_per_chunk)
-        .drop("_rows")
-    )
-
-
-def with_chunks(
-    df: DataFrame, keys: Sequence[str], at: Column, busy: DataFrame, name: str = "chunk"
-) -> DataFrame:
-    """Add the chunk of each row of a busy series; null for series left whole."""
-    return (
-        df.join(busy, [*keys], "left")
-        .withColumn(name, F.floor((at - F.col("_first")) / F.col("_step")))
-        .select(*df.columns, name)
-    )
+    spark = df.sparkSession
+    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(pieces, *keys, *order)
+    return stored(ranged.withColumn(name, F.spark_partition_id()), "chunks")
 
 
 def with_carry_in(

@@ -1,7 +1,8 @@
 """Bounded histories: the last N samples of a series and their statistics.
 
 Samples are long rows. ``keys`` name the series and ``order`` names the columns
-that order its samples from oldest to newest; together they must be unique.
+that order its samples from oldest to newest; together they must be unique. A null
+value has a place in the history, but statistics neither count nor add it.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _mean(total: Column, count: Column) -> Column:
 
 def series_stats(recent: DataFrame, keys: Names, value: str = "value") -> DataFrame:
     """Mean, maximum and minimum of each series of ``last_n`` rows."""
-    samples = F.count(F.lit(1))
+    samples = F.count(value)
     return recent.groupBy(*keys).agg(
         samples.alias("samples"),
         _mean(F.sum(value), samples).alias("mean"),
@@ -86,7 +87,7 @@ def padded_stats(
     recent: DataFrame, keys: Names, value: str = "value", n: int = HISTORY_SIZE
 ) -> DataFrame:
     """Statistics of the zero-padded history, without building the padding."""
-    samples = F.count(F.lit(1))
+    samples = F.count(value)
     high, low = F.max(value).cast("double"), F.min(value).cast("double")
     short = samples < n
     return recent.groupBy(*keys).agg(
@@ -123,7 +124,7 @@ def rolling_stats(
     """
     pieces = with_carry_in(df.withColumn("_chunk", chunk), keys, "_chunk", order, n - 1)
     ring = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(1 - n, 0)
-    samples = F.count(F.lit(1)).over(ring)
+    samples = F.count(value).over(ring)
     high, low = F.max(value).over(ring).cast("double"), F.min(value).over(ring).cast("double")
     size = samples
     if padded:

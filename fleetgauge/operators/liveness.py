@@ -10,13 +10,16 @@ from fleetgauge.constants import PROCESS_PATTERNS
 NO_WORKERS = "no workers configured"
 
 
-def workers_up(expected: DataFrame, listed: DataFrame) -> DataFrame:
+def workers_up(expected: DataFrame, listed: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Compare the number of expected hosts with the number of active workers.
 
     ``expected`` has ``cluster_id``, ``framework`` and ``host``; a cluster without
     workers is a row without host. ``listed`` has ``cluster_id``, ``state`` and
     ``host``; task managers have neither state nor distinct hosts. The numbers are
     compared, not the names. Both sides are folded to hosts before they meet.
+
+    ``errors`` has ``cluster_id`` and the ``message`` of listings that failed; such a
+    cluster is not up, and the first message is told.
     """
     sides = expected.select(
         "cluster_id", "framework", "host", F.lit(1).alias("expected"),
@@ -43,15 +46,25 @@ def workers_up(expected: DataFrame, listed: DataFrame) -> DataFrame:
     )
     known = (wanted > 0) & framework.isin("spark", "flink")
     checked = F.coalesce(known, F.lit(False))
-    return hosts.groupBy("cluster_id").agg(
+    counted = hosts.groupBy("cluster_id").agg(
         (checked & (wanted == active)).alias("ok"),
         active.alias("active_count"),
         F.when(checked, F.lit("")).otherwise(F.lit(NO_WORKERS)).alias("message"),
     )
+    if errors is None:
+        return counted
+    failed = errors.groupBy("cluster_id").agg(F.min("message").alias("_error"))
+    told = (F.col("message") == "") & F.col("_error").isNotNull()
+    return counted.join(failed, "cluster_id", "left").select(
+        "cluster_id",
+        (F.col("ok") & ~told).alias("ok"),
+        "active_count",
+        F.when(told, F.col("_error")).otherwise(F.col("message")).alias("message"),
+    )
 
 
 def cluster_up(
-    expected: DataFrame, listed: DataFrame, processes: DataFrame
+    expected: DataFrame, listed: DataFrame, processes: DataFrame, errors: DataFrame | None = None
 ) -> DataFrame:
     """Clusters whose master process runs under its owner and whose workers are up.
 
@@ -62,13 +75,13 @@ def cluster_up(
     is_master = F.lit(False)
     for framework, patterns in PROCESS_PATTERNS.items():
         master = dict(patterns)["Master"]
-        is_master = is_master | ((F.col("framework") == framework) & command.contains(master))
+        is_master = is_master | ((F.lower("framework") == framework) & command.contains(master))
     masters = processes.groupBy("cluster_id").agg(
         F.bool_or((F.col("username") == F.col("owner")) & is_master).alias("_found")
     )
     found = F.coalesce("_found", F.lit(False))
     return (
-        workers_up(expected, listed)
+        workers_up(expected, listed, errors)
         .join(masters, "cluster_id", "left")
         .select(
             "cluster_id",

@@ -55,52 +55,65 @@ def match_processes_table(
 ) -> DataFrame:
     """``match_processes`` with the patterns in a table of ``priority``, ``title``, ``pattern``.
 
-    The table is looked at once: up to ``max_inline`` patterns become one
+    The pattern of lowest priority counts; missing priorities come last, and ties go to
+    the smaller pattern, then title. An empty title is a title, a missing one is the
+    pattern. The table is looked at once: up to ``max_inline`` patterns become one
     expression, so processes are not moved at all. A longer table is joined.
     """
     usable = patterns.filter(F.coalesce("pattern", F.lit("")) != "").withColumn(
         "title", matching.pattern_label(F.col("title"), F.col("pattern"))
     )
-    head = usable.orderBy("priority").limit(max_inline + 1).collect()
+    order = (F.col("priority").asc_nulls_last(), "pattern", "title")
+    head = usable.orderBy(*order).limit(max_inline + 1).collect()
     if len(head) <= max_inline:
         return match_processes(
             processes, owner, [{"title": r["title"], "pattern": r["pattern"]} for r in head]
         )
-    return _match_by_pieces(processes, owner, usable)
+    return _match_by_starts(processes, owner, usable)
 
 
-def _match_by_pieces(processes: DataFrame, owner: Column, patterns: DataFrame) -> DataFrame:
-    """Pair commands and patterns over equal texts.
+def _match_by_starts(processes: DataFrame, owner: Column, patterns: DataFrame) -> DataFrame:
+    """Pair commands and patterns over the first characters of the patterns.
 
-    A command contains a pattern if one of its pieces of the pattern's length is
-    equal to it, so an equality join finds exactly the matches. Every distinct
-    command is cut in pieces once.
+    Patterns are taken in bands of length, up to twice the shortest; a pattern's start
+    of that length must stand somewhere in the command. Each place of each distinct
+    command is a row with that short text and the command's hash; commands come back in
+    only for the pairs, which are then tested whole.
     """
     live = processes.filter(
         matching.is_monitored(F.col("status"), F.col("username"), owner)
     ).withColumn("_command", matching.command_text(F.col("cmdline")))
-
-    # As many values as patterns differ in length.
-    lengths = sorted(
-        r[0] for r in patterns.select(F.length("pattern")).distinct().collect()
+    size = F.pow(2, F.floor(F.log2(F.length("pattern")))).cast("int")
+    rank = F.struct(
+        F.col("priority").isNull().alias("none"), "priority", F.col("pattern").alias("text"), "title"
     )
-    text = F.col("_command")
-
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-
-    first = patterns.groupBy("pattern").agg(
-        F.min_by("title", "priority").alias("title"), F.min("priority").alias("priority")
+    first = (
+        patterns.groupBy("pattern").agg(F.min(rank).alias("rank"))
+        .withColumn("size", size)
+        .withColumn("start", F.substring("pattern", F.lit(1), F.col("size")))
     )
-    every_piece = F.flatten(F.array(*[pieces(size) for size in lengths]))
+    # At most as many bands as a length has binary digits.
+    bands = sorted(r[0] for r in first.select("size").distinct().collect())
+    commands = live.select("_command").distinct().withColumn("_hash", F.xxhash64("_command"))
+    starts = None
+    for band in bands:
+        places = F.sequence(F.lit(1), F.length("_command") - band + 1)
+        rows = (
+            commands.filter(F.length("_command") >= band)
+            .select("_hash", "_command", F.explode(places).alias("_place"))
+            .select(
+                "_hash", F.lit(band).alias("size"),
+                F.substring("_command", F.col("_place"), F.lit(band)).alias("start"),
+            )
+            .distinct()
+        )
+        starts = rows if starts is None else starts.unionAll(rows)
     titles = (
-        live.select("_command")
-        .distinct()
-        .select("_command", F.explode_outer(F.array_distinct(every_piece)).alias("pattern"))
-        .join(first, "pattern")
-        .groupBy("_command")
-        .agg(F.min_by("title", "priority").alias("title"))
+        starts.join(first, ["size", "start"])
+        .select("_hash", "pattern", "rank")
+        .join(commands, "_hash")
+        .filter(F.col("_command").contains(F.col("pattern")))
+        .groupBy("_command").agg(F.min("rank")["title"].alias("title"))
     )
     return live.join(titles, "_command").drop("_command")
 

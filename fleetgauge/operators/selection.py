@@ -56,7 +56,7 @@ def sticky_entity(
     whole. Each piece is
     worked on by itself, then the choice standing at its end is handed on through
     one summary row per piece, so no task needs all polls of a cluster. Polls
-    without a cluster or a place in its order are left out.
+    without a place in the order are left out; those without a cluster are one.
     """
     offered = F.col(candidate)
     by_chunk = [*keys, "_chunk"]
@@ -66,7 +66,7 @@ def sticky_entity(
     since_fail = Window.partitionBy(*by_chunk, "_fails").orderBy(order)
     pieces = (
         polls.withColumn("_chunk", F.coalesce(chunk, F.lit(-1)))
-        .filter(" AND ".join(f"`{name}` IS NOT NULL" for name in by_chunk))
+        .filter(F.col(order).isNotNull())
         .withColumn("_fails", F.coalesce(earlier_fails, F.lit(0)))
         .withColumn(
             "_choice",
@@ -105,12 +105,18 @@ def sticky_entity(
                 .rowsBetween(Window.unboundedPreceding, 0)
             ),
         )
-        .select(*by_chunk, F.lag("_standing").over(history).alias("_carried"))
+        .select(
+            *[F.col(name).alias(f"{name}_") for name in by_chunk],
+            F.lag("_standing").over(history).alias("_carried"),
+        )
     )
+    same_piece = F.lit(True)
+    for name in by_chunk:
+        same_piece = same_piece & F.col(name).eqNullSafe(F.col(f"{name}_"))
     inherited = F.when(F.col("_fails") == 0, F.col("_carried"))
     chosen = F.coalesce(inherited, "_choice", F.lit(fallback).cast("string"))
     return (
-        pieces.join(summary, by_chunk)
+        pieces.join(summary, same_piece)
         .filter(F.col(ok))
         .withColumn("entity_id", chosen)
         .filter(F.col("entity_id").isNotNull())

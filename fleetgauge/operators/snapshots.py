@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import schemas
-from fleetgauge.functions import units
+from fleetgauge.functions import payloads, units
 
 Names = Sequence[str]
 
@@ -22,11 +22,6 @@ def _total(value: Column) -> Column:
     return units.or_zero(F.sum(value))
 
 
-def _mib(value: Column) -> Column:
-    # Whole bytes are added first and divided once, which stays exact.
-    return units.bytes_to_mib(_total(value))
-
-
 def job_count_aggs(status: Column) -> list[Column]:
     return [
         F.count_if(status == "RUNNING").alias("active_jobs"),
@@ -51,28 +46,40 @@ def task_total_aggs(job: Column) -> list[Column]:
     ]
 
 
-def executor_total_aggs(executor: Column) -> list[Column]:
+def executor_sums(executor: Column) -> list[Column]:
+    """Sums that can be added up further; sizes are still bytes."""
     heap = F.when(
         executor.isNotNull(),
         units.heap_bytes(executor["peakMemoryMetrics"], executor["memoryMetrics"]),
     )
+    values = {
+        "total_cores": executor["totalCores"],
+        "total_memory_mb": executor["memoryUsed"],
+        "total_disk_usage_mb": executor["diskUsed"],
+        "total_input_mb": executor["totalInputBytes"],
+        "total_shuffle_read_mb": executor["totalShuffleRead"],
+        "total_shuffle_write_mb": executor["totalShuffleWrite"],
+        "total_gc_time_ms": executor["totalGCTime"],
+        "total_duration_ms": executor["totalDuration"],
+        "jvm_heap_used_mb": heap,
+    }
     return [
         F.count(executor).alias("executor_count"),
-        _total(executor["totalCores"]).alias("total_cores"),
-        _mib(executor["memoryUsed"]).alias("total_memory_mb"),
-        _mib(executor["diskUsed"]).alias("total_disk_usage_mb"),
-        _mib(executor["totalInputBytes"]).alias("total_input_mb"),
-        _mib(executor["totalShuffleRead"]).alias("total_shuffle_read_mb"),
-        _mib(executor["totalShuffleWrite"]).alias("total_shuffle_write_mb"),
-        _total(executor["totalGCTime"]).alias("total_gc_time_ms"),
-        _total(executor["totalDuration"]).alias("total_duration_ms"),
-        _mib(heap).alias("jvm_heap_used_mb"),
+        *[_total(value).alias(name) for name, value in values.items()],
     ]
 
 
-def _with(keys: Names, *columns: str) -> list[str]:
-    """Keys and further columns, each once; a stream's keys include ``poll_ts``."""
-    return [*dict.fromkeys([*keys, *columns])]
+def in_units(sums: DataFrame) -> list[Column]:
+    """All columns; those of sizes in MiB. Whole bytes are divided once, which is exact."""
+    return [
+        units.bytes_to_mib(F.col(name)).alias(name) if name.endswith("_mb") else F.col(name)
+        for name in sums.columns
+    ]
+
+
+def executor_totals(executors: DataFrame, keys: Names, executor: Column) -> DataFrame:
+    sums = executors.groupBy(*keys).agg(*executor_sums(executor))
+    return sums.select(*in_units(sums))
 
 
 def _polls(pages: DataFrame, keys: Names, endpoints: Names, aggs: list[Column]) -> DataFrame:
@@ -88,22 +95,24 @@ def _polls(pages: DataFrame, keys: Names, endpoints: Names, aggs: list[Column])
     )
 
 
-def spark_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
-    """Job, stage, task and executor figures, one row per application and poll.
+SPARK_PAGES = ("jobs", "stages", "executors")
+_STATE = {"_ts": F.max, "_ok": F.bool_and, **{f"_has_{name}": F.bool_or for name in SPARK_PAGES}}
+
 
-    The three listings are parsed with one record type and aggregated together:
-    one pass and one shuffle, instead of three aggregates joined afterwards. A
-    listing that arrived empty counts as zeros.
+def spark_parts(raw: DataFrame, keys: Names) -> DataFrame:
+    """Sums over the pages at hand, one row per application and poll.
+
+    The three listings are parsed with one record type and aggregated together: one
+    pass and one shuffle. Parts of a poll add up (``merge_parts``), whatever pages
+    each was made of.
     """
-    endpoints = ("jobs", "stages", "executors")
-    keep = _with(keys, "endpoint", "poll_ts")
-    parsed = F.from_json("payload", f"ARRAY<{schemas.SPARK_RECORD}>")
+    parsed = payloads.record_list(F.col("payload"), schemas.SPARK_RECORD)
     pages = (
-        raw.filter(F.col("endpoint").isin(*endpoints))
-        .select(*keep, "ok", parsed.alias("_records"))
+        raw.filter(F.col("endpoint").isin(*SPARK_PAGES))
+        .select(*keys, "endpoint", "poll_ts", "ok", parsed.alias("_records"))
         .select(
-            *keep,
-            (F.col("ok") & F.col("_records").isNotNull()).alias("page_ok"),
+            *keys, "endpoint", "poll_ts",
+            F.coalesce(F.col("ok") & F.col("_records").isNotNull(), F.lit(False)).alias("page_ok"),
             F.explode_outer("_records").alias("_record"),
         )
     )
@@ -111,13 +120,43 @@ def spark_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
     def of(endpoint: str) -> Column:
         return F.when(F.col("endpoint") == endpoint, F.col("_record"))
 
-    aggs = [
+    return pages.groupBy(*keys).agg(
         *job_count_aggs(of("jobs")["status"]),
         *stage_count_aggs(of("stages")["status"]),
         *task_total_aggs(of("jobs")),
-        *executor_total_aggs(of("executors")),
-    ]
-    return _polls(pages, keys, endpoints, aggs).filter("ok").drop("ok")
+        *executor_sums(of("executors")),
+        F.max("poll_ts").alias("_ts"),
+        F.bool_and("page_ok").alias("_ok"),
+        *[F.bool_or(F.col("endpoint") == name).alias(f"_has_{name}") for name in SPARK_PAGES],
+    )
+
+
+def merge_parts(parts: DataFrame, keys: Names) -> DataFrame:
+    """Parts of the same polls added up."""
+    names = [name for name in parts.columns if name not in keys]
+    return parts.groupBy(*keys).agg(
+        *[_STATE.get(name, F.sum)(F.col(name)).alias(name) for name in names]
+    )
+
+
+def complete_polls(parts: DataFrame, keys: Names) -> DataFrame:
+    """Figures of the polls of which all endpoints arrived and could be read."""
+    whole = F.col("_ok")
+    for name in SPARK_PAGES:
+        whole = whole & F.col(f"_has_{name}")
+    sums = parts.drop(*_STATE)
+    return parts.filter(whole).select(
+        *in_units(sums), F.date_format("_ts", "HH:mm:ss").alias("timestamp")
+    )
+
+
+def spark_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
+    """Job, stage, task and executor figures, one row per application and poll.
+
+    A listing that arrived empty counts as zeros. A poll with a failed, missing or
+    unreadable page gives nothing.
+    """
+    return complete_polls(spark_parts(raw, keys), keys)
 
 
 def status_histogram(jobs: DataFrame, keys: Names) -> DataFrame:
@@ -136,10 +175,12 @@ def flink_polls(raw: DataFrame, keys: Names) -> DataFrame:
     """
     endpoints = ("overview", "jobs", "taskmanagers")
     pages = raw.filter(F.col("endpoint").isin(*endpoints)).select(
-        *_with(keys, "endpoint", "poll_ts", "page", "ok"),
-        F.from_json("payload", schemas.FLINK_OBJECT).alias("_doc"),
+        *keys, "endpoint", "poll_ts", "page", "ok",
+        payloads.page_object(F.col("payload"), schemas.FLINK_OBJECT).alias("_doc"),
+    )
+    pages = pages.withColumn(
+        "page_ok", F.coalesce(F.col("ok") & payloads.readable(F.col("_doc")), F.lit(False))
     )
-    pages = pages.withColumn("page_ok", F.col("ok") & F.col("_doc").isNotNull())
     jobs, doc = F.col("_doc.jobs"), F.col("_doc")
 
     def listed(values: Column) -> Column:

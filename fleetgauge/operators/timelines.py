@@ -83,12 +83,24 @@ def merge_points(
     Repeated points are folded before the shuffle, on (series, timestamp), so a
     series that is sent again and again is spread by its timestamps.
     """
-    merged = points.groupBy(*series, "ts").agg(
-        F.min_by("value", F.struct(poll, "position")).alias("value")
-    )
+    merged = fold_points(points, series, poll).drop("seen")
     return merged if keep is None else last_n(merged, series, ["ts"], keep)
 
 
+def fold_points(points: DataFrame, series: Names, poll: str = "poll_id") -> DataFrame:
+    """First value seen for each timestamp, with when it was ``seen``.
+
+    The place of a point is one number, poll before position, so that the fold is a
+    hash aggregate and sorts nothing. Folds of parts can be folded again.
+    """
+    if "seen" not in points.columns:
+        place = F.col(poll).cast("decimal(20,0)") * 10_000_000_000 + F.col("position")
+        points = points.withColumn("seen", place.cast("decimal(38,0)"))
+    return points.groupBy(*series, "ts").agg(
+        F.min_by("value", "seen").alias("value"), F.min("seen").alias("seen")
+    )
+
+
 META = ("unit", "mean", "best_node", "lowest_node", "data_key")
 
 

@@ -21,27 +21,35 @@ WORKERS_SQL = """
             SELECT c_custkey // 10 AS cluster_id,
                    count(DISTINCT c_custkey % 10 // 3) FILTER (WHERE c_acctbal > 0) AS alive,
                    count(*) FILTER (WHERE c_acctbal > 4000) AS managers
-            FROM customer GROUP BY 1
+            FROM customer WHERE c_custkey % 50 NOT IN (7, 23) GROUP BY 1
         ) USING (cluster_id)
         GROUP BY cluster_id, framework, alive, managers
+    ), failed AS (
+        SELECT c_custkey // 10 AS cluster_id,
+               min(CASE WHEN c_custkey % 50 = 7 THEN 'HTTPError: 503' ELSE 'unreadable listing' END) AS error
+        FROM customer WHERE c_custkey % 50 IN (7, 23) GROUP BY 1
     ), checked AS (
-        SELECT cluster_id, wanted > 0 AND framework <> 'storm' AND wanted = active AS ok, active,
-               CASE WHEN wanted > 0 AND framework <> 'storm' THEN '' ELSE 'no workers configured' END AS message
-        FROM counted
+        SELECT cluster_id,
+               wanted > 0 AND framework <> 'storm' AND wanted = active AND error IS NULL AS ok, active,
+               CASE WHEN wanted > 0 AND framework <> 'storm' THEN coalesce(error, '')
+                    ELSE 'no workers configured' END AS message
+        FROM counted LEFT JOIN failed USING (cluster_id)
     )
 """
 
 
 def _sides(spark, sf_dir):
-    listed = landing.worker_listing(fixtures.worker_polls(spark, sf_dir), ["cluster_id"])
-    return fixtures.expected_workers(spark, sf_dir), listed
+    raw, keys = fixtures.worker_polls(spark, sf_dir), ["cluster_id"]
+    listed = landing.worker_listing(raw, keys)
+    return fixtures.expected_workers(spark, sf_dir), listed, landing.listing_errors(raw, keys)
 
 
 @query("worker_listing", """
     SELECT c_custkey // 10 AS cluster_id,
            CASE WHEN (c_custkey // 10) % 4 = 2 THEN NULL WHEN c_acctbal > 0 THEN 'ALIVE' ELSE 'DEAD' END AS state,
            CASE WHEN (c_custkey // 10) % 4 <> 2 THEN ' host-' || (c_custkey % 10 // 3) || ' ' END AS host
-    FROM customer WHERE (c_custkey // 10) % 4 <> 2 OR c_acctbal > 4000
+    FROM customer
+    WHERE ((c_custkey // 10) % 4 <> 2 OR c_acctbal > 4000) AND c_custkey % 50 NOT IN (7, 23)
 """)
 def worker_listing(spark, sf_dir):
     return _sides(spark, sf_dir)[1]
@@ -66,4 +74,5 @@ def workers_up(spark, sf_dir):
     FROM checked LEFT JOIN masters USING (cluster_id)
 """)
 def cluster_up(spark, sf_dir):
-    return ops.cluster_up(*_sides(spark, sf_dir), fixtures.cluster_processes(spark, sf_dir))
+    expected, listed, errors = _sides(spark, sf_dir)
+    return ops.cluster_up(expected, listed, fixtures.cluster_processes(spark, sf_dir), errors)

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from fleetgauge.operators import chunks
 from fleetgauge.operators import history as ops
 from fleetgauge.plans.registry import query
-from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
 
 ENTITY = ["entity_id"]
 SERIES = ["entity_id", "metric"]
 ORDER = ["ts", "sample_id"]
 
-# Longer series are cut.
-ROWS_PER_CHUNK = chunks.ROWS_PER_CHUNK
+# Chunks that all samples together are cut into; null for the session's partitions.
+PIECES: int | None = None
 
 SAMPLES_SQL = """
     samples AS (
@@ -133,9 +132,7 @@ def rolling_sql(count: str, high: str, low: str) -> str:
 
 def _rolling(spark, sf_dir, padded):
     samples = fixtures.samples(spark, sf_dir)
-    at = F.unix_micros("ts")
-    busy = stored(chunks.busy_series(samples, ENTITY, at, ROWS_PER_CHUNK), "busy")
-    samples = chunks.with_chunks(samples, ENTITY, at, busy)
+    samples = chunks.with_chunks(samples, ENTITY, ORDER, PIECES)
     rolled = ops.rolling_stats(samples, ENTITY, ORDER, F.col("chunk"), padded=padded)
     return rolled.select("entity_id", "sample_id", "samples", "mean", "max", "min")
 

@@ -15,7 +15,7 @@ from fleetgauge.operators import processes, snapshots
 from fleetgauge.plans.processes import MATCH_SQL
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.selection import cut_polls
-from fleetgauge.plans.snapshots import FLINK_SNAPSHOT_SQL, SPARK_SNAPSHOT_SQL
+from fleetgauge.plans.snapshots import FLINK_OK, FLINK_SNAPSHOT_SQL, SPARK_SNAPSHOT_SQL
 from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
 
@@ -46,8 +46,8 @@ def spark_monitor(spark, sf_dir):
 @query("flink_monitor", FLINK_SNAPSHOT_SQL + """,
     eras AS (
         SELECT cluster_id, poll_id, CASE WHEN running_jobs > 0 THEN 'job-' || first_running END AS candidate,
-               poll_id % 8 <> 3 AS ok,
-               coalesce(sum(CASE WHEN poll_id % 8 = 3 THEN 1 ELSE 0 END) OVER (
+               """ + FLINK_OK + """ AS ok,
+               coalesce(sum(CASE WHEN """ + FLINK_OK + """ THEN 0 ELSE 1 END) OVER (
                    PARTITION BY cluster_id ORDER BY poll_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era
         FROM polls

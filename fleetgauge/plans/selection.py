@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 from fleetgauge.operators import chunks, timelines
 from fleetgauge.operators import selection as ops
 from fleetgauge.plans.registry import query
-from fleetgauge.session import stored
 from fleetgauge.sources import fixtures
 
 POLL = ["cluster_id", "poll_id"]
 
-# Clusters with more polls are cut.
-ROWS_PER_CHUNK = chunks.ROWS_PER_CHUNK
+# Chunks that all polls together are cut into; null for the session's partitions.
+PIECES: int | None = None
 
 
 def cut_polls(polls):
-    """Polls with the chunk of each poll of a busy cluster."""
-    keys, at = ["cluster_id"], F.col("poll_id")
-    busy = stored(chunks.busy_series(polls, keys, at, ROWS_PER_CHUNK), "busy")
-    return chunks.with_chunks(polls, keys, at, busy)
+    """Polls with the chunk of each."""
+    return chunks.with_chunks(polls, ["cluster_id"], ["poll_id"], PIECES)
 
 
 @query("current_app", """

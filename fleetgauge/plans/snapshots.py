@@ -87,7 +87,8 @@ EXECUTOR_TOTALS_SQL = """
     WITH {EXECUTORS_SQL}, listed AS (
         SELECT *, poll_id + CAST(substring(entity_id, 5) AS BIGINT) AS no FROM executors
     )
-    SELECT entity_id, poll_id, cores, memory, disk, gc FROM listed WHERE no % 13 <> 4
+    SELECT entity_id, poll_id, cores, memory, disk, gc FROM listed
+    WHERE no % 13 <> 4 AND no % 23 <> 11
 """)
 def rest_spark_executors(spark, sf_dir):
     raw = fixtures.spark_raw_polls(spark, sf_dir)
@@ -128,8 +129,7 @@ def spark_task_totals(spark, sf_dir):
 """)
 def spark_executor_totals(spark, sf_dir):
     executors = fixtures.spark_executors(spark, sf_dir)
-    record = F.struct(*fixtures.EXECUTOR_FIELDS)
-    return executors.groupBy(*APP).agg(*ops.executor_total_aggs(record))
+    return ops.executor_totals(executors, APP, F.struct(*fixtures.EXECUTOR_FIELDS))
 
 
 SPARK_SNAPSHOT_SQL = f"""
@@ -155,7 +155,8 @@ SPARK_SNAPSHOT_SQL = f"""
             CASE WHEN no % 13 = 4 THEN 0 ELSE jvm_heap_used_mb END AS jvm_heap_used_mb
         ),
         strftime(make_timestamp((1704067200 + 5 * poll_id) * 1000000), '%H:%M:%S') AS timestamp
-        FROM polls WHERE no % 9 <> 0
+        FROM polls WHERE no % 9 <> 0 AND no % 17 <> 5 AND no % 19 <> 7
+          AND (no % 23 <> 11 OR no % 13 = 4)
     )
 """
 
@@ -187,6 +188,9 @@ def enabled_metrics(spark, sf_dir):
     return long.withColumn("position", F.col("position").cast("bigint"))
 
 
+# Polls of which no page failed or is broken.
+FLINK_OK = "poll_id % 8 <> 3 AND poll_id % 11 <> 6 AND poll_id % 13 <> 2 AND poll_id % 17 <> 9"
+
 FLINK_JOBS_SQL = """
     jobs AS (
         SELECT o_orderpriority AS cluster_id, o_orderkey // 200 AS poll_id, o_orderkey,
@@ -198,7 +202,10 @@ FLINK_JOBS_SQL = """
 """
 
 
-@query("rest_flink_jobs", f"WITH {FLINK_JOBS_SQL} SELECT cluster_id, poll_id, job_id, status FROM jobs")
+@query("rest_flink_jobs", f"""
+    WITH {FLINK_JOBS_SQL}
+    SELECT cluster_id, poll_id, job_id, status FROM jobs WHERE poll_id % 13 <> 2
+""")
 def rest_flink_jobs(spark, sf_dir):
     raw = fixtures.flink_raw_polls(spark, sf_dir)
     return landing.flink_jobs(raw, CLUSTER).drop("position")
@@ -236,7 +243,7 @@ FLINK_SNAPSHOT_SQL = f"""
                CAST(k * 4096 AS DOUBLE) / 1048576 AS total_network_memory_mb,
                CAST(k * 1000 AS DOUBLE) / 1048576 AS total_jvm_memory_mb,
                strftime(make_timestamp((1704067200 + 5 * poll_id) * 1000000), '%H:%M:%S') AS timestamp
-        FROM polls WHERE poll_id % 8 <> 3
+        FROM polls WHERE {FLINK_OK}
     )
 """
 
@@ -289,7 +296,8 @@ def heap_fallback(spark, sf_dir):
         SELECT o_orderpriority AS cluster_id, o_orderkey // 200 AS poll_id, min(o_orderkey) AS k
         FROM orders GROUP BY ALL
     )
-    SELECT cluster_id, poll_id, k % 50 + 10 - k % 10 AS free_slots FROM polls WHERE poll_id % 8 <> 3
+    SELECT cluster_id, poll_id, k % 50 + 10 - k % 10 AS free_slots FROM polls
+    WHERE poll_id % 8 <> 3 AND poll_id % 11 <> 6
 """)
 def free_slots(spark, sf_dir):
     raw = fixtures.flink_raw_polls(spark, sf_dir)
@@ -297,3 +305,30 @@ def free_slots(spark, sf_dir):
     return overview.select(
         *CLUSTER, units.free_slots(F.col("`slots-total`"), F.col("`slots-used`")).alias("free_slots")
     )
+
+
+@query("unreadable_pages", """
+    WITH o AS (SELECT o_orderpriority AS cluster_id, o_orderkey // 200 AS poll_id, o_orderkey AS page FROM orders)
+    SELECT DISTINCT cluster_id, poll_id, 'overview' AS endpoint, CAST(0 AS BIGINT) AS page FROM o
+    WHERE poll_id % 11 = 6 AND poll_id % 8 <> 3
+    UNION ALL SELECT cluster_id, poll_id, 'jobs', page FROM o WHERE poll_id % 13 = 2
+    UNION ALL SELECT cluster_id, poll_id, 'taskmanagers', page FROM o WHERE poll_id % 17 = 9
+""")
+def unreadable_pages(spark, sf_dir):
+    return landing.unreadable_pages(fixtures.flink_raw_polls(spark, sf_dir), CLUSTER, lists=False)
+
+
+@query("unreadable_listings", """
+    WITH j AS (
+        SELECT 'app-' || (o_orderkey % 20) AS entity_id, o_orderkey // 200 AS poll_id, o_orderkey AS page,
+               o_orderkey // 200 + o_orderkey % 20 AS no FROM orders
+    ), l AS (
+        SELECT 'app-' || (l_orderkey % 20) AS entity_id, l_orderkey // 200 AS poll_id,
+               l_orderkey * 10 + l_linenumber AS page, l_orderkey // 200 + l_orderkey % 20 AS no FROM lineitem
+    )
+    SELECT entity_id, poll_id, 'jobs' AS endpoint, page FROM j WHERE no % 17 = 5
+    UNION ALL SELECT entity_id, poll_id, 'stages', page FROM l WHERE no % 19 = 7 AND no % 9 <> 0
+    UNION ALL SELECT entity_id, poll_id, 'executors', page FROM l WHERE no % 23 = 11 AND no % 13 <> 4
+""")
+def unreadable_listings(spark, sf_dir):
+    return landing.unreadable_pages(fixtures.spark_raw_polls(spark, sf_dir), APP, lists=True)

@@ -1,4 +1,8 @@
-"""Streaming queries: process all landed files, then return what was written."""
+"""Streaming queries: process all landed files, then return what was written.
+
+The given tables are landed as several files, one to a micro-batch, so that every
+stream spans batches.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,28 @@ from fleetgauge.plans.history import ENTITY, HISTORY_SQL
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.snapshots import APP, SPARK_SNAPSHOT_SQL
 from fleetgauge.plans.timelines import BLOCKS_SQL, META_SQL, SERIES
-from fleetgauge.operators.snapshots import spark_snapshot
 from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures, landing
+from fleetgauge.sources.tables import table
 from fleetgauge.streaming import history, snapshots, timelines
-from fleetgauge.streaming.ingest import run_available, stream_table
+from fleetgauge.streaming.ingest import run_available, stream_files
+
+# Micro-batches that each table arrives in.
+BATCHES = 4
+
+
+def landed(spark, sf_dir, name):
+    """A table as a stream of files, dealt to the micro-batches by a hash of its rows."""
+    rows = table(spark, sf_dir, name)
+    folder = new_folder(spark, f"landed-{name}")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
+    rows.withColumn("_part", part).repartition(BATCHES, "_part").write.partitionBy("_part").parquet(folder)
+    schema = rows.schema.add("_part", "integer")
+    return stream_files(spark, folder, schema, files_per_batch=1).drop("_part")
 
 
 def _events(spark, sf_dir):
-    return stream_table(spark, sf_dir, "events")
+    return landed(spark, sf_dir, "events")
 
 
 def _columns(recent):
@@ -51,15 +68,16 @@ def _polls(spark, sf_dir):
 
 
 @query("stream_dedup_points", f"""
-    WITH {BLOCKS_SQL} SELECT DISTINCT job_id, metric, ts FROM points
+    WITH {BLOCKS_SQL}
+    SELECT job_id, metric, ts, value FROM points
+    QUALIFY row_number() OVER (PARTITION BY job_id, metric, ts ORDER BY poll_id, position) = 1
 """)
 def stream_dedup_points(spark, sf_dir):
     folder = new_folder(spark, "points")
-    points = timelines.dedup_points(_polls(spark, sf_dir), SERIES)
     run_available(
-        spark, points.writeStream.foreachBatch(history.batch_sink(folder))
+        spark, _polls(spark, sf_dir).writeStream.foreachBatch(timelines.points_sink(folder, SERIES))
     )
-    return history.read_batches(spark, folder).select(*SERIES, "ts")
+    return timelines.read_points(spark, folder, SERIES)
 
 
 @query("stream_latest_meta", META_SQL + """
@@ -76,17 +94,14 @@ def stream_latest_meta(spark, sf_dir):
     latest = timelines.latest_meta(_polls(spark, sf_dir), SERIES)
     run_available(
         spark,
-        latest.writeStream.outputMode("complete").foreachBatch(history.batch_sink(folder)),
+        latest.writeStream.outputMode("update").foreachBatch(history.batch_sink(folder)),
     )
-    return history.read_latest(spark, folder)
+    return snapshots.newest_rows(history.read_batches(spark, folder), SERIES)
 
 
 @query("stream_spark_snapshot", SPARK_SNAPSHOT_SQL + "SELECT * EXCLUDE (no) FROM snapshot")
 def stream_spark_snapshot(spark, sf_dir):
     folder = new_folder(spark, "snapshots")
-    raw = fixtures.spark_raw_polls(spark, sf_dir, read=stream_table)
-    wide = snapshots.stream_snapshots(raw, spark_snapshot, APP)
-    run_available(
-        spark, wide.writeStream.outputMode("update").foreachBatch(history.batch_sink(folder))
-    )
-    return snapshots.newest_rows(history.read_batches(spark, folder), APP).drop("poll_ts")
+    raw = fixtures.spark_raw_polls(spark, sf_dir, read=landed)
+    run_available(spark, raw.writeStream.foreachBatch(snapshots.snapshot_sink(folder, APP)))
+    return snapshots.read_snapshots(spark, folder, APP)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -48,19 +51,21 @@ def build_session(
 
 @cache
 def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="fleetgauge-")
+    folder = tempfile.mkdtemp(prefix="fleetgauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder, because there the
-    driver and the executors are one process.
+    Only a session within one process may fall back to a temporary folder, which goes
+    with the process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return _local_dir(spark.sparkContext.applicationId)
 

@@ -145,7 +145,7 @@ def applications(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _page(df: DataFrame, endpoint: str, fields: list[str], poll_no: str) -> DataFrame:
-    """Land each record as a page of its own; some polls fail or arrive empty."""
+    """Land each record as a page of its own; some polls fail, or arrive empty or broken."""
     failed = f"endpoint = 'stages' AND {poll_no} % 9 = 0"
     empty = f"endpoint = 'executors' AND {poll_no} % 13 = 4"
     return df.select(
@@ -161,7 +161,13 @@ def _page(df: DataFrame, endpoint: str, fields: list[str], poll_no: str) -> Data
         _poll_ts("poll_id"),
         "page",
         F.expr(f"NOT ({failed})").alias("ok"),
-        F.expr(f"CASE WHEN {failed} THEN NULL WHEN {empty} THEN '[]' ELSE payload END").alias("payload"),
+        F.expr(
+            f"CASE WHEN {failed} THEN NULL WHEN {empty} THEN '[]'"
+            f" WHEN endpoint = 'jobs' AND {poll_no} % 17 = 5 THEN '<html>502</html>'"
+            f" WHEN endpoint = 'stages' AND {poll_no} % 19 = 7 THEN '{{\"error\":\"x\"}}'"
+            f" WHEN endpoint = 'executors' AND {poll_no} % 23 = 11"
+            " THEN left(payload, length(payload) - 2) ELSE payload END"
+        ).alias("payload"),
     )
 
 
@@ -253,7 +259,12 @@ def flink_raw_polls(spark: SparkSession, folder: str) -> DataFrame:
             _poll_ts("poll_id"),
             "page",
             F.expr(f"NOT ({failed})").alias("ok"),
-            F.expr(f"CASE WHEN NOT ({failed}) THEN payload END").alias("payload"),
+            F.expr(
+                f"CASE WHEN {failed} THEN NULL"
+                " WHEN endpoint = 'overview' AND poll_id % 11 = 6 THEN '{\"slots-total\":4'"
+                " WHEN endpoint = 'jobs' AND poll_id % 13 = 2 THEN '<html>502</html>'"
+                " WHEN endpoint = 'taskmanagers' AND poll_id % 17 = 9 THEN '[]' ELSE payload END"
+            ).alias("payload"),
         )
     )
 
@@ -563,12 +574,14 @@ def expected_workers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def worker_polls(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed worker or task manager listings, one page per customer."""
+    """Landed worker or task manager listings, one page per customer; a few are broken."""
     return table(spark, folder, "customer").select(
         F.expr(CUSTOMER_CLUSTER).alias("cluster_id"),
-        F.lit(True).alias("ok"),
+        F.expr("c_custkey % 50 <> 7").alias("ok"),
+        F.expr("CASE WHEN c_custkey % 50 = 7 THEN 'HTTPError: 503' END").alias("message"),
         F.expr(
-            f"CASE WHEN ({CUSTOMER_CLUSTER}) % 4 = 2"
+            "CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 50 = 23 THEN '<html>'"
+            f" WHEN ({CUSTOMER_CLUSTER}) % 4 = 2"
             " THEN CASE WHEN c_acctbal > 4000"
             " THEN concat('{\"taskmanagers\":[{\"id\":\"tm', c_custkey, '\"}]}')"
             " ELSE '{\"taskmanagers\":[]}' END"
@@ -583,7 +596,7 @@ def cluster_processes(spark: SparkSession, folder: str) -> DataFrame:
     cluster = "o_custkey div 10"
     return table(spark, folder, "orders").select(
         F.expr(cluster).alias("cluster_id"),
-        F.expr(f"lower({_framework(cluster)})").alias("framework"),
+        F.expr(_framework(cluster)).alias("framework"),
         F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'root' ELSE 'ops' END").alias("username"),
         F.lit("ops").alias("owner"),
         F.expr(

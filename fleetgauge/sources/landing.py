@@ -42,21 +42,39 @@ def spark_records(raw: DataFrame, endpoint: str, keys: Names) -> DataFrame:
     """One row per record of an application endpoint, with its place in the page."""
     record = schemas.SPARK_ENDPOINTS[endpoint]
     pages = raw.filter((F.col("endpoint") == endpoint) & F.col("ok"))
-    records = F.from_json("payload", f"ARRAY<{record}>")
+    records = payloads.record_list(F.col("payload"), record)
     return rows.positions(pages, [*keys, "page"], records, "_place", "_r").select(
         *keys, _position(), "_r.*"
     )
 
 
 def flink_objects(raw: DataFrame, endpoint: str, keys: Names) -> DataFrame:
-    """One row per object of a cluster endpoint."""
+    """One row per object of a cluster endpoint; pages that hold none are left out."""
+    page = payloads.page_object(F.col("payload"), schemas.FLINK_ENDPOINTS[endpoint])
     return (
         raw.filter((F.col("endpoint") == endpoint) & F.col("ok"))
-        .select(*keys, F.from_json("payload", schemas.FLINK_ENDPOINTS[endpoint]).alias("_r"))
+        .select(*keys, page.alias("_r"))
+        .filter(payloads.readable(F.col("_r")))
         .select(*keys, "_r.*")
+        .drop("_bad")
     )
 
 
+def unreadable_pages(raw: DataFrame, keys: Names, lists: bool) -> DataFrame:
+    """Pages that arrived without an error but hold no whole JSON document.
+
+    ``lists`` tells whether the pages are application listings or cluster objects.
+    """
+    payload, broken = F.col("payload"), F.lit(False)
+    for endpoint, schema in (schemas.SPARK_ENDPOINTS if lists else schemas.FLINK_ENDPOINTS).items():
+        found = (
+            payloads.record_list(payload, schema).isNotNull() if lists
+            else F.coalesce(payloads.readable(payloads.page_object(payload, schema)), F.lit(False))
+        )
+        broken = broken | ((F.col("endpoint") == endpoint) & ~found)
+    return raw.filter(F.col("ok") & broken).select(*keys, "endpoint", "page")
+
+
 def flink_jobs(raw: DataFrame, keys: Names) -> DataFrame:
     """One row per job of the cluster job listings."""
     keep = [*keys, "page"]
@@ -106,8 +124,9 @@ def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
 
 def worker_listing(raw: DataFrame, keys: Names) -> DataFrame:
     """Workers with state and host, or task managers with neither, per cluster."""
-    parsed = raw.filter("ok").select(
-        *keys, F.from_json("payload", schemas.WORKER_LISTING).alias("_doc")
+    page = payloads.page_object(F.col("payload"), schemas.WORKER_LISTING)
+    parsed = raw.filter("ok").select(*keys, page.alias("_doc")).filter(
+        payloads.readable(F.col("_doc"))
     )
     workers = "array<struct<state:string,host:string>>"
     nameless = F.struct(
@@ -120,3 +139,11 @@ def worker_listing(raw: DataFrame, keys: Names) -> DataFrame:
         ),
     )
     return rows.positions(parsed, keys, listed, "_position", "_w").select(*keys, "_w.*")
+
+
+def listing_errors(raw: DataFrame, keys: Names) -> DataFrame:
+    """Why worker listings cannot be used: the error of the request, or of the page."""
+    page = payloads.page_object(F.col("payload"), schemas.WORKER_LISTING)
+    usable = F.coalesce(F.col("ok") & payloads.readable(page), F.lit(False))
+    message = F.coalesce(F.col("message"), F.lit("unreadable listing"))
+    return raw.filter(~usable).select(*keys, message.alias("message"))

@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Snapshot = Callable[[DataFrame, Sequence[str]], DataFrame]
+from fleetgauge.operators import snapshots
+from fleetgauge.streaming.history import batch_sink, read_batches
 
 
-def stream_snapshots(
-    raw: DataFrame, snapshot: Snapshot, keys: Sequence[str], delay: str = "10 minutes"
-) -> DataFrame:
-    """``spark_snapshot`` or ``flink_snapshot`` over a stream of landed pages.
+def snapshot_sink(folder: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Write the sums of each micro-batch's pages; a poll may be spread over any of them.
 
-    A poll appears once all its endpoints have arrived, again whenever more of its
-    pages do, and is forgotten ``delay`` after the newest poll. In update mode the
-    last row of a poll counts (``newest_rows``); in append mode each poll appears
-    once, when it is forgotten.
+    There is no state and no watermark: pages may come late, in any order, and with
+    different times. A repeated micro-batch replaces itself.
     """
-    return snapshot(raw.withWatermark("poll_ts", delay), [*keys, "poll_ts"])
+    write = batch_sink(folder)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        write(snapshots.spark_parts(batch, keys), batch_id)
+
+    return add
+
+
+def read_snapshots(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The polls that are complete by now, from the sums of all batches."""
+    parts = read_batches(spark, folder).drop("batch_id")
+    return snapshots.complete_polls(snapshots.merge_parts(parts, keys), keys)
 
 
 def newest_rows(batches: DataFrame, keys: Sequence[str]) -> DataFrame:

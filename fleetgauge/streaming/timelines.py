@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.operators.timelines import merge_meta, timeline_meta, timeline_points
+from fleetgauge.operators.timelines import (
+    fold_points,
+    merge_meta,
+    timeline_meta,
+    timeline_points,
+)
+from fleetgauge.streaming.history import batch_sink, read_batches
 
 
-def dedup_points(
-    polls: DataFrame, series: Sequence[str], poll: str = "poll_id", delay: str = "1 hour"
-) -> DataFrame:
-    """One point per series and timestamp, forgotten ``delay`` after the newest.
+def points_sink(
+    folder: str, series: Sequence[str], poll: str = "poll_id"
+) -> Callable[[DataFrame, int], None]:
+    """Fold each micro-batch of documents to one point per series and timestamp.
 
-    Documents are sent again with every poll. State lives per series and timestamp,
-    so it is spread however long a series is. A point that arrives later than the
-    delay is dropped, and within one batch any of several equal points may stay.
+    Documents are sent again with every poll and may land in any order. Nothing is
+    forgotten or dropped: ``read_points`` folds the batches once more.
     """
-    points = timeline_points(polls, [*series, poll])
-    return (
-        points.withColumn("point_time", F.timestamp_seconds("ts"))
-        .withWatermark("point_time", delay)
-        .dropDuplicatesWithinWatermark([*series, "ts"])
-        .drop("point_time")
-    )
+    write = batch_sink(folder)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        write(fold_points(timeline_points(batch, [*series, poll]), series, poll), batch_id)
+
+    return fold
+
+
+def read_points(spark: SparkSession, folder: str, series: Sequence[str]) -> DataFrame:
+    """The first value seen of every series and timestamp, over all batches."""
+    return fold_points(read_batches(spark, folder).drop("batch_id"), series).drop("seen")
 
 
 def latest_meta(polls: DataFrame, series: Sequence[str], poll: str = "poll_id") -> DataFrame:
-    """Latest known metadata per series, for complete output."""
+    """Latest known metadata per series, for update output: changed series only."""
     return merge_meta(timeline_meta(polls, [*series, poll]), series, poll)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import history as ops
-from fleetgauge.operators.chunks import busy_series, time_chunk, with_chunks
+from fleetgauge.operators.chunks import with_chunks
 
 SCHEMA = "entity string, at long, id long, value double"
 
@@ -109,24 +109,33 @@ def test_rolling_stats_do_not_depend_on_the_cut(spark, width, padded):
     assert len(got) == len(rows)
 
 
-def test_time_chunk(spark):
-    row = spark.sql("SELECT timestamp'1970-01-01 02:00:01' AS ts").select(time_chunk("ts", 3600))
-    assert row.first()[0] == 2
+def test_a_burst_is_cut_as_evenly_as_the_rest(spark):
+    """99 in 100 rows of a key at one moment, and rows without a time."""
+    rows = [("hot", 500, i, 1.0) for i in range(9_900)] + [("hot", i, i, 1.0) for i in range(100)]
+    rows += [("hot", None, -i, 1.0) for i in range(1, 20)] + [("calm", i, i, 1.0) for i in range(10)]
+    cut = with_chunks(frame(spark, rows), ["entity"], ["at", "id"], pieces=10)
+    sizes = [r["count"] for r in cut.groupBy("chunk").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 2 * len(rows) / 10
+    assert len(sizes) >= 9
+    along = sorted(cut.collect(), key=lambda r: (r["entity"], r["at"] is not None, r["at"], r["id"]))
+    assert [r["chunk"] for r in along] == sorted(r["chunk"] for r in along)
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 7, 60])
+def test_rolling_stats_with_null_times_and_values(spark, pieces):
+    rows = [("a", None if i < 5 else i // 3, i, None if i % 4 == 1 else float(i % 7)) for i in range(200)]
+    cut = with_chunks(frame(spark, rows), ["entity"], ["at", "id"], pieces)
+    got = ops.rolling_stats(cut, ["entity"], ["at", "id"], F.col("chunk"), n=6).collect()
+    values = [r[3] for r in rows]
+    for r in got:
+        ring = [v for v in values[max(0, r["id"] - 5) : r["id"] + 1] if v is not None]
+        assert r["samples"] == len(ring)
+        assert (r["max"], r["min"]) == ((max(ring), min(ring)) if ring else (None, None))
+    assert len(got) == len(rows)
 
 
-def test_only_busy_series_are_cut(spark):
-    rows = [("hot", i, i, 1.0) for i in range(100)] + [("calm", i, i, 1.0) for i in range(10)]
-    df = frame(spark, rows)
-    at = F.col("at")
-    cut = with_chunks(df, ["entity"], at, busy_series(df, ["entity"], at, rows_per_chunk=30))
-    sizes = {(r["entity"], r["chunk"]): r["count"] for r in cut.groupBy("entity", "chunk").count().collect()}
-    assert sizes == {
-        ("calm", None): 10, ("hot", 0): 25, ("hot", 1): 25, ("hot", 2): 25, ("hot", 3): 25,
-    }
-
-
-def test_series_at_a_single_moment_stays_one_chunk(spark):
-    df = frame(spark, [("hot", 5, i, 1.0) for i in range(50)])
-    at = F.col("at")
-    cut = with_chunks(df, ["entity"], at, busy_series(df, ["entity"], at, rows_per_chunk=10))
-    assert [r["chunk"] for r in cut.select("chunk").distinct().collect()] == [0]
+def test_statistics_agree_on_null_values(spark):
+    df = frame(spark, [("a", 1, 1, 1.0), ("a", 2, 2, None)])
+    recent = ops.last_n(df, ["entity"], ["at", "id"])
+    stats, shown = ops.series_stats(recent, ["entity"]).first(), ops.overlay(recent, ["entity"]).first()
+    assert (stats["samples"], stats["mean"], shown["mean"]) == (1, 1.0, 1.0)

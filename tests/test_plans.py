@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from fleetgauge.plans import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = [name for name in sorted(queries()) if not name.startswith(("stream_", "csv_"))]
+BATCH = [name for name in sorted(QUERIES) if not name.startswith(("stream_", "csv_"))]
 
 
 def plan(spark, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     return df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
     )
@@ -58,3 +58,11 @@ def test_scans_read_only_what_is_used(spark, name, columns):
 @pytest.mark.parametrize("name", ["timeline_points", "timeline_densest", "nodelist_expand"])
 def test_documents_are_parsed_once(spark, name):
     assert not re.search(r"Filter .*(from_json|regexp_extract)", plan(spark, name))
+
+
+def test_points_are_folded_without_a_sort(spark):
+    assert "SortAggregate" not in plan(spark, "timeline_merge")
+
+
+def test_commands_are_not_cut_into_arrays_of_texts(spark):
+    assert not re.search(r"transform\(sequence", plan(spark, "process_match_join"))

@@ -63,7 +63,7 @@ def test_normalise_patterns(spark):
     assert got == [("t", "p"), ("p", "p"), ("unknown", None), ("s", "s"), ("t", None)]
 
 
-@pytest.mark.parametrize("max_inline", [0, 200])
+@pytest.mark.parametrize("max_inline", [0, 3, 200])
 def test_pattern_table_matches_brute_force(spark, max_inline):
     """Both ways, with one command that makes up a third of the processes."""
     rng = random.Random(7)
@@ -73,14 +73,19 @@ def test_pattern_table_matches_brute_force(spark, max_inline):
 
     commands = ["ab ba" if rng.random() < 0.33 else text(rng.randrange(0, 9)) for _ in range(200)]
     df = procs(spark, *[("me", "running", [c]) for c in commands])
-    patterns = [(i, f"t{i}" if i % 2 else None, text(rng.randrange(0, 5))) for i in range(20)]
+    titled = [None, "t", ""]
+    patterns = [
+        (None if i > 15 else i // 2, titled[i % 3], text(rng.randrange(0, 5))) for i in range(20)
+    ]
     table = spark.createDataFrame(patterns, "priority long, title string, pattern string")
     want = {}
     for pid, command in enumerate(commands):
-        for _, title, pattern in patterns:
-            if pattern and pattern in command:
-                want[pid] = title or pattern
-                break
+        hits = [
+            (order is None, order, pattern, pattern if title is None else title)
+            for order, title, pattern in patterns if pattern and pattern in command
+        ]
+        if hits:
+            want[pid] = min(hits, key=lambda h: (h[0], h[1] or 0, h[2], h[3]))[3]
     assert titles(ops.match_processes_table(df, F.lit("me"), table, max_inline)) == want
 
 

@@ -9,6 +9,7 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from fleetgauge.plans import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -18,13 +19,13 @@ def tables():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, tables, name):
     assert compare(queries()[name](spark, SF_DIR), tables, oracle_sql()[name]) == []
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows(spark):
@@ -37,13 +38,13 @@ def test_import_needs_no_session():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
 
 
-@pytest.mark.parametrize("rows", [3, 40])
+@pytest.mark.parametrize("pieces", [1, 60])
 @pytest.mark.parametrize("name", [
     "rolling_stats", "rolling_stats_padded", "sticky_entity", "sticky_entity_flink",
     "metric_errors_first", "flink_monitor",
 ])
-def test_cut_series_match_sql(spark, tables, monkeypatch, name, rows):
-    """The same results when nearly every series is long enough to be cut."""
-    monkeypatch.setattr("fleetgauge.plans.history.ROWS_PER_CHUNK", rows)
-    monkeypatch.setattr("fleetgauge.plans.selection.ROWS_PER_CHUNK", rows)
+def test_cut_series_match_sql(spark, tables, monkeypatch, name, pieces):
+    """The same results however finely the series are cut."""
+    monkeypatch.setattr("fleetgauge.plans.history.PIECES", pieces)
+    monkeypatch.setattr("fleetgauge.plans.selection.PIECES", pieces)
     assert compare(queries()[name](spark, SF_DIR), tables, oracle_sql()[name]) == []

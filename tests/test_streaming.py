@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fleetgauge.constants import POLL_INTERVALS
 from fleetgauge.operators import history, timelines
 from fleetgauge.operators.snapshots import spark_snapshot
+from fleetgauge.plans import streams
 from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures
 from fleetgauge.sources.tables import table
@@ -72,52 +73,81 @@ def test_repeated_batch_replaces_itself(spark):
     assert ids(stream_history.read_history(spark, folder, KEYS, n=7)) == batch_ids(spark, 7)
 
 
-def test_dedup_points_equals_distinct(spark, landed):
-    folder = new_folder(spark, "points")
-    polls = fixtures.timeline_polls_of(events(spark, landed))
-    points = stream_timelines.dedup_points(polls, SERIES, delay="2 days")
-    run_available(spark, points.writeStream.foreachBatch(stream_history.batch_sink(folder)))
-    got = stream_history.read_batches(spark, folder).select(*SERIES, "ts").collect()
+def newest_first(spark, tmp_path, df, by, parts=4):
+    """The rows in files by ``by``, the last ones landing first."""
+    folder = str(tmp_path / "landed")
+    bounds = df.selectExpr(f"min({by}) AS low", f"max({by}) AS high").first()
+    step = (bounds.high - bounds.low) // parts + 1
+    for part in reversed(range(parts)):
+        low = bounds.low + part * step
+        chosen = df.filter((F.col(by) >= low) & (F.col(by) < low + step))
+        chosen.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def test_points_that_land_newest_first(spark, tmp_path):
+    events = table(spark, SF_DIR, "events")
+    folder, out = newest_first(spark, tmp_path, events, "event_id"), new_folder(spark, "points")
+    stream = stream_files(spark, folder, events.schema, files_per_batch=1)
+    run_available(
+        spark,
+        fixtures.timeline_polls_of(stream).writeStream.foreachBatch(
+            stream_timelines.points_sink(out, SERIES)
+        ),
+    )
+    assert stream_history.read_batches(spark, out).select("batch_id").distinct().count() == 4
+    got = stream_timelines.read_points(spark, out, SERIES)
     batch = timelines.timeline_points(fixtures.timeline_polls(spark, SF_DIR), [*SERIES, "poll_id"])
-    assert sorted(got) == sorted(batch.select(*SERIES, "ts").distinct().collect())
+    want = timelines.merge_points(batch, SERIES, keep=None)
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
 
 
 def test_latest_meta_equals_batch(spark, landed):
     folder = new_folder(spark, "meta")
     latest = stream_timelines.latest_meta(fixtures.timeline_polls_of(events(spark, landed)), SERIES)
     run_available(
-        spark, latest.writeStream.outputMode("complete").foreachBatch(stream_history.batch_sink(folder))
+        spark, latest.writeStream.outputMode("update").foreachBatch(stream_history.batch_sink(folder))
     )
+    batches = stream_history.read_batches(spark, folder)
+    assert batches.select("batch_id").distinct().count() == 4
     metas = timelines.timeline_meta(fixtures.timeline_polls(spark, SF_DIR), [*SERIES, "poll_id"])
     want = timelines.merge_meta(metas, SERIES)
-    got = stream_history.read_latest(spark, folder).select(*want.columns)
+    got = stream_snapshots.newest_rows(batches, SERIES).select(*want.columns)
     key = [*SERIES]
     assert got.orderBy(*key).collect() == want.orderBy(*key).collect()
 
 
 def test_snapshots_of_polls_that_arrive_in_parts(spark, tmp_path):
-    """One endpoint per micro-batch, and one poll whose last page comes late."""
+    """One endpoint per micro-batch at its own time, one poll's last page coming late."""
     keys = ["entity_id", "poll_id"]
     raw = fixtures.spark_raw_polls(spark, SF_DIR)
     late = (F.col("endpoint") == "jobs") & (F.col("page") % 10 == 3)
     folder, out = str(tmp_path / "raw"), new_folder(spark, "snapshots")
-    for part in (
-        raw.filter((F.col("endpoint") == "jobs") & ~late), raw.filter("endpoint = 'stages'"),
-        raw.filter("endpoint = 'executors'"), raw.filter(late),
-    ):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = stream_files(spark, folder, raw.schema, files_per_batch=1)
-    wide = stream_snapshots.stream_snapshots(stream, spark_snapshot, keys, delay="1 day")
-    run_available(
-        spark, wide.writeStream.outputMode("update").foreachBatch(stream_history.batch_sink(out))
+    parts = (
+        raw.filter(late), raw.filter("endpoint = 'executors'"), raw.filter("endpoint = 'stages'"),
+        raw.filter((F.col("endpoint") == "jobs") & ~late),
     )
+    for days, part in enumerate(parts):
+        moved = part.withColumn("poll_ts", F.col("poll_ts") - F.expr(f"INTERVAL {days} DAYS"))
+        moved.coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_files(spark, folder, raw.schema, files_per_batch=1)
+    run_available(spark, stream.writeStream.foreachBatch(stream_snapshots.snapshot_sink(out, keys)))
     batches = stream_history.read_batches(spark, out)
-    got = stream_snapshots.newest_rows(batches, keys).drop("poll_ts")
+    got = stream_snapshots.read_snapshots(spark, out, keys)
     want = spark_snapshot(raw, keys)
-    assert batches.select("batch_id").distinct().count() == 2
+    assert batches.select("batch_id").distinct().count() == 4
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
 
 
+def test_registered_streams_span_batches(spark):
+    stream = streams.landed(spark, SF_DIR, "events")
+    out = new_folder(spark, "spans")
+    run_available(spark, stream.writeStream.foreachBatch(stream_history.batch_sink(out)))
+    written = stream_history.read_batches(spark, out)
+    assert written.select("batch_id").distinct().count() == streams.BATCHES
+    assert written.count() == table(spark, SF_DIR, "events").count()
+
+
 def test_poll_intervals():
     for source, (default, low, high) in POLL_INTERVALS.items():
         assert poll_interval(source) == default
