@@ -63,24 +63,26 @@ def context_limits(histogram: DataFrame, limits: list[int] = LIMITS) -> DataFram
         .withColumn("block", F.floor(F.col("length") / BLOCK))
         .withColumn("tokens", F.col("docs") * F.col("length"))
     )
+    # One row per block of lengths.
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.groupBy("block").agg(
-        F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens")
-    )
-    after = blocks.select(
-        "block",
-        F.coalesce(F.sum("block_docs").over(later), F.lit(0)).alias("docs_after"),
-        F.coalesce(F.sum("block_tokens").over(later), F.lit(0)).alias("tokens_after"),
-    )
-    total = blocks.agg(
-        F.sum("block_docs").alias("all_docs"), F.sum("block_tokens").alias("all_tokens")
+    every = later.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = (
+        counts.groupBy("block")
+        .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        .select(
+            "block",
+            F.coalesce(F.sum("docs").over(later), F.lit(0)).alias("docs_after"),
+            F.coalesce(F.sum("tokens").over(later), F.lit(0)).alias("tokens_after"),
+            F.sum("docs").over(every).alias("all_docs"),
+            F.sum("tokens").over(every).alias("all_tokens"),
+        )
     )
     inside = (
         Window.partitionBy("block").orderBy(F.desc("length"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     cut = (
-        counts.join(after, "block").crossJoin(F.broadcast(total))  # one row
+        counts.join(after, "block")
         .withColumn(
             "docs_cut", F.col("docs_after") + F.coalesce(F.sum("docs").over(inside), F.lit(0))
         )
