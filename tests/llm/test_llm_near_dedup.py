@@ -88,3 +88,19 @@ def test_edges(spark, frame):
 @pytest.mark.parametrize("of", [near_dedup.classes, near_dedup.first_rows])
 def test_empty_table(spark, frame, of):
     assert of(frame([], SCHEMA)).collect() == []
+
+
+def test_group_with_ever_more_edits(spark, frame):
+    """Many texts around a base, few alike enough, and pairs that only others link."""
+    base, rows = words(3, 80), []
+    for i in range(150):
+        draw, own = random.Random(i), list(base)
+        for _ in range(i % 9):
+            own[draw.randrange(80)] = f"edit{i}x{draw.random()}"
+        rows.append((i, " ".join(own)))
+    for i in range(12):  # a side group far from the base, alike among themselves
+        own = base[:60] + words(50, 30)
+        own[i] = f"side{i}"
+        rows.append((200 + i, " ".join(own)))
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(frame(rows, SCHEMA)).collect()}
+    assert found == {doc: c for (doc, _), c in zip(rows, plain(rows))}
