@@ -46,7 +46,7 @@ LENGTH, LEAD = 100, 24
 WINDOW = LENGTH - LEAD + 1
 
 #: Bytes of a text worked on at once, and surroundings of one lead in one group.
-PIECE, GROUP = 1 << 21, 256
+PIECE, GROUP = 1 << 21, 1 << 15
 
 #: Surroundings whose strings are sorted at once.
 ROWS = 20_000
