@@ -149,3 +149,11 @@ MIN_MEMORY_MB = 1000
 DEFAULT_WORKER_CORES = 1
 DEFAULT_WORKER_MEMORY_MB = 1000
 MEMORY_STEP_MB = 128
+
+# Fixed texts: what is told of a cluster without workers, and titles of allocation cards.
+NO_WORKERS = "no workers configured"
+JOB_CARD = ("Job Allocation", "Slurm Job")
+NODE_CARD = ("Physical Node", "Node ID: ")
+COORDINATOR_CARD = ("Process", "Coordinator")
+POOL_CARD = ("", "Resource Pool")
+UNIT_CARD = ("Process", "Compute Unit")

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text before the first bracket, and what the closing bracket at the end encloses.
-COMPACT = r"^(.*?)\[(.*)\]$"
-RANGE = r"^[0-9]+(-[0-9]+)?$"
-
 NODES_OBJECT = "STRUCT<allocation: ARRAY<STRUCT<name: STRING>>, list: STRING>"
 
 
@@ -16,10 +12,19 @@ def no_nodes() -> Column:
     return F.array().cast("array<string>")
 
 
+def _ends(part: Column) -> Column:
+    """One or two numbers of a group: where a range starts and ends."""
+    return F.split(part, "-")
+
+
+def _is_range(part: Column) -> Column:
+    ends = _ends(part)
+    return (F.size(ends) <= 2) & F.forall(ends, lambda end: end.rlike("^[0-9]+$"))
+
+
 def _numbered(prefix: Column, part: Column) -> Column:
     """Names of one range, padded to the width its start is written with."""
-    first = F.regexp_extract(part, "^[0-9]+", 0)
-    last = F.regexp_extract(part, "[0-9]+$", 0)
+    first, last = F.element_at(_ends(part), 1), F.element_at(_ends(part), -1)
     low, high = first.try_cast("bigint"), last.try_cast("bigint")
     # sequence() would count down for a range that ends before it starts.
     numbers = F.filter(F.sequence(low, F.greatest(low, high)), lambda i: i <= high)
@@ -33,18 +38,21 @@ def _numbered(prefix: Column, part: Column) -> Column:
 
 
 def expand(text: Column) -> Column:
-    """``n[1135-1136,1140]`` to names; a text without a trailing group is one name.
+    """A prefix and a group in brackets to names; any other text is one name.
 
-    A group that holds anything but numbers and ranges gives null.
+    The group lies between the first opening bracket and a closing one at the very
+    end. One that holds anything but numbers and ranges gives null.
     """
     trimmed = F.trim(text)
-    prefix = F.regexp_extract(trimmed, COMPACT, 1)
-    parts = F.split(F.regexp_extract(trimmed, COMPACT, 2), ",")
+    opening = F.instr(trimmed, "[")
+    prefix = F.substring(trimmed, F.lit(1), opening - 1)
+    group = F.substring(trimmed, opening + 1, F.length(trimmed) - opening - 1)
+    parts = F.split(group, ",")
     names = F.flatten(F.transform(parts, lambda part: _numbered(prefix, part)))
     return (
         F.when(F.coalesce(text, F.lit("")) == "", no_nodes())
-        .when(~trimmed.rlike(COMPACT), F.array(text))
-        .when(F.forall(parts, lambda part: part.rlike(RANGE)), names)
+        .when((opening == 0) | ~trimmed.endswith("]"), F.array(text))
+        .when(F.forall(parts, _is_range), names)
     )
 
 
@@ -57,12 +65,16 @@ def _listed(text: Column) -> Column:
 
 def normalise(nodes: Column) -> Column:
     """Any landed shape of a node list to an array of names."""
-    parsed = F.from_json(nodes, NODES_OBJECT)
-    names = F.filter(
-        F.transform(parsed["allocation"], lambda node: node["name"]),
-        lambda name: name != "",
-    )
-    from_object = F.when(F.size(names) > 0, names).otherwise(_listed(parsed["list"]))
+
+    def of(parsed: Column) -> Column:
+        names = F.filter(
+            F.transform(parsed["allocation"], lambda node: node["name"]),
+            lambda name: name != "",
+        )
+        return F.when(F.size(names) > 0, names).otherwise(_listed(parsed["list"]))
+
+    # Bound in an array of one, so that the document is parsed once.
+    from_object = F.get(F.transform(F.array(F.from_json(nodes, NODES_OBJECT)), of), F.lit(0))
     return F.when(nodes.startswith("{"), from_object).otherwise(_listed(nodes))
 
 

@@ -88,21 +88,21 @@ def allocation_tree(jobs: DataFrame) -> DataFrame:
 
     pools = F.transform(F.filter("_workers", lambda w: w == here), lambda w, i: i + 1)
     root = card(
-        0, "Job Allocation", "Slurm Job", "total_cpus", "total_memory", position=F.lit(-1)
+        0, *fixed.JOB_CARD, "total_cpus", "total_memory", position=F.lit(-1)
     )
     node = card(
-        1, "Physical Node", F.concat(F.lit("Node ID: "), here),
+        1, fixed.NODE_CARD[0], F.concat(F.lit(fixed.NODE_CARD[1]), here),
         "cpus_per_node", "memory_per_node_effective",
     )
-    coordinator = card(2, "Process", "Coordinator", "driver_cpu", "driver_memory")
+    coordinator = card(2, *fixed.COORDINATOR_CARD, "driver_cpu", "driver_memory")
     cards = F.concat(
         only_if(F.coalesce(place, F.lit(0)) == 0, root),
         only_if(place.isNotNull(), node),
         only_if(here == F.col("_master"), coordinator),
         F.coalesce(
             F.flatten(F.transform(pools, lambda i: F.array(
-                card(2, "", "Resource Pool", "worker_cpu", "worker_memory", i),
-                card(3, "Process", "Compute Unit", "executor_cpu", "executor_memory", i),
+                card(2, *fixed.POOL_CARD, "worker_cpu", "worker_memory", i),
+                card(3, *fixed.UNIT_CARD, "executor_cpu", "executor_memory", i),
             ))),
             F.array().cast(_CARDS),
         ),

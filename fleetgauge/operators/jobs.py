@@ -29,13 +29,13 @@ def job_identity(jobs: DataFrame) -> DataFrame:
 def lookup_jobs(jobs: DataFrame, wanted: DataFrame, position: str) -> DataFrame:
     """The first job listed under each wanted numeric ``job_id``.
 
-    Jobs are folded to one per id before the join, so an id listed any number of
-    times meets each request once.
+    Only wanted jobs are folded, to one per id, so an id listed any number of times
+    meets each request once.
     """
     others = [name for name in jobs.columns if name != "job_id"]
     first = (
         jobs.withColumn("job_id", F.col("job_id").try_cast("bigint"))
-        .filter(F.col("job_id").isNotNull())
+        .join(wanted.select("job_id").distinct(), "job_id", "left_semi")
         .groupBy("job_id")
         .agg(F.min_by(F.struct(*others), position).alias("_job"))
     )

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import PROCESS_PATTERNS
-
-NO_WORKERS = "no workers configured"
-
+from fleetgauge.constants import NO_WORKERS, PROCESS_PATTERNS
 
 def workers_up(expected: DataFrame, listed: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Compare the number of expected hosts with the number of active workers.

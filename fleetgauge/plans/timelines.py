@@ -24,17 +24,17 @@ BLOCKS_SQL = """
         FROM events
     ),
     blocks AS (
-        SELECT *, 0 AS block, 'sparse' AS key, [v::VARCHAR, NULL, NULL, NULL] AS vals,
-               '1' AS mean, NULL AS best_node, NULL AS lowest_node FROM polls WHERE shape = 0
-        UNION ALL SELECT *, 1, 'dense', [v::VARCHAR, (v + 1)::VARCHAR, (v + 2)::VARCHAR, NULL],
-               (v + 1)::VARCHAR, 'n' || j, 'm' || j FROM polls WHERE shape = 0
-        UNION ALL SELECT *, 0, 'first', [v::VARCHAR, NULL, (v + 2)::VARCHAR, NULL],
-               '2.5', NULL, NULL FROM polls WHERE shape = 1
-        UNION ALL SELECT *, 1, 'second', [NULL, v::VARCHAR, NULL, v::VARCHAR],
-               NULL, 'x', NULL FROM polls WHERE shape = 1
-        UNION ALL SELECT *, 0, 'power', [v::VARCHAR, 'bad', NULL, (v + 3)::VARCHAR],
-               'n/a', 'n' || j, NULL FROM polls WHERE shape = 2
-        UNION ALL SELECT *, 0, 'short', [v::VARCHAR, (v + 1)::VARCHAR],
+        SELECT *, 0 AS block, 'rack1' AS key, [NULL, NULL, v::VARCHAR, NULL] AS vals,
+               '4' AS mean, NULL AS best_node, NULL AS lowest_node FROM polls WHERE shape = 0
+        UNION ALL SELECT *, 1, 'rack2', [(v + 2)::VARCHAR, NULL, v::VARCHAR, (v + 1)::VARCHAR],
+               (v + 1)::VARCHAR, 'top' || j, 'low' || j FROM polls WHERE shape = 0
+        UNION ALL SELECT *, 0, 'zone', [NULL, NULL, (v + 1)::VARCHAR, v::VARCHAR],
+               '7.25', NULL, NULL FROM polls WHERE shape = 1
+        UNION ALL SELECT *, 1, 'area', [v::VARCHAR, (v + 2)::VARCHAR, NULL, NULL],
+               NULL, 'q', NULL FROM polls WHERE shape = 1
+        UNION ALL SELECT *, 0, 'fan', [NULL, (v + 3)::VARCHAR, 'stalled', v::VARCHAR],
+               'none yet', 'top' || j, NULL FROM polls WHERE shape = 2
+        UNION ALL SELECT *, 0, 'probe', [(v + 1)::VARCHAR, v::VARCHAR],
                NULL, NULL, NULL FROM polls WHERE shape = 5
     ),
     picked AS (
@@ -98,7 +98,7 @@ def timeline_points(spark, sf_dir):
 META_SQL = f"""
     WITH {BLOCKS_SQL}, metas AS (
         SELECT p.job_id, p.metric, p.poll_id,
-               CASE WHEN p.shape IN (0, 1) THEN 'MB' WHEN p.shape <> 5 THEN 'W' END AS unit,
+               CASE WHEN p.shape IN (0, 1) THEN 'kW' WHEN p.shape <> 5 THEN 'rpm' END AS unit,
                TRY_CAST(k.mean AS DOUBLE) AS mean, k.best_node, k.lowest_node, k.key AS data_key
         FROM polls p LEFT JOIN picked k USING (poll_id)
     )

@@ -286,21 +286,21 @@ def poll_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 # Six shapes of documents around the value v of an event on a five-minute grid g.
 TIMELINE_SHAPES = [
-    # A sparse block before a dense one.
-    """{"unit":"MB","timestamps":[%g,%g3,%g6,%g9],"sparse":[[%v,null,null,null],{"mean":1}],"""
-    """"dense":[[%v,%v1,%v2,null],{"mean":%v1,"best_node":"n%j","lowest_node":"m%j"}]}""",
-    # Two blocks with equally many values.
-    """{"unit":"MB","timestamps":[%g,%g3,%g6,%g9],"first":[[%v,null,%v2,null],{"mean":"2.5"}],"""
-    """"second":[[null,%v,null,%v],{"best_node":"x"}]}""",
-    # Values and a mean that are no numbers.
-    """{"unit":"W","timestamps":[%g,%g3,%g6,%g9],"power":[[%v,"bad",null,%v3],"""
-    """{"mean":"n/a","best_node":"n%j"}]}""",
-    # Timestamps only.
-    """{"unit":"W","timestamps":[%g,%g3]}""",
-    # Timestamps that are no list.
-    """{"unit":"W","timestamps":"soon","power":[[%v],{"mean":3}]}""",
-    # Fewer values than timestamps, no meta, and members that are no blocks.
-    """{"timestamps":[%g,%g3,%g6,%g9],"text":"x","empty":[],"flat":[5,6],"short":[[%v,"%v1"]]}""",
+    # Of two racks, the second reports more.
+    """{"unit":"kW","rack1":[[null,null,%v,null],{"mean":4}],"timestamps":[%g,%g3,%g6,%g9],"""
+    """"rack2":[[%v2,null,%v,%v1],{"lowest_node":"low%j","mean":%v1,"best_node":"top%j"}]}""",
+    # Two racks that report equally much.
+    """{"timestamps":[%g,%g3,%g6,%g9],"zone":[[null,null,%v1,%v],{"mean":"7.25"}],"unit":"kW","""
+    """"area":[[%v,%v2,null,null],{"best_node":"q"}]}""",
+    # A value and a mean in words.
+    """{"unit":"rpm","timestamps":[%g,%g3,%g6,%g9],"fan":[[null,%v3,"stalled",%v],"""
+    """{"best_node":"top%j","mean":"none yet"}]}""",
+    # No block at all.
+    """{"timestamps":[%g,%g9],"unit":"rpm"}""",
+    # Times in words.
+    """{"unit":"rpm","timestamps":"later","fan":[[%v],{"mean":8}]}""",
+    # Two values for four times, no meta, and members that are no blocks.
+    """{"note":"-","timestamps":[%g,%g3,%g6,%g9],"gap":[],"pair":[8,3],"probe":[["%v1",%v]]}""",
 ]
 
 

@@ -12,26 +12,29 @@ from fleetgauge.sources import landing
 
 
 @pytest.mark.parametrize("nodes, want", [
-    ("nodeA", ["nodeA"]),
+    ("gpu-login", ["gpu-login"]),
     ("", []),
     (None, []),
     ([], []),
-    (["a", "b"], ["a", "b"]),
-    ({"count": 2, "allocation": [{"name": "n1"}, {"name": "n2"}, {}]}, ["n1", "n2"]),
-    ({"count": 1, "list": "n1135", "allocation": [{"name": ""}]}, ["n1135"]),
-    ({"list": "n[1-2]", "allocation": []}, ["n1", "n2"]),
-    ({"list": ["x", "y"]}, ["x", "y"]),
-    ({}, []),
-    ("node[01-03]", ["node01", "node02", "node03"]),
-    ("n[1135-1136,1140]", ["n1135", "n1136", "n1140"]),
-    ("n[98-101]", ["n98", "n99", "n100", "n101"]),
-    ("n[007,9]", ["n007", "n9"]),
-    ("n[5-3]", []),
-    ("a,b", ["a,b"]),
-    ("a[1-2],b[3-4]", None),
-    ("a[x]", None),
-    ("a[1]b", ["a[1]b"]),
-    (" p[1] ", ["p1"]),
+    (["left", "right"], ["left", "right"]),
+    ({"allocation": [{"name": "r7"}, {}, {"name": "r2"}]}, ["r7", "r2"]),
+    ({"allocation": [{"name": ""}, {"name": ""}], "list": "solo9"}, ["solo9"]),
+    ({"allocation": [], "list": "r[8-9]"}, ["r8", "r9"]),
+    ({"list": ["up", "down"]}, ["up", "down"]),
+    ({"count": 4}, []),
+    ("rack[008-010]", ["rack008", "rack009", "rack010"]),
+    ("z[20-22,7,31]", ["z20", "z21", "z22", "z7", "z31"]),
+    ("z[9-11]", ["z9", "z10", "z11"]),
+    ("z[0004,12]", ["z0004", "z12"]),
+    ("z[6-2]", []),
+    ("m1,m2", ["m1,m2"]),
+    ("u[1-4],v[2]", None),
+    ("u[one]", None),
+    ("u[1-2-3]", None),
+    ("u[3-]", None),
+    ("u[]", None),
+    ("u[7]w", ["u[7]w"]),
+    ("  u[7]  ", ["u7"]),
 ])
 def test_node_shapes(spark, nodes, want):
     text = nodes if isinstance(nodes, str) or nodes is None else json.dumps(nodes)
