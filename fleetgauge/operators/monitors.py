@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from fleetgauge.constants import FLINK_LABELS, HISTORY_SIZE
+from fleetgauge.constants import FLINK_LABELS, HISTORY_SIZE, SPARK_ENABLED, SPARK_LABELS
 from fleetgauge.operators import history, selection
 from fleetgauge.operators.catalog import enabled_metrics
 
@@ -43,6 +43,17 @@ def monitor_stats(
     return history.padded_stats(recent, [*keys, "metric"], n=n)
 
 
+def spark_monitor(polls: DataFrame, chunk: Column, n: int = HISTORY_SIZE) -> DataFrame:
+    """Statistics of cluster snapshots, filed under the application each poll reports on.
+
+    The application found first is kept until a poll fails. ``polls`` comes from
+    ``spark_polls``; ``chunk`` cuts the polls of a cluster (see ``sticky_entity``).
+    """
+    filed = selection.sticky_entity(polls, ["cluster_id"], "poll_id", chunk)
+    keys = ["cluster_id", "entity_id"]
+    return monitor_stats(filed, keys, ["poll_id"], [*SPARK_LABELS], SPARK_ENABLED, n)
+
+
 def flink_monitor(polls: DataFrame, chunk: Column, n: int = HISTORY_SIZE) -> DataFrame:
     """Statistics of cluster snapshots, filed under the job each poll reports on.
 

@@ -150,6 +150,31 @@ def complete_polls(parts: DataFrame, keys: Names) -> DataFrame:
     )
 
 
+def spark_polls(raw: DataFrame, current: DataFrame, keys: Names) -> DataFrame:
+    """Figures of all polls of clusters, failed ones too, with a candidate application.
+
+    ``raw`` holds the application listing too, ``current`` an ``app_id`` per poll (see
+    ``selection.current_app``). ``ok`` tells whether a poll is complete, its listing
+    included; only then its figures mean something.
+    """
+    listing = payloads.record_list(F.col("payload"), schemas.APPLICATION)
+    listed = (
+        raw.filter(F.col("endpoint") == "applications")
+        .withColumn("_read", F.coalesce(F.col("ok") & listing.isNotNull(), F.lit(False)))
+        .groupBy(*keys).agg(F.bool_and("_read").alias("_listed"))
+    )
+    whole = F.col("_ok") & F.coalesce("_listed", F.lit(False))
+    for name in SPARK_PAGES:
+        whole = whole & F.col(f"_has_{name}")
+    parts = spark_parts(raw, keys)
+    sums = parts.drop(*_STATE)
+    return (
+        parts.join(listed, [*keys], "left")
+        .select(*in_units(sums), F.date_format("_ts", "HH:mm:ss").alias("timestamp"), whole.alias("ok"))
+        .join(current.withColumnRenamed("app_id", "candidate"), [*keys], "left")
+    )
+
+
 def spark_snapshot(raw: DataFrame, keys: Names) -> DataFrame:
     """Job, stage, task and executor figures, one row per application and poll.
 

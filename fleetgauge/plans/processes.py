@@ -10,7 +10,8 @@ from fleetgauge.sources import fixtures, landing
 
 PROCS_SQL = """
     procs AS (
-        SELECT p_partkey AS pid, p_brand AS username,
+        SELECT p_partkey AS pid, p_brand AS username, 'cluster-' || (p_partkey % 3) AS cluster_id,
+               'host-' || (p_partkey % 7) AS host, p_partkey // 50 AS poll_id,
                CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'root' END AS owner,
                CASE p_size % 10 WHEN 0 THEN 'zombie' WHEN 1 THEN 'dead' WHEN 2 THEN 'running'
                     ELSE 'sleeping' END AS status,
@@ -44,12 +45,14 @@ def process_match(spark, sf_dir):
 
 @query("process_samples", f"""
     WITH {PROCS_SQL}
-    SELECT pid, username, status, CAST(p_size AS BIGINT) AS num_threads, pid * 123456 AS rss FROM procs
+    SELECT cluster_id, host, poll_id, pid, username, status, CAST(p_size AS BIGINT) AS num_threads,
+           pid * 123456 AS rss
+    FROM procs WHERE pid % 31 <> 5
 """)
 def process_samples(spark, sf_dir):
     raw = fixtures.process_polls(spark, sf_dir)
-    return landing.process_samples(raw, ["owner"]).select(
-        "pid", "username", "status", "num_threads", "rss"
+    return landing.process_samples(raw, ["cluster_id", "host", "poll_id"]).select(
+        "cluster_id", "host", "poll_id", "pid", "username", "status", "num_threads", "rss"
     )
 
 

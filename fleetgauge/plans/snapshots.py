@@ -9,6 +9,7 @@ from fleetgauge.functions import units
 from fleetgauge.operators import catalog
 from fleetgauge.operators import snapshots as ops
 from fleetgauge.plans.registry import query
+from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures, landing
 from fleetgauge.sources.tables import table
 
@@ -307,6 +308,18 @@ def free_slots(spark, sf_dir):
     )
 
 
+@query("raw_polls_landed", """
+    SELECT DISTINCT o_orderpriority AS cluster_id, o_orderkey // 200 AS poll_id,
+           (o_orderkey // 200) % 8 <> 3 AS ok
+    FROM orders
+""")
+def raw_polls_landed(spark, sf_dir):
+    folder = new_folder(spark, "raw-polls")
+    landing.write_raw_polls(fixtures.flink_raw_polls(spark, sf_dir), folder)
+    landed = landing.read_raw_polls(spark, folder).filter("endpoint = 'overview'")
+    return landed.select("cluster_id", "poll_id", "ok")
+
+
 @query("unreadable_pages", """
     WITH o AS (SELECT o_orderpriority AS cluster_id, o_orderkey // 200 AS poll_id, o_orderkey AS page FROM orders)
     SELECT DISTINCT cluster_id, poll_id, 'overview' AS endpoint, CAST(0 AS BIGINT) AS page FROM o

@@ -151,6 +151,31 @@ def timeline_stats(spark, sf_dir):
     return history.series_stats(ops.merge_points(points, SERIES), SERIES)
 
 
+@query("timeline_monitor", META_SQL.rstrip() + """, ranked AS (
+        SELECT * FROM points
+        QUALIFY row_number() OVER (PARTITION BY job_id, metric, ts ORDER BY poll_id, position) = 1
+    ), shown AS (
+        SELECT * FROM ranked
+        QUALIFY row_number() OVER (PARTITION BY job_id, metric ORDER BY ts DESC) <= 500
+    ), latest AS (
+        SELECT job_id, metric, max_by(unit, poll_id) FILTER (WHERE unit IS NOT NULL) AS unit,
+               max_by(data_key, poll_id) FILTER (WHERE data_key IS NOT NULL) AS data_key
+        FROM metas GROUP BY job_id, metric
+    )
+    SELECT job_id, metric, ts, value, unit, data_key,
+           CAST(sum(CAST(value AS BIGINT)) OVER w AS DOUBLE) / count(*) OVER w AS mean,
+           max(value) OVER w AS max, min(value) OVER w AS min
+    FROM shown JOIN latest USING (job_id, metric) WINDOW w AS (PARTITION BY job_id, metric)
+""")
+def timeline_monitor(spark, sf_dir):
+    """Merged points, each with the latest metadata and the statistics of its series."""
+    polls = _polls(spark, sf_dir)
+    points = ops.merge_points(ops.timeline_points(polls, POLL), SERIES).drop("age")
+    latest = ops.merge_meta(ops.timeline_meta(polls, POLL), SERIES)
+    shown = history.overlay(points, SERIES)
+    return shown.join(latest.select(*SERIES, "unit", "data_key"), SERIES)
+
+
 @query("epoch_to_hms", f"""
     WITH {BLOCKS_SQL}
     SELECT poll_id, ts, strftime(make_timestamp(CAST(ts AS BIGINT) * 1000000), '%H:%M:%S') AS display_time

@@ -128,20 +128,41 @@ def spark_executors(spark: SparkSession, folder: str, read: Reader = table) -> D
     )
 
 
-def applications(spark: SparkSession, folder: str) -> DataFrame:
-    """Application listings; a cluster is an order priority."""
-    attempt = "named_struct('completed', %s)"
-    return table(spark, folder, "orders").select(
-        F.col("o_orderpriority").alias("cluster_id"),
-        F.expr(ORDER_POLL).alias("poll_id"),
-        F.col("o_orderkey").alias("position"),
-        F.expr("concat('app-', o_orderkey)").alias("app_id"),
-        F.expr(
-            "CASE WHEN o_custkey % 40 = 0 THEN array(" + attempt % "false" + ")"
-            " WHEN o_orderstatus = 'F' THEN array(" + attempt % "true" + ", " + attempt % "false" + ")"
-            " WHEN o_orderstatus = 'O' THEN array(" + attempt % "CAST(NULL AS BOOLEAN)" + ") END"
-        ).alias("attempts"),
-    )
+def cluster_polls(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed pages of clusters polled as a whole, the application listing included."""
+    orders = table(spark, folder, "orders")
+    attempt = "array(named_struct('completed', %s))"
+    records = {
+        "applications": "named_struct('id', concat('app-', o_orderkey), 'attempts',"
+        f" CASE WHEN o_custkey % 40 = 0 THEN {attempt % 'false'}"
+        f" WHEN o_orderstatus = 'F' THEN {attempt % 'true'} END)",
+        "jobs": "named_struct('status', CASE o_orderstatus WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END,"
+        " 'numActiveTasks', o_orderkey % 5)",
+        "stages": "named_struct('status', 'ACTIVE')",
+        "executors": "named_struct('totalCores', 2, 'memoryUsed', o_custkey * 1024,"
+        " 'totalShuffleRead', o_orderkey * 512, 'totalGCTime', o_orderkey % 100,"
+        " 'totalDuration', o_custkey)",
+    }
+    pages = None
+    for endpoint, record in records.items():
+        some = orders.select(
+            F.col("o_orderpriority").alias("cluster_id"),
+            F.expr(ORDER_POLL).alias("poll_id"),
+            _poll_ts(ORDER_POLL),
+            F.lit(endpoint).alias("endpoint"),
+            F.col("o_orderkey").alias("page"),
+            F.to_json(F.expr(f"array({record})")).alias("payload"),
+        )
+        pages = some if pages is None else pages.unionByName(some)
+    failed = "endpoint = 'stages' AND poll_id % 8 = 3"
+    return pages.withColumns({
+        "ok": F.expr(f"NOT ({failed})"),
+        "payload": F.expr(
+            f"CASE WHEN {failed} THEN NULL"
+            " WHEN endpoint = 'applications' AND poll_id % 11 = 6 THEN '{\"error\":\"x\"}'"
+            " ELSE payload END"
+        ),
+    })
 
 
 def _page(df: DataFrame, endpoint: str, fields: list[str], poll_no: str) -> DataFrame:
@@ -371,6 +392,10 @@ PATTERNS = [
 def processes(spark: SparkSession, folder: str) -> DataFrame:
     """One process sample per part; every other one belongs to another user."""
     return table(spark, folder, "part").select(
+        F.expr("concat('cluster-', p_partkey % 3)").alias("cluster_id"),
+        F.expr("concat('host-', p_partkey % 7)").alias("host"),
+        F.expr("p_partkey div 50").alias("poll_id"),
+        _poll_ts("p_partkey div 50"),
         F.col("p_partkey").alias("pid"),
         F.col("p_brand").alias("username"),
         F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'root' END").alias("owner"),
@@ -393,9 +418,14 @@ def processes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def process_polls(spark: SparkSession, folder: str) -> DataFrame:
-    """The same samples as landed JSON."""
+    """The same samples as landed JSON; a few are cut off."""
     df = processes(spark, folder)
-    return df.select("owner", F.to_json(F.struct(*df.drop("owner").columns)).alias("payload"))
+    keys = ["owner", "cluster_id", "host", "poll_id", "poll_ts"]
+    payload = F.to_json(F.struct(*df.drop(*keys).columns))
+    return df.select(
+        *keys,
+        F.when(F.col("pid") % 31 == 5, F.substring(payload, 1, 40)).otherwise(payload).alias("payload"),
+    )
 
 
 def pattern_rows(spark: SparkSession, folder: str) -> DataFrame:

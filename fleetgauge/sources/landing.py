@@ -18,8 +18,15 @@ from fleetgauge.functions import payloads, rows
 Names = Sequence[str]
 
 
+def write_raw_polls(raw: DataFrame, path: str) -> None:
+    """Land pages by endpoint and day, so that a reader opens only the files it needs."""
+    days = raw.withColumn("poll_date", F.to_date("poll_ts"))
+    days.write.partitionBy("endpoint", "poll_date").parquet(path)
+
+
 def read_raw_polls(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RAW_POLLS).parquet(path)
+    """Landed pages; filters on ``endpoint`` and ``poll_date`` prune folders."""
+    return spark.read.schema(schemas.RAW_POLLS + ", poll_date DATE").parquet(path)
 
 
 def read_trips(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
@@ -96,10 +103,10 @@ def job_details(raw: DataFrame, keys: Names) -> DataFrame:
 
 
 def process_samples(raw: DataFrame, keys: Names) -> DataFrame:
-    """One row per landed process sample."""
-    return raw.select(*keys, F.from_json("payload", schemas.PROCESS).alias("_p")).select(
-        *keys, "_p.*"
-    )
+    """One row per landed process sample; documents that hold none are left out."""
+    page = payloads.page_object(F.col("payload"), schemas.PROCESS)
+    samples = raw.select(*keys, page.alias("_p")).filter(payloads.readable(F.col("_p")))
+    return samples.select(*keys, "_p.*").drop("_bad")
 
 
 def slurm_jobs(raw: DataFrame, keys: Names = (), fields: Names | None = None) -> DataFrame:

@@ -66,3 +66,8 @@ def test_points_are_folded_without_a_sort(spark):
 
 def test_commands_are_not_cut_into_arrays_of_texts(spark):
     assert not re.search(r"transform\(sequence", plan(spark, "process_match_join"))
+
+
+def test_landed_polls_are_pruned_by_folder(spark):
+    found = re.search(r"PartitionFilters: \[([^]]*)\]", plan(spark, "raw_polls_landed"))
+    assert "endpoint" in found[1]
