@@ -77,6 +77,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def written_dir(spark: SparkSession) -> str:
+    """Where this application writes, below the shared folder."""
+    return f"{shared_dir(spark)}/fleetgauge-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh, not yet existing path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh, not yet existing path among those this application writes."""
+    return f"{written_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all that this application wrote; frames that read it are void then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(written_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

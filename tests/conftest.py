@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from fleetgauge.session import build_session  # noqa: E402
+from fleetgauge.session import build_session, remove_written  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,4 +22,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_written(session)
     session.stop()

@@ -24,7 +24,7 @@ class Session:
 def test_named_folder_is_used():
     named = Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs:///shared/"})
     assert ops.shared_dir(named) == "hdfs:///shared"
-    assert ops.new_folder(named, "x").startswith("hdfs:///shared/x-")
+    assert ops.new_folder(named, "x").startswith("hdfs:///shared/fleetgauge-app-1/x-")
 
 
 def test_cluster_without_folder_is_refused():
@@ -48,6 +48,12 @@ def test_session_reads_the_setting(spark):
     assert ops.new_folder(spark, "a") != ops.new_folder(spark, "a")
 
 
+@pytest.mark.parametrize("master", ["local-cluster[2,1,512]", "yarn", "k8s://host"])
+def test_only_one_process_may_use_its_own_folder(master):
+    with pytest.raises(RuntimeError):
+        ops.shared_dir(Session(master))
+
+
 def test_stored_table_is_read_back(spark):
     df = spark.range(3).select(F.col("id"), (F.col("id") * 2).alias("double"))
     kept = ops.stored(df, "kept")
