@@ -114,6 +114,16 @@ def merge_meta(metas: DataFrame, series: Names, poll: str = "poll_id") -> DataFr
     )
 
 
+def document_outcomes(polls: DataFrame, keep: Names) -> DataFrame:
+    """Whether each poll brought a document, and what to tell where it did not.
+
+    A page that arrived but is no JSON object is a failed poll too.
+    """
+    read = F.coalesce(F.col("ok") & payloads.members(F.col("payload")).isNotNull(), F.lit(False))
+    message = F.when(~read, F.coalesce(F.col("message"), F.lit("unreadable document")))
+    return polls.select(*keep, read.alias("ok"), message.alias("message"))
+
+
 def first_errors(
     polls: DataFrame, series: Names, chunk: str, order: str = "poll_id"
 ) -> DataFrame:

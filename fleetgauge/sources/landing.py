@@ -119,6 +119,15 @@ def slurm_jobs(raw: DataFrame, keys: Names = (), fields: Names | None = None) ->
     return rows.structs(parsed, keys, F.col("_doc.jobs"), always="job_id")
 
 
+def slurm_errors(raw: DataFrame, keys: Names) -> DataFrame:
+    """Documents that ``slurm_jobs`` cannot read, or that hold jobs without an id."""
+    page = payloads.page_object(F.col("payload"), f"STRUCT<{schemas.slurm_jobs(['job_id'])}>")
+    unread = ~F.coalesce(payloads.readable(page), F.lit(False))
+    nameless = F.exists(page["jobs"], lambda job: job["job_id"].isNull())
+    reason = F.when(unread, "unreadable document").when(nameless, "job without an id")
+    return raw.select(*keys, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
     """Scheduler jobs from files that each hold one JSON document."""
     return (

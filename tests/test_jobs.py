@@ -179,3 +179,11 @@ def test_allocation_tree_with_named_master_and_workers(spark):
 
 def test_allocation_tree_without_nodes(spark):
     assert tree(spark, []) == [(-1, 0, "Slurm Job", 8, 1600)]
+
+
+def test_unreadable_scheduler_documents_are_listed(spark):
+    texts = ['{"jobs":[{"job_id":7}]}', '{"jobs":[{"job_id":7},{"name":"x"}]}', '{"jobs":[{', "<html>", '{"jobs":[]}']
+    raw = spark.createDataFrame(list(enumerate(texts)), "page long, payload string")
+    found = landing.slurm_errors(raw, ["page"]).orderBy("page").collect()
+    assert [tuple(r) for r in found] == [
+        (1, "job without an id"), (2, "unreadable document"), (3, "unreadable document")]
