@@ -14,12 +14,12 @@ of links and is named by its smallest doc_id.
 2. Texts with equal multisets become one, by a count per multiset before anything else.
 3. Bands of registers are buckets. Every member of a bucket is held against the smallest
    and the largest id of the bucket, exactly, from whole texts. Links give components.
-4. In buckets whose members still lie in several components, two texts share at most
-   those shingles that some other open text has too; members for which that is too little
-   are done. The others are held against the member with the fewest shingles of its own,
-   the middle of a group of near copies. Who is still outside the bucket's largest
-   component is paired with all members of other components that the bound leaves, and
-   checked exactly. Pairs inside a component can add nothing and are never made, so a
+4. In buckets whose members still lie in several components, who is not in the component
+   of a third member, drawn by hash, is held against that one. Who is then still outside
+   the bucket's largest component is paired with all members of other components, unless
+   a bound proves the pair too different, and checked exactly. The bound: each text has
+   512 bits, the parities of its shingles by hash; two texts differ in at least as many
+   shingles as bits. Pairs inside a component can add nothing and are never made, so a
    large group of near copies costs a few pairs per member.
 
 Bands of six of 144 registers miss a pair at 0.8 with probability 7e-4, at 0.85 with 1e-5.
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import column, sliced
@@ -44,6 +44,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 
+#: Words of parity bits of each text.
+WORDS = 8
+
 #: Points drawn at once where few processes are left.
 POINTS = 1 << 16
 
@@ -103,8 +106,18 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
 
 
+def parities(hashes: np.ndarray, of: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+    """Bits of each text: whether it has an odd number of shingles of each hashed class."""
+    bits = np.bincount(
+        of * (64 * WORDS) + (mix(hashes + _STEP) % np.uint64(64 * WORDS)).astype(np.int64),
+        count, texts * 64 * WORDS,
+    ).astype(np.int64) & 1
+    packed = np.packbits(bits.reshape(texts, -1).astype(np.uint8), axis=1)
+    return packed.view(np.int64)
+
+
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, two sums that name the multiset, its size ``n``, and ``bands`` if any."""
+    """``doc_id``, two sums that name the multiset, its size, ``bands`` if any, and parities."""
     read = docs.select(
         column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text")
     )
@@ -125,11 +138,13 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             "key1": keys[0].view(np.int64), "key2": keys[1].view(np.int64),
             "bands": [b if k else None for b, k in zip(bands, known, strict=True)],
             "n": np.bincount(of, count, n).astype(np.int64),
+            "parity": list(parities(hashes, of, count, n)),
         }
 
     return sliced(
         read, "text", work,
-        "doc_id bigint, key1 bigint, key2 bigint, bands array<bigint>, n bigint",
+        "doc_id bigint, key1 bigint, key2 bigint, bands array<bigint>, n bigint,"
+        " parity array<bigint>",
     )
 
 
@@ -191,48 +206,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def own_shingles(texts: DataFrame) -> DataFrame:
-    """``id, own``: how many of a text's shingles no other of the texts has."""
-
-    def work(part: pa.RecordBatch) -> dict:
-        hashes, of, count = counted(
-            *shingle_hashes(*word_hashes(part.column("text").to_pylist()), short=True)
-        )
-        return {
-            "id": part.column("id").take(pa.array(of)), "shingle": hashes.view(np.int64),
-            "count": count,
-        }
-
-    found = sliced(texts, "text", work, "id bigint, shingle bigint, count bigint")
-    return (
-        found.groupBy("shingle")
-        .agg(F.min("id").alias("id"), F.max("id").alias("last"), F.sum("count").alias("count"))
-        .filter(F.col("id") == F.col("last"))
-        .groupBy("id").agg(F.sum("count").alias("own"))
-    )
-
-
-def open_members(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members (bucket, id, n, label) of buckets that hold several components.
-
-    Adds ``common``, how many shingles a member may share with any other. A link shares
-    at least the threshold's part of either text's shingles, so members whose common
-    ones are fewer have no link left to find and go.
-    """
+def open_members(placed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Members (bucket, id, n, label) of buckets that hold several components, with parities."""
     apart = (
         placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter(F.col("low") != F.col("high")).select("bucket")
     )
-    rows = stored(placed.join(apart, "bucket"), "open-buckets")
-    own = stored(
-        own_shingles(texts.join(rows.select("id").distinct(), "id", "left_semi")), "own-shingles"
-    )
-    return stored(
-        rows.join(own, "id", "left")
-        .withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-        .filter(F.col("common") >= THRESHOLD * F.col("n") - 1e-9).drop("own"),
-        "open-members",
+    parities = distinct.select("id", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS)))
+    return stored(placed.join(apart, "bucket").join(parities, "id"), "open-members")
+
+
+def may_link(other: str, threshold: float = THRESHOLD) -> Column:
+    """Whether two texts may be similar: what they share is bounded by the bits that differ."""
+    differ = sum(
+        (F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}{other}"))) for i in range(WORDS)),
+        start=F.lit(0),
     )
+    both = F.col("n") + F.col(f"n{other}")
+    return (1 + threshold) * (both - differ) / 2 >= threshold * both - 1e-9
 
 
 def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -243,15 +234,25 @@ def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def central_pairs(rows: DataFrame) -> DataFrame:
-    """Every open member with the one of its bucket that has the fewest shingles of its own."""
-    least_own = F.struct((1 - F.col("common") / F.col("n")).alias("own"), "id", "label")
-    centre = rows.groupBy("bucket").agg(F.min(least_own).alias("centre"))
-    return rows.join(centre, "bucket").filter(
-        F.col("label") != F.col("centre.label")
-    ).select(
-        F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")
-    ).distinct()
+def _others(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "bucket", *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "bucket")
+    )
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return (
+        rows.filter((F.col("label") != F.col("label_")) & may_link("_"))
+        .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+        .distinct()
+    )
+
+
+def drawn_pairs(rows: DataFrame) -> DataFrame:
+    """Every open member with one of its bucket, drawn by hash."""
+    drawn = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id")).alias("drawn"))
+    hubs = rows.join(drawn, "bucket").filter(F.col("id") == F.col("drawn")).drop("drawn")
+    return _pairs(rows.join(_others(hubs), "bucket"))
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
@@ -265,21 +266,8 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
         .agg(F.max_by("label", "members").alias("main"), F.count("*").alias("labels"))
         .filter("labels > 1").drop("labels")
     )
-    outside = rows.join(main, "bucket").filter(F.col("label") != F.col("main"))
-    others = rows.select(
-        "bucket", F.col("id").alias("id_"), F.col("n").alias("n_"),
-        F.col("label").alias("label_"), F.col("common").alias("common_"),
-    )
-    most = F.least("common", "common_") * (1 + THRESHOLD)
-    return (
-        outside.join(others, "bucket")
-        .filter(
-            (F.col("label") != F.col("label_"))
-            & (most >= THRESHOLD * (F.col("n") + F.col("n_")) - 1e-9)
-        )
-        .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
-        .distinct()
-    )
+    outside = rows.join(main, "bucket").filter(F.col("label") != F.col("main")).drop("main")
+    return _pairs(outside.join(_others(rows), "bucket"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +276,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("bands").isNotNull())
     distinct = stored(
         known.groupBy("key1", "key2").agg(
-            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+            F.first("parity").alias("parity"),
         ),
         "distinct-texts",
     )
@@ -320,8 +309,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         ),
         "placed",
     )
-    tried, rows_left = stars, open_members(placed, texts)
-    for pairs_of in (central_pairs, cross_pairs):
+    tried, rows_left = stars, open_members(placed, distinct)
+    for pairs_of in (drawn_pairs, cross_pairs):
         pairs = stored(
             pairs_of(rows_left).join(tried, ["a", "b"], "left_anti"), "open-candidates"
         )
