@@ -46,7 +46,7 @@ LENGTH, LEAD = 100, 24
 WINDOW = LENGTH - LEAD + 1
 
 #: Bytes of a text worked on at once, and surroundings of one lead in one group.
-PIECE, GROUP = 1 << 21, 1 << 15
+PIECE, GROUP = 1 << 21, 1 << 13
 
 #: Surroundings whose strings are sorted at once.
 ROWS = 20_000
@@ -54,7 +54,7 @@ ROWS = 20_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 SUFFIXES = "key bigint, whole bigint, d bigint, t bigint, start bigint, n int"
-RUNS = "d bigint, t bigint, start bigint, n int, key bigint, part int, split boolean"
+RUNS = "d bigint, t bigint, start bigint, n int, key bigint"
 FOUND = "d bigint, t bigint, start bigint, n int, string bigint"
 
 
@@ -176,29 +176,36 @@ def compared(found: DataFrame) -> DataFrame:
         earliest = np.maximum.accumulate(np.where(new_whole, np.arange(len(key)), 0))
         later = (d != d[earliest]) | (start != start[earliest])
         open_ = np.repeat((kinds > 1) | edge, size) & ~later
-        split = np.repeat(edge | (kinds > GROUP), size)
-        parts = np.repeat(-(-kinds // GROUP), size)
-        part = np.where(split, mix(d.astype(np.uint64)) % parts.astype(np.uint64), 0)
         for rows, is_open in ((np.flatnonzero(later), False), (np.flatnonzero(open_), True)):
             for i in range(0, len(rows), 100_000):
                 own = rows[i : i + 100_000]
-                columns = [pa.array(x[own]) for x in (d, t, start, n)]
-                if is_open:
-                    columns += [
-                        pa.array(key[own]), pa.array(part[own].astype(np.int32)),
-                        pa.array(split[own]),
-                    ]
-                else:
-                    columns += [
-                        pa.nulls(len(own), k) for k in (pa.int64(), pa.int32(), pa.bool_())
-                    ]
+                lead = pa.array(key[own]) if is_open else pa.nulls(len(own), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    columns, names=["d", "t", "start", "n", "key", "part", "split"]
+                    [*(pa.array(x[own]) for x in (d, t, start, n)), lead],
+                    names=["d", "t", "start", "n", "key"],
                 )
 
     return ranged.mapInArrow(run, RUNS)
 
 
+def dealt(open_: DataFrame) -> DataFrame:
+    """Open runs with the part of their lead they are compared in.
+
+    Only leads with more runs than a group should hold have several parts.
+    """
+    large = stored(
+        open_.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("runs"))
+        .filter(F.col("runs") > GROUP),
+        "large-leads",
+    )
+    parts = F.ceil(F.col("runs") / GROUP)
+    return open_.join(large, F.col("key") == F.col("key_"), "left").select(
+        *open_.columns,
+        F.coalesce(F.pmod(F.xxhash64("d"), parts), F.lit(0)).cast("bigint").alias("part"),
+        F.col("runs").isNotNull().alias("split"),
+    )
+
+
 def surroundings(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """Open runs with the bytes that their strings cover."""
     lists = runs.groupBy("d", "t").agg(
@@ -220,7 +227,7 @@ def surroundings(texts: DataFrame, runs: DataFrame) -> DataFrame:
             name: [x[i + 1] for x in made] for i, name in enumerate(named)
         }
 
-    return sliced(joined, "text", work, RUNS + ", bytes binary")
+    return sliced(joined, "text", work, RUNS + ", part bigint, split boolean, bytes binary")
 
 
 def decided(open_: DataFrame) -> DataFrame:
@@ -331,8 +338,9 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeats(texts: DataFrame) -> DataFrame:
     """Runs (d, t, start, n) of repeated strings of the keyed texts."""
-    runs = stored(compared(suffixes(texts.select("d", "t", "text"))), "runs")
-    open_ = surroundings(texts.select("d", "t", "text"), runs.filter(F.col("key").isNotNull()))
+    plain = texts.select("d", "t", "text")
+    runs = stored(compared(suffixes(plain)), "runs")
+    open_ = surroundings(plain, dealt(runs.filter(F.col("key").isNotNull())))
     found = stored(decided(open_), "decided")
     return (
         runs.filter(F.col("key").isNull()).select("d", "t", "start", "n")
