@@ -19,6 +19,7 @@ from fleetgauge.llm import (
     warc,
 )
 from fleetgauge.llm.common import shipped
+from fleetgauge.session import stored
 from fleetgauge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +73,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.encoded_lengths(table(spark, sf_dir, "documents"))
-    return lengths.context_limits(lengths.length_histogram(counted))
+    # Written, because the limits read the histogram twice.
+    return lengths.context_limits(stored(lengths.length_histogram(counted), "histogram"))
 
 
 @query("op8_suffix_dedup")
