@@ -207,12 +207,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_members(placed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Members (bucket, id, n, label) of buckets that hold several components, with parities."""
+    """Members (bucket, id, n, label) of buckets that hold several components, with parities and bands."""
     apart = (
         placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter(F.col("low") != F.col("high")).select("bucket")
     )
-    parities = distinct.select("id", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS)))
+    parities = distinct.select("id", "bands", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS)))
     return stored(placed.join(apart, "bucket").join(parities, "id"), "open-members")
 
 
@@ -240,9 +240,10 @@ def _others(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, here: Column | None = None) -> DataFrame:
+    open_ = (F.col("label") != F.col("label_")) & may_link("_")
     return (
-        rows.filter((F.col("label") != F.col("label_")) & may_link("_"))
+        rows.filter(open_ if here is None else open_ & here)
         .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
         .distinct()
     )
@@ -267,7 +268,9 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
         .filter("labels > 1").drop("labels")
     )
     outside = rows.join(main, "bucket").filter(F.col("label") != F.col("main")).drop("main")
-    return _pairs(outside.join(_others(rows), "bucket"))
+    # Near copies share most of their buckets; a pair is made in the first of these alone.
+    first = F.array_min(F.array_intersect("bands", "bands_"))
+    return _pairs(outside.join(_others(rows), "bucket"), F.col("bucket") == first)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
