@@ -15,6 +15,7 @@ from fleetgauge.llm import (
     packing,
     quality,
     suffixes,
+    trie,
     urls,
     warc,
 )
@@ -91,3 +92,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_top_k", kdtree.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_conversation_trie", trie.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
