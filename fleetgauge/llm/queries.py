@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.llm import (
+    align,
     chat,
     decontaminate,
     kdtree,
@@ -97,3 +98,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_trie", trie.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.document_links(table(spark, sf_dir, "documents"))
