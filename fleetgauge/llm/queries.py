@@ -10,6 +10,7 @@ from fleetgauge.llm import (
     align,
     chat,
     decontaminate,
+    jaccard,
     kdtree,
     lengths,
     near_dedup,
@@ -100,6 +101,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_ngram_join", jaccard.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.document_links(table(spark, sf_dir, "documents"))
