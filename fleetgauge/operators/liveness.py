@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge import schemas
 from fleetgauge.constants import NO_WORKERS, PROCESS_PATTERNS
+from fleetgauge.functions import payloads
+
+#: What is told of a listing that failed without a message.
+UNKNOWN_ERROR = "listing failed"
+
 
 def workers_up(expected: DataFrame, listed: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Compare the number of expected hosts with the number of active workers.
@@ -50,7 +56,8 @@ def workers_up(expected: DataFrame, listed: DataFrame, errors: DataFrame | None
     )
     if errors is None:
         return counted
-    failed = errors.groupBy("cluster_id").agg(F.min("message").alias("_error"))
+    told = F.coalesce("message", F.lit(UNKNOWN_ERROR))
+    failed = errors.groupBy("cluster_id").agg(F.min(told).alias("_error"))
     told = (F.col("message") == "") & F.col("_error").isNotNull()
     return counted.join(failed, "cluster_id", "left").select(
         "cluster_id",
@@ -87,3 +94,21 @@ def cluster_up(
             (found & F.col("ok")).alias("cluster_up"),
         )
     )
+
+
+def report_up(
+    framework: str, expected: str, payload: str, ok: str, master_found: str
+) -> Column:
+    """Whether one poll's report shows its cluster up, from the columns of its row.
+
+    ``expected`` is an array of hosts, ``payload`` the whole worker listing. As for
+    :func:`workers_up`, distinct hosts are counted, and task managers one by one.
+    """
+    page = payloads.page_object(F.col(payload), schemas.WORKER_LISTING)
+    alive = F.filter(page["workers"], lambda w: w["state"] == "ALIVE")
+    hosts = F.array_compact(F.array_distinct(F.transform(alive, lambda w: F.trim(w["host"]))))
+    wanted = F.size(F.array_compact(F.array_distinct(expected)))
+    kind = F.lower(framework)
+    active = F.when(kind == "spark", F.size(hosts)).when(kind == "flink", F.size(page["taskmanagers"]))
+    usable = F.col(ok) & payloads.readable(page) & F.col(master_found)
+    return F.coalesce(usable & (wanted > 0) & (wanted == active), F.lit(False))

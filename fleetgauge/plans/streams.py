@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetgauge.operators import liveness as liveness_ops
 from fleetgauge.plans.history import ENTITY, HISTORY_SQL
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.snapshots import APP, SPARK_SNAPSHOT_SQL
@@ -15,7 +16,7 @@ from fleetgauge.plans.timelines import BLOCKS_SQL, META_SQL, SERIES
 from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures, landing
 from fleetgauge.sources.tables import table
-from fleetgauge.streaming import history, snapshots, timelines
+from fleetgauge.streaming import history, liveness, selection, snapshots, timelines
 from fleetgauge.streaming.ingest import run_available, stream_files
 
 # Micro-batches that each table arrives in.
@@ -105,3 +106,118 @@ def stream_spark_snapshot(spark, sf_dir):
     raw = fixtures.spark_raw_polls(spark, sf_dir, read=landed)
     run_available(spark, raw.writeStream.foreachBatch(snapshots.snapshot_sink(folder, APP)))
     return snapshots.read_snapshots(spark, folder, APP)
+
+
+# ------------------------------------------- rows that land out of their order
+
+# Files that rows land in, by their time and up to JITTER seconds later; the watermark
+# waits DELAY. Of SOME rows one lands in the last file, behind the watermark or not.
+FILES, SOME = 4, 97
+
+
+def landed_late(spark, rows, number, jitter):
+    """Rows (with ``seconds``) as a stream of files in order, then one row far ahead.
+
+    The last row moves the watermark past all others; its key is null throughout.
+    """
+    end = rows.agg(F.max("seconds")).first()[0] or 0
+    folder = new_folder(spark, "landed-late")
+    arrival = F.col("seconds") + F.pmod(F.col(number) * 7919, F.lit(jitter))
+    first = rows.agg(F.min("seconds")).first()[0] or 0
+    file = F.floor((arrival - first) * FILES / F.lit(end - first + jitter))
+    file = F.when(F.col(number) % SOME == 5, FILES - 1).otherwise(file)
+    placed = rows.withColumn("_file", file)
+    for part in range(FILES):
+        placed.filter(F.col("_file") == part).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    ahead = [F.lit(end + 10**9).cast("bigint").alias("seconds") if c == "seconds"
+             else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    spark.range(1).select(*ahead).coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_files(spark, folder, rows.schema, files_per_batch=1)
+    return stream.withColumn("ts", F.timestamp_seconds("seconds"))
+
+
+def late_sql(number: str, seconds: str, jitter: int, delay: int) -> str:
+    """CTEs from ``rows`` to ``timed``: with the file of each row and whether it came too late."""
+    return f"""
+    placed AS (
+        SELECT *, CASE WHEN {number} % {SOME} = 5 THEN {FILES - 1} ELSE CAST(floor(
+            ({seconds} + ({number} * 7919) % {jitter} - least) * {FILES} / (most - least + {jitter})) AS BIGINT)
+            END AS file
+        FROM rows, (SELECT min({seconds}) AS least, max({seconds}) AS most FROM rows)
+    ), seen AS (
+        SELECT f.file, (SELECT max({seconds}) FROM placed p WHERE p.file < f.file) - {delay} AS mark
+        FROM (SELECT DISTINCT file FROM placed) f
+    ), timed AS (
+        SELECT placed.*, coalesce({seconds} <= mark, false) AS late FROM placed JOIN seen USING (file)
+    )
+    """
+
+
+STICKY_JITTER, STICKY_DELAY = 200, 250
+
+
+@query("stream_sticky_entity", f"""
+    WITH rows AS (
+        SELECT o_orderpriority AS cluster_id, o_orderkey AS poll_id, o_orderkey AS seconds,
+               o_orderstatus <> 'P' AS ok,
+               CASE WHEN o_custkey % 3 <> 0 THEN 'app-' || o_custkey END AS candidate
+        FROM orders
+    ), {late_sql("poll_id", "seconds", STICKY_JITTER, STICKY_DELAY)}, eras AS (
+        SELECT *, coalesce(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (
+            PARTITION BY cluster_id ORDER BY poll_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era
+        FROM timed WHERE NOT late
+    ), chosen AS (
+        SELECT *, first_value(candidate IGNORE NULLS) OVER (
+            PARTITION BY cluster_id, era ORDER BY poll_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS entity_id
+        FROM eras
+    )
+    SELECT cluster_id, poll_id, entity_id, false AS late FROM chosen
+    WHERE ok AND entity_id IS NOT NULL
+    UNION ALL SELECT cluster_id, poll_id, NULL, true FROM timed WHERE late
+""")
+def stream_sticky_entity(spark, sf_dir):
+    polls = fixtures.poll_outcomes(spark, sf_dir).withColumn(
+        "seconds", F.col("poll_id") + fixtures.EPOCH
+    )
+    told = selection.stream_sticky_entity(
+        landed_late(spark, polls, "poll_id", STICKY_JITTER), ["cluster_id"], "poll_id", "ts",
+        f"{STICKY_DELAY} seconds",
+    )
+    folder = new_folder(spark, "sticky")
+    run_available(spark, told.writeStream.foreachBatch(history.batch_sink(folder)))
+    return history.read_batches(spark, folder).drop("batch_id").filter("cluster_id IS NOT NULL")
+
+
+UP_JITTER, UP_DELAY, INTERVAL, FORGET = 6 * 3600, 7 * 3600, 9 * 3600, 20 * 3600
+
+
+@query("stream_cluster_up", f"""
+    WITH rows AS (
+        SELECT 'u' || user_id AS cluster_id, event_id AS number,
+               CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds,
+               event_id % 5 <> 3 AND event_id % 7 <> 2 AND event_id % 4 <> 1 AS up
+        FROM events
+    ), {late_sql("number", "seconds", UP_JITTER, UP_DELAY)}, gaps AS (
+        SELECT *, lead(seconds) OVER (PARTITION BY cluster_id ORDER BY seconds, number) AS next
+        FROM timed WHERE NOT late
+    )
+    SELECT cluster_id, seconds AS at, number, up, 'reported' AS reason FROM gaps
+    UNION ALL SELECT cluster_id, seconds + {INTERVAL}, NULL, false, 'silent' FROM gaps
+    WHERE next IS NULL OR next - seconds > {INTERVAL}
+    UNION ALL SELECT cluster_id, seconds, number, NULL, 'late' FROM timed WHERE late
+""")
+def stream_cluster_up(spark, sf_dir):
+    reports = fixtures.cluster_reports(spark, sf_dir)
+    stream = landed_late(spark, reports, "number", UP_JITTER)
+    up = liveness_ops.report_up("framework", "expected", "payload", "ok", "master_found")
+    told = liveness.stream_cluster_up(
+        stream.withColumn("up", up), ["cluster_id"], "number", "ts", f"{UP_DELAY} seconds",
+        INTERVAL, FORGET,
+    )
+    folder = new_folder(spark, "liveness")
+    run_available(spark, told.writeStream.foreachBatch(history.batch_sink(folder)))
+    return history.read_batches(spark, folder).filter("cluster_id IS NOT NULL").select(
+        "cluster_id", F.unix_seconds("ts").alias("at"), "number", "up", "reason"
+    )

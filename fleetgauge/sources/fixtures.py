@@ -621,6 +621,26 @@ def worker_polls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cluster_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Worker listings of clusters over time, one per event; some fail or list too few."""
+    worker = "concat('{\"state\":\"', CASE WHEN i = 3 AND event_id % 4 = 1 THEN 'DEAD' ELSE 'ALIVE' END, '\",\"host\":\" h', i, ' \"}')"
+    return table(spark, folder, "events").select(
+        F.expr("concat('u', user_id)").alias("cluster_id"),
+        F.col("event_id").alias("number"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"),
+        F.expr("CASE WHEN user_id % 2 = 0 THEN 'Spark' ELSE 'flink' END").alias("framework"),
+        F.expr("array('h1', 'h2', 'h3', 'h2')").alias("expected"),
+        F.expr("event_id % 5 <> 3").alias("ok"),
+        F.expr("event_id % 7 <> 2").alias("master_found"),
+        F.expr(
+            "CASE WHEN event_id % 5 = 3 THEN NULL WHEN user_id % 2 = 0 THEN"
+            f" concat('{{\"workers\":[', array_join(transform(sequence(1, 3), i -> {worker}), ','), ']}}')"
+            " ELSE concat('{\"taskmanagers\":[', array_join(array_repeat('{\"id\":\"t\"}',"
+            " CASE WHEN event_id % 4 = 1 THEN 2 ELSE 3 END), ','), ']}') END"
+        ).alias("payload"),
+    )
+
+
 def cluster_processes(spark: SparkSession, folder: str) -> DataFrame:
     """Processes of the clusters, one per order; few are masters of the right owner."""
     cluster = "o_custkey div 10"
