@@ -51,6 +51,9 @@ COMMON = 1 << 18
 #: Links of one group that are listed one by one, at most.
 LISTED = 1 << 12
 
+#: Tokens compared one by one before slices are.
+PROBE = 4
+
 #: How the byte-level vocabulary cuts a text into words; fixed value.
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,39 +136,43 @@ def _sides(first: str, second: str) -> Sides:
     return Sides(ByteSide(first), PieceSide(second))
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def groups(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side are used up at the end of each group.
 
-    Both lists rise strictly and end with the same offset.
+    Both lists rise strictly from above zero and end with the same offset.
     """
-    used_a: list[int] = []
-    used_b: list[int] = []
+    a, b = [*ends_a, -1], [*ends_b, -2]  # never equal, so no run goes past the last token
     i, j, n = 0, 0, len(ends_a)
-    while i < n:
-        step, start = 1, i
-        while i + step <= n and ends_a[i : i + step] == ends_b[j : j + step]:
-            i, j, step = i + step, j + step, step * 2
-        while step > 1:
-            step //= 2
-            if i + step <= n and ends_a[i : i + step] == ends_b[j : j + step]:
-                i, j = i + step, j + step
-        if i > start:
-            used_a.extend(range(start + 1, i + 1))
-            used_b.extend(range(j - i + start + 1, j + 1))
-        if i == n:
-            return used_a, used_b
-        end_a, end_b = ends_a[i], ends_b[j]
+    start, stretches = 0, []
+    while True:
+        step = 0
+        while a[i] == b[j]:
+            i, j, step = i + 1, j + 1, step + 1
+            if step == PROBE:
+                while a[i : i + step] == b[j : j + step]:
+                    i, j, step = i + step, j + step, step * 2
+                while step > 1:
+                    step //= 2
+                    if a[i : i + step] == b[j : j + step]:
+                        i, j = i + step, j + step
+                break
+        stretches.append((start, i, j - i))
+        if i >= n:
+            break
+        end_a, end_b = a[i], b[j]
         while end_a != end_b:
             if end_a < end_b:
                 i += 1
-                end_a = ends_a[i]
+                end_a = a[i]
             else:
                 j += 1
-                end_b = ends_b[j]
-        i, j = i + 1, j + 1
-        used_a.append(i)
-        used_b.append(j)
-    return used_a, used_b
+                end_b = b[j]
+        # The group's last tokens end together, so the next stretch begins with them.
+        start, i, j = i, i + 1, j + 1
+    first, last, shift = np.array(stretches, np.int64).T
+    size = last - first
+    used_a = np.arange(1, size.sum() + 1) + np.repeat(first - (np.cumsum(size) - size), size)
+    return used_a, used_a + np.repeat(shift, size)
 
 
 def links(
@@ -226,7 +233,7 @@ def aligned_texts(sides: Sides, texts: list[str | None]) -> Iterator[tuple[dict,
             yield dict(_NONE), nothing, nothing
             continue
         ends = [np.cumsum(size[ids]) for size, ids in zip(sides.size, (a, b), strict=True)]
-        used_a, used_b = map(np.array, groups(ends[0].tolist(), ends[1].tolist()))
+        used_a, used_b = groups(ends[0].tolist(), ends[1].tolist())
         found, counts = links(a, b, used_a, used_b)
         yield {
             "n_a": len(a), "n_b": len(b), "n_groups": len(used_a), "n_links": int(counts.sum()),

@@ -113,7 +113,7 @@ def test_groups_end_where_both_sides_end(left, right):
     ends = [sorted({i + 1 for i, on in enumerate(side) if on} | {n}) for side in (left, right)]
     used = align.groups(*ends)
     both = sorted(set(ends[0]) & set(ends[1]))
-    assert used == tuple([own.index(x) + 1 for x in both] for own in ends)
+    assert [u.tolist() for u in used] == [[own.index(x) + 1 for x in both] for own in ends]
 
 
 @settings(max_examples=300, deadline=None)
