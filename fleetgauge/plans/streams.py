@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import liveness as liveness_ops
+from fleetgauge.operators.history import last_n
+from fleetgauge.operators.snapshots import complete_polls, spark_parts
 from fleetgauge.plans.history import ENTITY, HISTORY_SQL
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.snapshots import APP, SPARK_SNAPSHOT_SQL
@@ -45,23 +47,20 @@ def _columns(recent):
 
 @query("stream_history_sink", HISTORY_SQL)
 def stream_history_sink(spark, sf_dir):
-    folder = new_folder(spark, "history")
+    sink = history.merged_history(spark, new_folder(spark, "history"), ENTITY)
     samples = fixtures.samples_of(_events(spark, sf_dir))
-    run_available(
-        spark, samples.writeStream.foreachBatch(history.history_sink(folder, ENTITY))
-    )
-    return _columns(history.read_history(spark, folder, ENTITY))
+    run_available(spark, samples.writeStream.foreachBatch(
+        lambda batch, batch_id: sink.add(history.newest_samples(batch, ENTITY), batch_id)
+    ))
+    return _columns(last_n(sink.read(), ENTITY, history.ORDER))
 
 
 @query("stream_last_n", HISTORY_SQL)
 def stream_last_n(spark, sf_dir):
-    folder = new_folder(spark, "rings")
+    sink = history.merged_history(spark, new_folder(spark, "rings"), ENTITY)
     rings = history.stream_last_n(fixtures.samples_of(_events(spark, sf_dir)), ENTITY)
-    run_available(
-        spark,
-        rings.writeStream.outputMode("update").foreachBatch(history.batch_sink(folder)),
-    )
-    return _columns(history.merge_rings(history.read_batches(spark, folder), ENTITY))
+    run_available(spark, rings.drop("part").writeStream.outputMode("update").foreachBatch(sink.add))
+    return _columns(last_n(sink.read(), ENTITY, history.ORDER))
 
 
 def _polls(spark, sf_dir):
@@ -74,11 +73,11 @@ def _polls(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY job_id, metric, ts ORDER BY poll_id, position) = 1
 """)
 def stream_dedup_points(spark, sf_dir):
-    folder = new_folder(spark, "points")
-    run_available(
-        spark, _polls(spark, sf_dir).writeStream.foreachBatch(timelines.points_sink(folder, SERIES))
-    )
-    return timelines.read_points(spark, folder, SERIES)
+    sink = timelines.merged_points(spark, new_folder(spark, "points"), SERIES)
+    run_available(spark, _polls(spark, sf_dir).writeStream.foreachBatch(
+        lambda batch, batch_id: sink.add(timelines.batch_points(batch, SERIES), batch_id)
+    ))
+    return sink.read().drop("seen")
 
 
 @query("stream_latest_meta", META_SQL + """
@@ -91,21 +90,22 @@ def stream_dedup_points(spark, sf_dir):
     FROM metas GROUP BY job_id, metric
 """)
 def stream_latest_meta(spark, sf_dir):
-    folder = new_folder(spark, "meta")
+    sink = snapshots.merged_rows(spark, new_folder(spark, "meta"), SERIES)
     latest = timelines.latest_meta(_polls(spark, sf_dir), SERIES)
-    run_available(
-        spark,
-        latest.writeStream.outputMode("update").foreachBatch(history.batch_sink(folder)),
-    )
-    return snapshots.newest_rows(history.read_batches(spark, folder), SERIES)
+    run_available(spark, latest.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: sink.add(snapshots.marked(batch, batch_id), batch_id)
+    ))
+    return sink.read().drop("batch_id")
 
 
 @query("stream_spark_snapshot", SPARK_SNAPSHOT_SQL + "SELECT * EXCLUDE (no) FROM snapshot")
 def stream_spark_snapshot(spark, sf_dir):
-    folder = new_folder(spark, "snapshots")
+    sink = snapshots.merged_snapshots(spark, new_folder(spark, "snapshots"), APP)
     raw = fixtures.spark_raw_polls(spark, sf_dir, read=landed)
-    run_available(spark, raw.writeStream.foreachBatch(snapshots.snapshot_sink(folder, APP)))
-    return snapshots.read_snapshots(spark, folder, APP)
+    run_available(spark, raw.writeStream.foreachBatch(
+        lambda batch, batch_id: sink.add(spark_parts(batch, APP), batch_id)
+    ))
+    return complete_polls(sink.read(), APP)
 
 
 # ------------------------------------------- rows that land out of their order

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetgauge.constants import HISTORY_SIZE
 from fleetgauge.operators.history import last_n
+from fleetgauge.streaming.merged import MergedFolder
 
 ORDER = ["ts_us", "sample_id"]
 FIELDS = [*ORDER, "value"]
@@ -100,6 +101,20 @@ def merge_rings(rings: DataFrame, keys: Sequence[str], n: int = HISTORY_SIZE) ->
     return last_n(rings.dropDuplicates([*keys, *ORDER]), keys, ORDER, n)
 
 
+def merged_history(
+    spark: SparkSession, folder: str, keys: Sequence[str], n: int = HISTORY_SIZE
+) -> MergedFolder:
+    """A folder that keeps the newest samples per key small; it takes ``newest_samples``."""
+    return MergedFolder(
+        spark, folder, lambda rows: merge_rings(rows, keys, n).select(*keys, *FIELDS)
+    )
+
+
+def newest_samples(batch: DataFrame, keys: Sequence[str], n: int = HISTORY_SIZE) -> DataFrame:
+    """The newest ``n`` samples per key of one micro-batch."""
+    return last_n(ring_samples(batch), keys, ORDER, n).select(*keys, *FIELDS)
+
+
 def batch_sink(folder: str) -> Callable[[DataFrame, int], None]:
     """Write each micro-batch to a folder of its own; a repeated one replaces itself."""
 
@@ -120,8 +135,7 @@ def history_sink(
     write = batch_sink(folder)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        newest = last_n(ring_samples(batch), keys, ORDER, n)
-        write(newest.select(*keys, *FIELDS), batch_id)
+        write(newest_samples(batch, keys, n), batch_id)
 
     return upsert
 

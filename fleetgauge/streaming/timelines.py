@@ -13,6 +13,7 @@ from fleetgauge.operators.timelines import (
     timeline_points,
 )
 from fleetgauge.streaming.history import batch_sink, read_batches
+from fleetgauge.streaming.merged import MergedFolder
 
 
 def points_sink(
@@ -26,11 +27,21 @@ def points_sink(
     write = batch_sink(folder)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        write(fold_points(timeline_points(batch, [*series, poll]), series, poll), batch_id)
+        write(batch_points(batch, series, poll), batch_id)
 
     return fold
 
 
+def merged_points(spark: SparkSession, folder: str, series: Sequence[str]) -> MergedFolder:
+    """A folder of folded points that stays small; it takes ``batch_points``."""
+    return MergedFolder(spark, folder, lambda rows: fold_points(rows, series))
+
+
+def batch_points(batch: DataFrame, series: Sequence[str], poll: str = "poll_id") -> DataFrame:
+    """One point per series and timestamp of a micro-batch of documents."""
+    return fold_points(timeline_points(batch, [*series, poll]), series, poll)
+
+
 def read_points(spark: SparkSession, folder: str, series: Sequence[str]) -> DataFrame:
     """The first value seen of every series and timestamp, over all batches."""
     return fold_points(read_batches(spark, folder).drop("batch_id"), series).drop("seen")
