@@ -49,5 +49,5 @@ def contains_any(command: Column, patterns: Sequence[str]) -> Column:
 
 
 def is_monitored(status: Column, username: Column, owner: Column) -> Column:
-    """Alive and owned by the given user."""
-    return ~status.isin(*GONE) & (username == owner)
+    """Alive and owned by the given user; a status that was not reported is alive."""
+    return F.coalesce(~status.isin(*GONE), F.lit(True)) & (username == owner)

@@ -49,7 +49,7 @@ def sticky_entity(
     """The entity each successful poll reports on.
 
     The first candidate offered is kept until a poll fails; the next poll chooses
-    anew. Failed polls report nothing. A poll without an entity goes to
+    anew. Failed polls, and those whose outcome is unknown, report nothing. A poll without an entity goes to
     ``fallback``, or reports nothing where there is none.
 
     ``chunk`` cuts the polls of a cluster in consecutive pieces; null leaves it
@@ -58,10 +58,10 @@ def sticky_entity(
     one summary row per piece, so no task needs all polls of a cluster. Polls
     without a place in the order are left out; those without a cluster are one.
     """
-    offered = F.col(candidate)
+    offered, succeeded = F.col(candidate), F.coalesce(F.col(ok), F.lit(False))
     by_chunk = [*keys, "_chunk"]
     along = Window.partitionBy(*by_chunk).orderBy(order)
-    failed = (~F.col(ok)).cast("bigint")
+    failed = (~succeeded).cast("bigint")
     earlier_fails = F.sum(failed).over(along.rowsBetween(Window.unboundedPreceding, -1))
     since_fail = Window.partitionBy(*by_chunk, "_fails").orderBy(order)
     pieces = (
@@ -117,7 +117,7 @@ def sticky_entity(
     chosen = F.coalesce(inherited, "_choice", F.lit(fallback).cast("string"))
     return (
         pieces.join(summary, same_piece)
-        .filter(F.col(ok))
+        .filter(succeeded)
         .withColumn("entity_id", chosen)
         .filter(F.col("entity_id").isNotNull())
         .select(*polls.columns, "entity_id")

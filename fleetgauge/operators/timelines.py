@@ -75,6 +75,10 @@ def timeline_meta(polls: DataFrame, keep: Names) -> DataFrame:
     )
 
 
+#: Stands for a missing poll number.
+NO_POLL = -(2**63)
+
+
 def merge_points(
     points: DataFrame, series: Names, poll: str = "poll_id", keep: int | None = MAX_POINTS
 ) -> DataFrame:
@@ -91,10 +95,12 @@ def fold_points(points: DataFrame, series: Names, poll: str = "poll_id") -> Data
     """First value seen for each timestamp, with when it was ``seen``.
 
     The place of a point is one number, poll before position, so that the fold is a
-    hash aggregate and sorts nothing. Folds of parts can be folded again.
+    hash aggregate and sorts nothing. A point without a poll is earlier than all others.
+    Folds of parts can be folded again.
     """
     if "seen" not in points.columns:
-        place = F.col(poll).cast("decimal(20,0)") * 10_000_000_000 + F.col("position")
+        number = F.coalesce(F.col(poll).cast("decimal(20,0)"), F.lit(NO_POLL).cast("decimal(20,0)"))
+        place = number * 10_000_000_000 + F.col("position")
         points = points.withColumn("seen", place.cast("decimal(38,0)"))
     return points.groupBy(*series, "ts").agg(
         F.min_by("value", "seen").alias("value"), F.min("seen").alias("seen")

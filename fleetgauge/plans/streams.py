@@ -18,7 +18,7 @@ from fleetgauge.plans.timelines import BLOCKS_SQL, META_SQL, SERIES
 from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures, landing
 from fleetgauge.sources.tables import table
-from fleetgauge.streaming import history, liveness, selection, snapshots, timelines
+from fleetgauge.streaming import history, liveness, push, selection, snapshots, timelines
 from fleetgauge.streaming.ingest import run_available, stream_files
 
 # Micro-batches that each table arrives in.
@@ -221,3 +221,19 @@ def stream_cluster_up(spark, sf_dir):
     return history.read_batches(spark, folder).filter("cluster_id IS NOT NULL").select(
         "cluster_id", F.unix_seconds("ts").alias("at"), "number", "up", "reason"
     )
+
+
+@query("stream_push", """
+    SELECT 'u' || user_id AS entity_id, event_type AS metric, epoch_us(ts) AS ts_us,
+           event_id AS sample_id, CAST(round(value, 2) AS DOUBLE) AS value
+    FROM events WHERE value > 20
+""")
+def stream_push(spark, sf_dir):
+    push.register(spark)
+    folder = new_folder(spark, "mailbox")
+    samples = fixtures.samples_of(_events(spark, sf_dir)).filter("value > 20").select(
+        "entity_id", "metric", F.unix_micros("ts").alias("ts_us"), "sample_id",
+        F.col("value").cast("double").alias("value"),
+    )
+    run_available(spark, samples.writeStream.format(push.NAME).option("path", folder))
+    return push.delivered(spark, folder, samples.schema).drop("batch")
