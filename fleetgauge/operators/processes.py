@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import matching, units
+from fleetgauge.session import stored
 
-# Patterns up to this number are tested in place, one after the other.
-MAX_INLINE_PATTERNS = 200
+# Characters in a run of the pattern index.
+GRAM = 3
 
 
 def match_processes(
@@ -48,76 +49,70 @@ def normalise_patterns(patterns: DataFrame) -> DataFrame:
 
 
 def match_processes_table(
-    processes: DataFrame,
-    owner: Column,
-    patterns: DataFrame,
-    max_inline: int = MAX_INLINE_PATTERNS,
+    processes: DataFrame, owner: Column, patterns: DataFrame, gram: int = GRAM
 ) -> DataFrame:
     """``match_processes`` with the patterns in a table of ``priority``, ``title``, ``pattern``.
 
     The pattern of lowest priority counts; missing priorities come last, and ties go to
     the smaller pattern, then title. An empty title is a title, a missing one is the
-    pattern. The table is looked at once: up to ``max_inline`` patterns become one
-    expression, so processes are not moved at all. A longer table is joined.
-    """
-    usable = patterns.filter(F.coalesce("pattern", F.lit("")) != "").withColumn(
-        "title", matching.pattern_label(F.col("title"), F.col("pattern"))
-    )
-    order = (F.col("priority").asc_nulls_last(), "pattern", "title")
-    head = usable.orderBy(*order).limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        return match_processes(
-            processes, owner, [{"title": r["title"], "pattern": r["pattern"]} for r in head]
-        )
-    return _match_by_starts(processes, owner, usable)
-
+    pattern.
 
-def _match_by_starts(processes: DataFrame, owner: Column, patterns: DataFrame) -> DataFrame:
-    """Pair commands and patterns over the first characters of the patterns.
-
-    Patterns are taken in bands of length, up to twice the shortest; a pattern's start
-    of that length must stand somewhere in the command. Each place of each distinct
-    command is a row with that short text and the command's hash; commands come back in
-    only for the pairs, which are then tested whole.
+    An inverted index of runs of ``gram`` characters finds the pairs to test. Each
+    distinct command emits such a run for every place, shorter ones at its end, so it has
+    as many rows as characters at most. A pattern is looked up under its rarest run, or
+    nowhere if a run of it stands in no command; a pattern shorter than ``gram`` under all
+    runs that begin with it. Pairs are then tested whole, so the result is exact.
     """
     live = processes.filter(
         matching.is_monitored(F.col("status"), F.col("username"), owner)
     ).withColumn("_command", matching.command_text(F.col("cmdline")))
-    size = F.pow(2, F.floor(F.log2(F.length("pattern")))).cast("int")
+    commands = stored(
+        live.select("_command").distinct().withColumn("_hash", F.xxhash64("_command")), "commands"
+    )
+    usable = patterns.filter(F.coalesce("pattern", F.lit("")) != "").withColumn(
+        "title", matching.pattern_label(F.col("title"), F.col("pattern"))
+    )
     rank = F.struct(
         F.col("priority").isNull().alias("none"), "priority", F.col("pattern").alias("text"), "title"
     )
-    first = (
-        patterns.groupBy("pattern").agg(F.min(rank).alias("rank"))
-        .withColumn("size", size)
-        .withColumn("start", F.substring("pattern", F.lit(1), F.col("size")))
-    )
-    # At most as many bands as a length has binary digits.
-    bands = sorted(r[0] for r in first.select("size").distinct().collect())
-    commands = live.select("_command").distinct().withColumn("_hash", F.xxhash64("_command"))
-    starts = None
-    for band in bands:
-        places = F.sequence(F.lit(1), F.length("_command") - band + 1)
-        rows = (
-            commands.filter(F.length("_command") >= band)
-            .select("_hash", "_command", F.explode(places).alias("_place"))
-            .select(
-                "_hash", F.lit(band).alias("size"),
-                F.substring("_command", F.col("_place"), F.lit(band)).alias("start"),
-            )
-            .distinct()
+    first = usable.groupBy("pattern").agg(F.min(rank).alias("rank"))
+
+    index = stored(_grams(commands, "_command", ["_hash"], gram, ends=True).distinct(), "grams")
+    counts = stored(index.groupBy("gram").agg(F.count("*").alias("commands")), "gram-counts")
+    short = F.length("pattern") < gram
+    wanted = _grams(first.filter(~short), "pattern", ["pattern"], gram, ends=False).distinct()
+    rarest = (
+        wanted.join(counts, "gram", "left")
+        .groupBy("pattern").agg(
+            F.min_by("gram", F.struct("commands", "gram")).alias("gram"),
+            F.bool_and(F.col("commands").isNotNull()).alias("met"),
         )
-        starts = rows if starts is None else starts.unionAll(rows)
+        .filter("met").select("pattern", "gram")
+    )
+    # A run begins with one text of each length.
+    begins = counts.select(
+        "gram", F.explode(F.sequence(F.lit(1), F.least(F.length("gram"), F.lit(max(gram - 1, 1))))).alias("_n")
+    ).select("gram", F.substring("gram", F.lit(1), F.col("_n")).alias("pattern"))
+    keyed = rarest.unionByName(first.filter(short).select("pattern").join(begins, "pattern"))
     titles = (
-        starts.join(first, ["size", "start"])
-        .select("_hash", "pattern", "rank")
+        index.join(keyed, "gram").select("_hash", "pattern").distinct()
         .join(commands, "_hash")
         .filter(F.col("_command").contains(F.col("pattern")))
+        .join(first, "pattern")
         .groupBy("_command").agg(F.min("rank")["title"].alias("title"))
     )
     return live.join(titles, "_command").drop("_command")
 
 
+def _grams(texts: DataFrame, text: str, keep: Sequence[str], gram: int, ends: bool) -> DataFrame:
+    """Runs of ``gram`` characters of a text, from every place or from those that have a whole one."""
+    last = F.length(text) if ends else F.length(text) - gram + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last))
+    return texts.select(*keep, text, F.explode(places).alias("_place")).select(
+        *keep, F.substring(text, F.col("_place"), F.lit(gram)).alias("gram")
+    )
+
+
 def process_snapshot(processes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The seven process metrics, sizes in MiB."""
 

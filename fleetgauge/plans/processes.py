@@ -107,21 +107,22 @@ TABLE_MATCH_SQL = f"""
 """
 
 
-def _table_match(spark, sf_dir, max_inline):
+def _table_match(spark, sf_dir, gram):
     matched = ops.match_processes_table(
         fixtures.processes(spark, sf_dir),
         F.col("owner"),
         fixtures.part_patterns(spark, sf_dir),
-        max_inline,
+        gram,
     )
     return matched.select("pid", "title")
 
 
 @query("process_match_table", TABLE_MATCH_SQL)
 def process_match_table(spark, sf_dir):
-    return _table_match(spark, sf_dir, ops.MAX_INLINE_PATTERNS)
+    return _table_match(spark, sf_dir, ops.GRAM)
 
 
 @query("process_match_join", TABLE_MATCH_SQL)
 def process_match_join(spark, sf_dir):
-    return _table_match(spark, sf_dir, 0)
+    """The same with runs longer than many patterns."""
+    return _table_match(spark, sf_dir, 6)

@@ -64,3 +64,30 @@ def test_cluster_without_processes_is_down(spark):
     )
     row = ops.cluster_up(*sides, none).first()
     assert (row["workers_up"], row["cluster_up"]) == (True, False)
+
+
+@pytest.mark.parametrize("framework, hosts, payload, ok, master, want", [
+    ("Spark", ["n1", "n2", "n1"], workers(("ALIVE", " n1 "), ("ALIVE", "n2"), ("DEAD", "n3")), True, True, True),
+    ("spark", ["n1", "n2"], workers(("ALIVE", "n1"), ("ALIVE", "n1")), True, True, False),
+    ("spark", ["n1"], workers(("ALIVE", "n1")), None, True, False),
+    ("spark", ["n1"], workers(("ALIVE", "n1")), True, None, False),
+    ("flink", ["n1", "n2"], {"taskmanagers": [{"id": "a"}, {"id": "a"}]}, True, True, True),
+    ("flink", [], {"taskmanagers": []}, True, True, False),
+    ("flink", [None], {"taskmanagers": []}, True, True, False),
+    ("storm", ["n1"], workers(("ALIVE", "n1")), True, True, False),
+    ("spark", None, workers(("ALIVE", "n1")), True, True, False),
+    ("spark", ["n1"], None, True, True, False),
+])
+def test_report_up(spark, framework, hosts, payload, ok, master, want):
+    df = spark.createDataFrame(
+        [(framework, hosts, None if payload is None else json.dumps(payload), ok, master)],
+        "framework string, expected array<string>, payload string, ok boolean, master boolean")
+    up = ops.report_up("framework", "expected", "payload", "ok", "master")
+    assert df.select(up).first()[0] is want
+
+
+def test_failed_listing_without_a_message_is_not_up(spark):
+    expected, listed = check(spark, "spark", ["n1"], workers(("ALIVE", "n1")))
+    errors = spark.createDataFrame([("c", None)], "cluster_id string, message string")
+    row = ops.workers_up(expected, listed, errors).first()
+    assert (row["ok"], row["message"]) == (False, ops.UNKNOWN_ERROR)

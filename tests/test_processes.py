@@ -63,9 +63,9 @@ def test_normalise_patterns(spark):
     assert got == [("t", "p"), ("p", "p"), ("unknown", None), ("s", "s"), ("t", None)]
 
 
-@pytest.mark.parametrize("max_inline", [0, 3, 200])
-def test_pattern_table_matches_brute_force(spark, max_inline):
-    """Both ways, with one command that makes up a third of the processes."""
+@pytest.mark.parametrize("gram", [1, 2, 3, 6])
+def test_pattern_table_matches_brute_force(spark, gram):
+    """Patterns shorter and longer than a run; one command makes up a third of the processes."""
     rng = random.Random(7)
 
     def text(size):
@@ -86,7 +86,20 @@ def test_pattern_table_matches_brute_force(spark, max_inline):
         ]
         if hits:
             want[pid] = min(hits, key=lambda h: (h[0], h[1] or 0, h[2], h[3]))[3]
-    assert titles(ops.match_processes_table(df, F.lit("me"), table, max_inline)) == want
+    assert titles(ops.match_processes_table(df, F.lit("me"), table, gram)) == want
+
+
+def test_index_has_a_row_for_each_character_at_most(spark):
+    df = spark.createDataFrame([("abab", 1), ("", 2), (None, 3), ("x", 4)], "text string, id long")
+    rows = ops._grams(df, "text", ["id"], 3, ends=True).collect()
+    assert sorted(map(tuple, rows)) == [(1, "ab"), (1, "aba"), (1, "b"), (1, "bab"), (4, "x")]
+    whole = ops._grams(df, "text", ["id"], 3, ends=False).collect()
+    assert sorted(map(tuple, whole)) == [(1, "aba"), (1, "bab")]
+
+
+def test_unreported_status_is_alive(spark):
+    df = procs(spark, ("me", None, ["run"]), ("me", "dead", ["run"]), ("you", None, ["run"]))
+    assert titles(ops.match_processes(df, F.lit("me"), ["run"])) == {0: "run"}
 
 
 def test_known_process_patterns(spark):

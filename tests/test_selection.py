@@ -72,3 +72,10 @@ def test_sticky_entity(spark, fallback, width, fail):
         for poll, entity in brute_force(polls, fallback).items()
     }
     assert {(r["cluster"], r["poll"]): r["entity_id"] for r in got} == want
+
+
+def test_unknown_outcome_ends_the_choice(spark):
+    rows = [("a", 1, "x", True), ("a", 2, "y", None), ("a", 3, "z", True), ("a", 4, "w", True)]
+    df = spark.createDataFrame(rows, "cluster string, poll long, candidate string, ok boolean")
+    got = ops.sticky_entity(df, ["cluster"], "poll", df["poll"] * 0).collect()
+    assert sorted((r.poll, r.entity_id) for r in got) == [(1, "x"), (3, "z"), (4, "z")]
