@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import nodelists
-from fleetgauge.operators import allocation
+from fleetgauge.operators import allocation, noderanges
 from fleetgauge.operators import jobs as ops
 from fleetgauge.plans.registry import query
+from fleetgauge.session import new_folder
 from fleetgauge.sources import fixtures, landing
 from fleetgauge.sources.tables import table
 
@@ -249,3 +250,84 @@ def allocation_tree(spark, sf_dir):
     return tree.withColumns({
         name: F.col(name).cast("bigint") for name in ("node_position", "level", "child_position")
     })
+
+
+# ------------------------------------------------------------------- scheduler files
+
+
+def _slurm_files(spark, sf_dir):
+    path = new_folder(spark, "slurm-files")
+    fixtures.write_slurm_files(spark, sf_dir, path)
+    file = F.regexp_extract("file", "file=([0-9]+)", 1).cast("bigint")
+    return landing.slurm_file_documents(spark, path).withColumn("file", file)
+
+
+@query("slurm_files", """
+    SELECT o_orderkey % 40 AS file, CAST(o_orderkey AS VARCHAR) AS job_id, 'u' || o_custkey AS user_name
+    FROM orders
+    WHERE o_orderkey % 40 NOT IN (3, 7, 11, 13) AND NOT (o_orderkey % 40 = 17 AND o_orderkey % 3 = 0)
+""")
+def slurm_files(spark, sf_dir):
+    return landing.slurm_file_jobs(_slurm_files(spark, sf_dir)).select("file", "job_id", "user_name")
+
+
+@query("slurm_file_faults", """
+    SELECT file, CASE file WHEN 11 THEN 'empty file' WHEN 13 THEN 'no list of jobs'
+        WHEN 17 THEN 'job without an id' ELSE 'unreadable document' END AS reason
+    FROM (SELECT DISTINCT o_orderkey % 40 AS file FROM orders)
+    WHERE file IN (3, 7, 11, 13, 17)
+""")
+def slurm_file_faults(spark, sf_dir):
+    return landing.slurm_file_faults(_slurm_files(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------ node ranges
+
+NODE_RANGES_SQL = """
+    lists AS (
+        SELECT o_orderkey AS job_id, o_custkey % 50 AS cluster_id, o_orderstatus = 'F' AS drained,
+               o_orderkey * 10 AS low, o_orderkey * 10 + CASE WHEN o_orderkey % 5000 = 0 THEN 3000000000
+                   ELSE o_custkey % 7 - 1 END AS high, o_custkey % 10 AS padded
+        FROM orders
+    )
+"""
+
+
+@query("nodelist_count", f"""
+    WITH {NODE_RANGES_SQL}
+    SELECT job_id, greatest(high - low + 1, 0) + 1 AS nodes FROM lists
+""")
+def nodelist_count(spark, sf_dir):
+    lists = fixtures.node_range_texts(spark, sf_dir)
+    return lists.select("job_id", nodelists.count_nodes(nodelists.ranges(F.col("nodes"))).alias("nodes"))
+
+
+@query("nodelist_members", f"""
+    WITH {NODE_RANGES_SQL}
+    SELECT 'n' || number AS name, job_id
+    FROM (SELECT c_custkey * 10 + c_custkey % 3 AS number FROM customer) JOIN lists
+        ON number BETWEEN low AND high
+""")
+def nodelist_members(spark, sf_dir):
+    ranges = noderanges.exploded(fixtures.node_range_texts(spark, sf_dir), ["job_id"])
+    return noderanges.members(fixtures.node_names(spark, sf_dir), ranges)
+
+
+@query("nodelist_difference", f"""
+    WITH {NODE_RANGES_SQL}, names AS (
+        SELECT cluster_id, drained, 'n' || unnest(range(low, high + 1)) AS name
+        FROM lists WHERE job_id % 5000 <> 0
+        UNION ALL SELECT cluster_id, drained, 'n0' || padded FROM lists WHERE job_id % 5000 <> 0
+    )
+    SELECT cluster_id, CAST(count(DISTINCT name) AS BIGINT) AS nodes FROM names n
+    WHERE NOT drained AND NOT EXISTS (
+        SELECT 1 FROM names d WHERE d.drained AND d.cluster_id = n.cluster_id AND d.name = n.name)
+    GROUP BY cluster_id
+""")
+def nodelist_difference(spark, sf_dir):
+    """Nodes per cluster that jobs name and no drained one does."""
+    lists = fixtures.node_range_texts(spark, sf_dir).filter("job_id % 5000 <> 0")
+    keys = ["cluster_id"]
+    busy = noderanges.exploded(lists.filter("NOT drained"), keys)
+    drained = noderanges.exploded(lists.filter("drained"), keys)
+    return noderanges.sizes(noderanges.difference(busy, drained, keys), keys)

@@ -93,3 +93,25 @@ def trips_per_hour(spark, sf_dir):
     return ops.trips_per_hour(_parts(spark, sf_dir)).select(
         F.col("pickup_hour").cast("bigint").alias("pickup_hour"), "trips"
     )
+
+
+CENTS = "CAST(round(value * 100) AS BIGINT) % 50"
+
+
+@query("csv_scan_faults", f"""
+    SELECT CASE WHEN {CENTS} = 7 THEN 'number' WHEN {CENTS} = 9 THEN 'fields' END AS fault,
+           CAST(dayofweek(ts) + 1 AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS lines,
+           CAST(count(*) FILTER (WHERE {CENTS} <> 7) AS BIGINT) AS with_lat,
+           CAST(count(*) FILTER (WHERE {CENTS} <> 9) AS BIGINT) AS with_base
+    FROM events GROUP BY 1, 2
+""")
+def csv_scan_faults(spark, sf_dir):
+    """Lines per file and fault, and which fields can still be read."""
+    folder = new_folder(spark, "trip-files")
+    fixtures.write_trip_files(spark, sf_dir, folder)
+    lines = landing.trip_lines(spark, folder)
+    kind = F.when(F.col("fault").contains("unknown"), "number").when(F.col("fault").isNotNull(), "fields")
+    day = F.regexp_extract("file", "day=([0-9]+)", 1).cast("bigint")
+    return lines.groupBy(kind.alias("fault"), day.alias("day")).agg(
+        F.count("*").alias("lines"), F.count("Lat").alias("with_lat"), F.count("Base").alias("with_base"),
+    )

@@ -475,6 +475,65 @@ def node_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def node_range_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Node lists of one range and one padded number each; some ranges are very wide."""
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("job_id"),
+        F.expr("o_custkey % 50").alias("cluster_id"),
+        (F.col("o_orderstatus") == "F").alias("drained"),
+        F.expr(
+            "concat('n[', o_orderkey * 10, '-', o_orderkey * 10 + CASE WHEN o_orderkey % 5000 = 0"
+            " THEN 3000000000 ELSE o_custkey % 7 - 1 END, ',0', o_custkey % 10, ']')"
+        ).alias("nodes"),
+    )
+
+
+def node_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(
+        F.expr("concat('n', c_custkey * 10 + c_custkey % 3)").alias("name")
+    )
+
+
+def write_slurm_files(spark: SparkSession, folder: str, path: str) -> None:
+    """Queue documents over several lines, a file each; some files are faulty.
+
+    Of 40 files number 3 is cut off, 7 a page of HTML, 11 blank, 13 without jobs, and in
+    17 a job has no id. Faulty files hold no jobs that can be read, but for number 17.
+    """
+    orders = table(spark, folder, "orders")
+    job = F.expr(
+        "concat('{\"job_id\": ', CASE WHEN o_orderkey % 40 = 17 AND o_orderkey % 3 = 0 THEN 'null'"
+        " ELSE CAST(o_orderkey AS STRING) END, ',\n \"user_name\": \"u', o_custkey, '\"}')"
+    )
+    whole = F.concat(F.lit('{"jobs": [\n'), F.array_join(F.collect_list(job), ",\n"), F.lit("\n]}"))
+    documents = orders.groupBy((F.col("o_orderkey") % 40).alias("file")).agg(whole.alias("text"))
+    faulty = (
+        F.when(F.col("file") == 3, F.expr("left(text, length(text) - 5)"))
+        .when(F.col("file") == 7, F.lit("<html>502</html>"))
+        .when(F.col("file") == 11, F.lit(" \n "))
+        .when(F.col("file") == 13, F.lit('{"errors": []}'))
+        .otherwise(F.col("text"))
+    )
+    documents.select("file", faulty.alias("text")).repartition("file").write.partitionBy("file").text(path)
+
+
+def write_trip_files(spark: SparkSession, folder: str, path: str) -> None:
+    """Trips as CSV files by weekday; some lines have a word for a number or a field less."""
+    trips = trip_texts(spark, folder)
+    lines = F.expr(
+        "CASE WHEN CAST(round(Lat * 100) AS BIGINT) % 50 = 7"
+        " THEN concat_ws(',', concat('\"', `Date/Time`, '\"'), 'unknown', Lon, Base)"
+        " WHEN CAST(round(Lat * 100) AS BIGINT) % 50 = 9 THEN concat_ws(',', `Date/Time`, Lat)"
+        " ELSE concat_ws(',', `Date/Time`, Lat, Lon, Base) END"
+    )
+    day = F.dayofweek(F.to_timestamp("Date/Time", "M/d/yyyy H:mm:ss"))
+    header = spark.range(1, 8).select(F.lit("Date/Time,Lat,Lon,Base").alias("line"), F.col("id").alias("day"), F.lit(0).alias("place"))
+    rows = trips.select(lines.alias("line"), day.cast("bigint").alias("day"), F.lit(1).alias("place"))
+    header.unionByName(rows).repartition("day").sortWithinPartitions("day", "place").select(
+        "line", "day"
+    ).write.partitionBy("day").text(path)
+
+
 def slurm_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Queue documents of two jobs each, one document per order."""
 

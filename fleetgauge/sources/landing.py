@@ -17,6 +17,10 @@ from fleetgauge.functions import payloads, rows
 
 Names = Sequence[str]
 
+# Why a landed file cannot be used.
+UNREADABLE, NO_JOBS, EMPTY_FILE = "unreadable document", "no list of jobs", "empty file"
+NAMELESS_JOB = "job without an id"
+
 
 def write_raw_polls(raw: DataFrame, path: str) -> None:
     """Land pages by endpoint and day, so that a reader opens only the files it needs."""
@@ -124,7 +128,7 @@ def slurm_errors(raw: DataFrame, keys: Names) -> DataFrame:
     page = payloads.page_object(F.col("payload"), f"STRUCT<{schemas.slurm_jobs(['job_id'])}>")
     unread = ~F.coalesce(payloads.readable(page), F.lit(False))
     nameless = F.exists(page["jobs"], lambda job: job["job_id"].isNull())
-    reason = F.when(unread, "unreadable document").when(nameless, "job without an id")
+    reason = F.when(unread, UNREADABLE).when(nameless, NAMELESS_JOB)
     return raw.select(*keys, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
@@ -138,6 +142,63 @@ def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _all_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below a path, whatever is in it; contents are not read.
+
+    Spark's readers pass over files of no bytes at all, so those are not among them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("_metadata.file_path").alias("file"))
+
+
+def slurm_file_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``jobs`` and ``fault`` of files that each hold one JSON document.
+
+    A document may be written over many lines. Every file has a row: one that is no
+    whole document, holds no list of jobs, or only blanks, has its ``fault`` told.
+    """
+    read = (
+        spark.read.schema(schemas.slurm_jobs() + ", _bad STRING")
+        .option("multiLine", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True)
+        .json(path)
+        .select("jobs", "_bad", F.col("_metadata.file_path").alias("file"))
+    )
+    fault = F.when(F.col("_bad").isNotNull(), UNREADABLE).when(F.col("jobs").isNull(), NO_JOBS)
+    told = read.select("file", "jobs", fault.alias("fault"))
+    blank = _all_files(spark, path).join(told.select("file"), "file", "left_anti")
+    return told.unionByName(
+        blank.withColumn("fault", F.lit(EMPTY_FILE)), allowMissingColumns=True
+    )
+
+
+def slurm_file_jobs(documents: DataFrame) -> DataFrame:
+    """One row per job with an id, and the ``file`` it stands in."""
+    return rows.structs(documents, ["file"], F.col("jobs"), always="job_id")
+
+
+def slurm_file_faults(documents: DataFrame) -> DataFrame:
+    """``file`` and ``reason`` of files that cannot be read or whose jobs have no id."""
+    nameless = F.exists("jobs", lambda job: job["job_id"].isNull())
+    reason = F.coalesce("fault", F.when(nameless, NAMELESS_JOB))
+    return documents.select("file", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def trip_lines(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+    """Every line of CSV files with its ``file``; ``fault`` is the text of a faulty one.
+
+    A faulty line keeps the fields that can be read, the others are null. Fields are read
+    whether a query wants them or not, since a line's faults may lie in any of them.
+    """
+    return (
+        spark.read.schema((schema or schemas.TRIPS) + ", fault STRING")
+        .option("header", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "fault").option("recursiveFileLookup", True)
+        .option("columnPruning", False)
+        .csv(folder).select("*", F.col("_metadata.file_path").alias("file"))
+    )
+
+
 def worker_listing(raw: DataFrame, keys: Names) -> DataFrame:
     """Workers with state and host, or task managers with neither, per cluster."""
     page = payloads.page_object(F.col("payload"), schemas.WORKER_LISTING)

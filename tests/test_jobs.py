@@ -93,6 +93,27 @@ def test_slurm_files(spark, tmp_path):
     assert sorted(r["job_id"] for r in jobs.collect()) == ["42", "43"]
 
 
+def test_faults_of_slurm_files_are_told(spark, tmp_path):
+    """Every file is either read or listed, whatever is in it."""
+    whole = json.dumps(json.loads(document()[0]), indent=2)
+    texts = {
+        "good": whole, "cut": whole[:-4], "html": "<html>502</html>", "blank": " \n\n",
+        "other": '{"jobs": null}', "word": '"jobs"', "nameless": '{"jobs": [{"name": "x"}, {"job_id": "7"}]}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    documents = landing.slurm_file_documents(spark, str(tmp_path))
+    short = F.regexp_extract("file", r"([a-z]+)\.json$", 1).alias("name")
+    assert sorted((r.name, r.job_id) for r in landing.slurm_file_jobs(documents).select(short, "job_id").collect()) == [
+        ("good", "42"), ("good", "43"), ("nameless", "7")]
+    faults = landing.slurm_file_faults(documents).select(short, "reason").collect()
+    assert {r.name: r.reason for r in faults} == {
+        "cut": landing.UNREADABLE, "html": landing.UNREADABLE,
+        "blank": landing.EMPTY_FILE, "other": landing.NO_JOBS, "word": landing.UNREADABLE,
+        "nameless": landing.NAMELESS_JOB,
+    }
+
+
 def test_lookup_takes_the_first(spark):
     jobs = spark.createDataFrame(
         [("7", 2, "late"), ("7", 1, "early"), ("x", 0, "bad"), ("8", 3, "other")],
