@@ -7,10 +7,11 @@ value has a place in the history, but statistics neither count nor add it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from fleetgauge.constants import HISTORY_SIZE
 from fleetgauge.operators.chunks import with_carry_in
@@ -123,21 +124,47 @@ def rolling_stats(
     series of any length is spread over many tasks.
     """
     pieces = with_carry_in(df.withColumn("_chunk", chunk), keys, "_chunk", order, n - 1)
-    ring = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(1 - n, 0)
-    samples = F.count(value).over(ring)
-    high, low = F.max(value).over(ring).cast("double"), F.min(value).over(ring).cast("double")
+    by_chunk = [*keys, "_chunk"]
+    place = F.row_number().over(Window.partitionBy(*by_chunk).orderBy(*order)) - 1
+    blocks = pieces.withColumn("_place", place).withColumn(
+        "_block", F.floor(F.col("_place") / n)
+    )
+    # A window of n rows is the end of one block and the start of the next, so two running
+    # scans and a look n - 1 rows back give what n rows hold, whatever n is.
+    in_block = Window.partitionBy(*by_chunk, "_block")
+    here = in_block.orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    rest = in_block.orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+
+    def parts(window: WindowSpec) -> Column:
+        return F.struct(
+            F.count(value).over(window).alias("count"), F.sum(value).over(window).alias("sum"),
+            F.max(value).over(window).alias("max"), F.min(value).over(window).alias("min"),
+        )
+
+    back = F.lag("_rest", n - 1).over(Window.partitionBy(*by_chunk).orderBy("_place"))
+    whole = F.col("_place") % n == n - 1  # a window that is one block
+    scanned = (
+        blocks.withColumn("_rest", parts(rest)).withColumn("_here", parts(here))
+        .withColumn("_back", F.when(~whole, back))
+    )
+    # Rows without a full window yet have nothing behind their block's start.
+    samples = F.col("_here.count") + F.coalesce("_back.count", F.lit(0))
+    total = _either("sum", lambda a, b: a + b)
+    high = _either("max", F.greatest).cast("double")
+    low = _either("min", F.least).cast("double")
     size = samples
     if padded:
         size = F.lit(n)
         high = F.when(samples < n, F.greatest(high, F.lit(0.0))).otherwise(high)
         low = F.when(samples < n, F.least(low, F.lit(0.0))).otherwise(low)
     return (
-        pieces.withColumns({
-            "samples": samples,
-            "mean": _mean(F.sum(value).over(ring), size),
-            "max": high,
-            "min": low,
-        })
+        scanned.withColumns({"samples": samples, "mean": _mean(total, size), "max": high, "min": low})
         .filter(~F.col("carried"))
-        .drop("carried", "_chunk")
+        .select(*[name for name in df.columns], "samples", "mean", "max", "min")
     )
+
+
+def _either(name: str, both: Callable[[Column, Column], Column]) -> Column:
+    """What the two halves of a window have together; one of them may hold nothing."""
+    here, back = F.col(f"_here.{name}"), F.col(f"_back.{name}")
+    return F.when(back.isNull(), here).when(here.isNull(), back).otherwise(both(here, back))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import history as ops
@@ -121,6 +122,24 @@ def test_a_burst_is_cut_as_evenly_as_the_rest(spark):
     assert [r["chunk"] for r in along] == sorted(r["chunk"] for r in along)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 5000])
+def test_windows_of_any_length_equal_sliding_frames(spark, n):
+    rows = [(e, i // 3, i, None if i % 11 == 4 else v) for e, _, i, v in random_rows(9, count=900)]
+    df = frame(spark, rows).cache()
+    got = ops.rolling_stats(df, ["entity"], ["at", "id"], F.floor(F.col("at") / 70), n=n)
+    ring = Window.partitionBy("entity").orderBy("at", "id").rowsBetween(1 - n, 0)
+    want = df.select(
+        "entity", "at", "id", "value", F.count("value").over(ring).alias("samples"),
+        (F.sum("value").over(ring) / F.count("value").over(ring).cast("double")).alias("mean"),
+        F.max("value").over(ring).alias("max"), F.min("value").over(ring).alias("min"),
+    )
+    spark.conf.set("spark.sql.ansi.enabled", "false")  # windows of null values alone
+    try:
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
 @pytest.mark.parametrize("pieces", [1, 2, 7, 60])
 def test_rolling_stats_with_null_times_and_values(spark, pieces):
     rows = [("a", None if i < 5 else i // 3, i, None if i % 4 == 1 else float(i % 7)) for i in range(200)]
