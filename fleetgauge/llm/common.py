@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetgauge.session import configure
 
@@ -29,6 +30,32 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def by_place(
+    df: DataFrame, *names: str
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rows whose columns all have plain names but the named ones, and the way back.
+
+    A name goes to the column that has it exactly, else to the first that has it in other
+    capitals. The way back takes a frame with the same columns in the same order.
+    """
+    columns = df.columns
+    lower = [c.lower() for c in columns]
+    places = {
+        columns.index(n) if n in columns else lower.index(n): n
+        for n in names if n in columns or n in lower
+    }
+    renamed = df.toDF(*(places.get(i, f"column_{i}_") for i in range(len(columns))))
+    return renamed, lambda out: out.toDF(*columns)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it, in capitals or not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with a bounded amount of text each, in order."""
     for batch in batches:
@@ -43,16 +70,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(schema: str | StructType) -> pa.Schema:
     """The Arrow form of a schema; only the driver can work it out."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(ddl))
+    return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def sliced(
-    df: DataFrame, text: str, work: Callable[[pa.RecordBatch], dict], schema: str
+    df: DataFrame, text: str, work: Callable[[pa.RecordBatch], dict],
+    schema: str | StructType,
 ) -> DataFrame:
     """``work`` on slices of ``df``, as new columns by name."""
     arrow = arrow_schema(schema)
@@ -80,8 +108,7 @@ def kept_rows(df: DataFrame, text: str, keep: Callable[[list[str | None]], list[
         chosen = pa.array(keep(part.column("text").to_pylist()), pa.bool_())
         return {"row": part.column("row").filter(chosen)}
 
-    row = packed.schema["row"].dataType.simpleString()
-    kept = sliced(packed, "text", work, f"row {row}")
+    kept = sliced(packed, "text", work, StructType([packed.schema["row"]]))
     return kept.select(*(F.col("row").getField(name).alias(name) for name in df.columns))
 
 

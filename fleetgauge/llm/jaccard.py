@@ -5,15 +5,15 @@ more. Prefix filtering under several global orders: of a set of n shingles, link
 share one among the n - ceil(0.9 n) + 1 first ones, whatever the order, as long as all
 sets go by it.
 
-1. Common shingles. Of each document the first half of its shingles by hash is counted
-   over the corpus. Shingles of more than ``RARE`` documents are marked in a bitmap of
-   fixed size, which is broadcast. Marks are only a reason to come last in an order, so
-   a mark too many or too few costs time and loses nothing.
-2. Orders. All put unmarked shingles first; among these each goes by its own hash. The
-   first order's prefix tokens are buckets. A pair must also share a prefix token under
-   every other order, and pass the bounds on sizes and on parities: each set has 512 bits,
-   the parities of its shingles by hash, and sets differ in at least as many shingles as
-   bits.
+1. The first order puts shingles that one set alone has before all others. A set whose
+   whole prefix is made of such shingles is linked with nothing. They are counted per
+   set, of a share ``SAMPLED`` of all shingles by hash, which takes two shuffles of
+   hashes. That a set has many such shingles is all that is kept of this order.
+2. Other orders go by hashes of the shingles. The remaining sets' prefix tokens under one
+   of them are buckets: they hold those of the first order's prefix that other sets can
+   have too. A pair must also share a prefix token under each further order, and pass the
+   bounds on sizes and on parities: each set has 512 bits, the parities of its shingles by
+   hash, and sets differ in at least as many shingles as bits.
 3. Equal sets are one. Pairs that pass all filters are verified on the whole texts. Pairs
    are made in waves (``waves``), because only components are wanted: texts that
    already hang together are never paired, so a large group of near copies costs a few
@@ -36,23 +36,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import column, sliced, slices
-from fleetgauge.llm.near_dedup import WORDS as PARITY_WORDS
-from fleetgauge.llm.near_dedup import components, parities
+from fleetgauge.llm.near_dedup import parities
 from fleetgauge.llm.text import mix, powers, prefix_hash
-from fleetgauge.llm.waves import connected
+from fleetgauge.llm.waves import (
+    components,
+    connected,
+    likely,
+    low_half,
+    shared_buckets,
+    texts_of,
+)
 from fleetgauge.session import stored
 
 #: Words to a shingle, and the least share of the union that linked sets have in common.
 SHINGLE, PERCENT = 3, 90
 
-#: Documents up to which a shingle is no common one.
-RARE = 16
-
-#: Orders, and how many prefixes' length of the first one is counted over the corpus.
-ORDERS, COUNTED = 3, 5
+#: Share of all shingles, by hash, of which it is known whether one set alone has them.
+SAMPLED = 0.3
 
-#: Bits of the map of common shingles.
-BITS = 26
+#: Orders by hash, and words of parity bits of each set.
+ORDERS, PARITY_WORDS = 3, 8
 
 _SALT = 0xA0761D6478BD642F
 
@@ -104,62 +107,56 @@ def prefix_sizes(n: np.ndarray) -> np.ndarray:
 
 
 def first_of(
-    hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, order: int, last: np.ndarray | None
+    hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, order: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The first ``sizes`` shingles of every text under an order, and their texts.
 
-    ``last`` tells shingles that come behind all others. Those of one text come sorted,
-    so shingles whose hashes agree in the bits looked at are in one order everywhere.
+    Those of one text come sorted, so shingles whose hashes agree in the bits looked at
+    are in one order everywhere.
     """
-    key = mix(hashes + np.uint64(order * _SALT % (1 << 64))) >> np.uint64(21)
-    if last is not None:
-        key |= last.astype(np.uint64) << np.uint64(43)
+    key = mix(hashes + np.uint64(order * _SALT % (1 << 64))) >> np.uint64(20)
     at = np.argsort((of.astype(np.uint64) << np.uint64(44)) | key, kind="stable")
     own = of[at]
     kept = at[np.arange(len(own)) - np.searchsorted(own, own) < sizes[own]]
     return hashes[kept], of[kept]
 
 
+def set_keys(hashes: np.ndarray, of: np.ndarray, texts: int, salt: int) -> np.ndarray:
+    """A sum that names each text's set."""
+    keys = np.zeros(texts, np.uint64)
+    np.add.at(keys, of, mix(hashes + np.uint64(salt)))
+    return keys.view(np.int64)
+
+
 def _lists(values: np.ndarray, of: np.ndarray, texts: int) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=texts))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-def common_shingles(docs: DataFrame, text: str = "text", rare: int = RARE) -> np.ndarray:
-    """The bitmap of shingles that more than ``rare`` documents have, by their low bits."""
+def sole_shingles(docs: DataFrame, text: str = "text", sampled: float = SAMPLED) -> DataFrame:
+    """``key1`` and ``sole``, how many of the sampled shingles the set alone has."""
+    limit = np.uint64(int(sampled * 2**64))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             hashes, of = shingles(part.column("text").to_pylist())
-            sizes = COUNTED * prefix_sizes(np.bincount(of, minlength=part.num_rows))
-            values, docs = np.unique(first_of(hashes, of, sizes, 0, None)[0], return_counts=True)
+            keys = set_keys(hashes, of, part.num_rows, 1)
+            taken = mix(hashes ^ np.uint64(_SALT)) < limit
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values.view(np.int64)), pa.array(docs.astype(np.int32))],
-                names=["shingle", "docs"],
+                [pa.array(hashes[taken].view(np.int64)), pa.array(keys[of[taken]])],
+                names=["shingle", "key1"],
             )
 
-    counted = docs.select(column(text).alias("text")).mapInArrow(count, "shingle bigint, docs int")
-    low = F.col("shingle").bitwiseAND(F.lit((1 << BITS) - 1))
-    marks = (
-        counted.groupBy("shingle").agg(F.sum("docs").alias("docs")).filter(F.col("docs") > rare)
-        .groupBy(F.shiftright(low, 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits"))
-        .toArrow()  # as many rows as the map has words, at most
+    return (
+        docs.select(column(text).alias("text")).mapInArrow(some, "shingle bigint, key1 bigint")
+        .groupBy("shingle").agg(F.min("key1").alias("key1"), F.max("key1").alias("last"))
+        .filter(F.col("key1") == F.col("last"))
+        .groupBy("key1").agg(F.count("*").alias("sole"))
     )
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-    return bitmap
-
-
-def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = hashes & np.uint64((1 << BITS) - 1)
-    return (bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of every row its set's size, two sums that name it, its parities and prefixes."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, text))
     read = docs.select(
         column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text")
     )
@@ -168,17 +165,13 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         n = part.num_rows
         hashes, of = shingles(part.column("text").to_pylist())
         size = np.bincount(of, minlength=n)
-        keys = np.zeros((2, n), np.uint64)
-        for i, salt in enumerate((np.uint64(1), np.uint64(2))):
-            np.add.at(keys[i], of, mix(hashes + salt))
-        last = marked(common.value, hashes)
         made = {
             "doc_id": part.column("doc_id"), "n": size,
-            "key1": keys[0].view(np.int64), "key2": keys[1].view(np.int64),
-            "parity": list(parities(hashes, of, np.ones(len(of)), n)),
+            "key1": set_keys(hashes, of, n, 1), "key2": set_keys(hashes, of, n, 2),
+            "parity": list(parities(hashes, of, np.ones(len(of)), n, PARITY_WORDS)),
         }
         for order in range(ORDERS):
-            tokens, text_of = first_of(hashes, of, prefix_sizes(size), order, last)
+            tokens, text_of = first_of(hashes, of, prefix_sizes(size), order)
             values = tokens.view(np.int64) if not order else tokens.astype(np.uint32).view(np.int32)
             made["buckets" if not order else f"prefix{order}"] = _lists(values, text_of, n)
         return made
@@ -191,18 +184,23 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def may_link() -> Column:
-    """Whether sets may be linked: bounds on sizes and parities, prefixes of other orders."""
+def bound() -> Column:
+    """Whether sets may be linked, by their sizes and parities."""
     both = F.col("n") + F.col("n_")
     differ = sum(
         (F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_")[i])) for i in range(PARITY_WORDS)),
         start=F.lit(0),
     )
-    wanted = lambda x: x * (100 + PERCENT) <= both * (100 - PERCENT)
-    near = wanted(F.abs(F.col("n") - F.col("n_"))) & wanted(differ)
+    differ = F.greatest(F.abs(F.col("n") - F.col("n_")), differ)
+    return differ * (100 + PERCENT) <= both * (100 - PERCENT)
+
+
+def other_orders() -> Column:
+    """Whether sets share a prefix token under every further order."""
+    met = F.lit(True)
     for k in range(1, ORDERS):
-        near = near & F.arrays_overlap(f"prefix{k}", f"prefix{k}_")
-    return near
+        met = met & F.arrays_overlap(f"prefix{k}", f"prefix{k}_")
+    return met
 
 
 def verified(left: list[str], right: list[str]) -> np.ndarray:
@@ -219,15 +217,9 @@ def verified(left: list[str], right: list[str]) -> np.ndarray:
     return (100 * both >= PERCENT * union) & (both > 0)
 
 
-def linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that pass all filters and then the whole texts."""
-    own = facts.drop("buckets")
-    left = own.select(F.col("id").alias("a"), *(c for c in own.columns if c != "id"))
-    right = own.select(
-        F.col("id").alias("b"), *(F.col(c).alias(f"{c}_") for c in own.columns if c != "id")
-    )
-    near = pairs.join(left, "a").join(right, "b").filter(may_link()).select("a", "b")
-    both = near.join(
+def linked(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that pass the further orders, then the whole texts."""
+    both = likely(pairs, prefixes, other_orders()).join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
     ).join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -242,30 +234,33 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """``doc_id, n_shingles, component_id`` of every row."""
     rows = stored(signed(docs, doc_id, text), "sets")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    # Sets that have too many shingles for themselves to be linked with any other.
+    sole = sole_shingles(docs, text)
+    alone = F.coalesce("sole", F.lit(0)) >= F.col("prefix")
+    open_sets = stored(
+        known.select("key1", F.size("buckets").alias("prefix")).distinct()
+        .join(sole, "key1", "left").filter(~alone).select("key1").distinct(),
+        "open-sets",
+    )
     # A set goes by the smallest document that has it.
     named = ["n", "parity", "buckets", *(f"prefix{k}" for k in range(1, ORDERS))]
     sets = stored(
-        known.groupBy("key1", "key2").agg(
+        known.join(open_sets, "key1", "left_semi").groupBy("key1", "key2").agg(
             F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in named)
         ),
         "distinct-sets",
     )
-    facts = sets.select("id", *named)
-    members = sets.select("id", F.explode("buckets").alias("bucket")).distinct()
-    met = stored(
-        members.join(
-            members.groupBy("bucket").agg(F.count("*").alias("sets")).filter("sets > 1"), "bucket"
-        ).select("bucket", "id"),
-        "met",
+    shared = stored(
+        shared_buckets(sets.select("id", F.explode("buckets").alias("bucket"))), "shared-buckets"
     )
-    # The merge hint keeps one plan at every size: ids grow with the documents.
-    texts = stored(
-        docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
-        .join(met.select("id").distinct().hint("merge"), "id", "left_semi"),
-        "candidate-texts",
+    read = docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
+    texts = stored(texts_of(read, shared.select("id").distinct()), "candidate-texts")
+    facts = sets.select("id", "n", "parity", F.transform("buckets", low_half).alias("buckets"))
+    prefixes = sets.select("id", *(f"prefix{k}" for k in range(1, ORDERS)))
+    labels = connected(shared, facts, bound(), lambda pairs: linked(pairs, prefixes, texts))
+    of_set = stored(
+        known.groupBy("key1", "key2").agg(F.min("doc_id").alias("id")), "names-of-sets"
     )
-    labels = connected(met, facts, may_link(), lambda pairs: linked(pairs, facts, texts))
-    of_set = sets.select("key1", "key2", "id")
     # Documents with several sets tie these together.
     several = known.select("doc_id", "key1", "key2").join(of_set, ["key1", "key2"]).groupBy("doc_id").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.collect_set("id").alias("ids")

@@ -12,20 +12,18 @@ of links and is named by its smallest doc_id.
    process ends at the latest time that any register holds. Equal registers then have
    the weighted Jaccard coefficient as their probability, without bias.
 2. Texts with equal multisets become one, by a count per multiset before anything else.
-3. Bands of registers are buckets. Every member of a bucket is held against the smallest
-   and the largest id of the bucket, exactly, from whole texts. Links give components.
-4. In buckets whose members still lie in several components, who is not in the component
-   of a third member, drawn by hash, is held against that one. Who is then still outside
-   the bucket's largest component is paired with all members of other components, unless
-   a bound proves the pair too different, and checked exactly. The bound: each text has
-   512 bits, the parities of its shingles by hash; two texts differ in at least as many
-   shingles as bits. Pairs inside a component can add nothing and are never made, so a
-   large group of near copies costs a few pairs per member.
+3. Bands of registers are buckets. Pairs of a bucket are made in waves (``waves``), first
+   one for each member, then, with the chance to link growing, between members of
+   different components only, and checked exactly, from whole texts.
+4. A pair is left out only where a bound proves it too different: each text has 2,048 bits,
+   the parities of its shingles by hash; two texts differ in at least as many shingles as
+   bits. Pairs inside a component can add nothing and are never made, so a large group of
+   near copies costs a few pairs for each member.
 
 Bands of six of 144 registers miss a pair at 0.8 with probability 7e-4, at 0.85 with 1e-5.
 
 A text without words is like nothing, and a class by itself. A row without a doc_id
-has no class. Rows with one doc_id count as one document: its texts' classes are joined.
+has no class. A text goes by its smallest doc_id, and texts that go by one are one class.
 An empty table gives no rows. Columns besides the named two are never read.
 """
 
@@ -36,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import column, sliced
+from fleetgauge.llm import waves
+from fleetgauge.llm.common import column, sliced, unused
 from fleetgauge.llm.text import mix, shingle_hashes, word_hashes
 from fleetgauge.session import stored
 
@@ -45,7 +44,7 @@ BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 
 #: Words of parity bits of each text.
-WORDS = 8
+WORDS = 32
 
 #: Points drawn at once where few processes are left.
 POINTS = 1 << 16
@@ -106,11 +105,13 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
 
 
-def parities(hashes: np.ndarray, of: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+def parities(
+    hashes: np.ndarray, of: np.ndarray, count: np.ndarray, texts: int, words: int = WORDS
+) -> np.ndarray:
     """Bits of each text: whether it has an odd number of shingles of each hashed class."""
     bits = np.bincount(
-        of * (64 * WORDS) + (mix(hashes + _STEP) % np.uint64(64 * WORDS)).astype(np.int64),
-        count, texts * 64 * WORDS,
+        of * (64 * words) + (mix(hashes + _STEP) % np.uint64(64 * words)).astype(np.int64),
+        count, texts * 64 * words,
     ).astype(np.int64) & 1
     packed = np.packbits(bits.reshape(texts, -1).astype(np.uint8), axis=1)
     return packed.view(np.int64)
@@ -176,103 +177,17 @@ def linked(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return sliced(joined.select("a", "b", "text_a", "text_b"), "text_a", work, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``id, label``: the smallest id that links lead to, for every id in a link.
-
-    Each round takes the smallest label of the neighbours, then the label's own label,
-    so that chains shorten by half. Every round is written.
-    """
-    edges = stored(
-        links.select("a", "b").unionAll(links.select("b", "a")).distinct(), "links"
-    )
-    labels = stored(edges.groupBy(F.col("a").alias("id")).agg(
-        F.least(F.min("b"), F.col("id")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(
-            F.min("label").alias("near")
-        )
-        lower = labels.join(near, F.col("id") == F.col("a")).select(
-            "id", F.col("label").alias("before"), F.least("label", "near").alias("label")
-        )
-        own = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = stored(
-            lower.join(own, "label").select(
-                "id", F.least("label", "next").alias("label"), "before"
-            ),
-            "labels",
-        )
-        labels = new.select("id", "label")
-        if new.filter(F.col("label") != F.col("before")).isEmpty():
-            return labels
-
-
-def open_members(placed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Members (bucket, id, n, label) of buckets that hold several components, with parities and bands."""
-    apart = (
-        placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter(F.col("low") != F.col("high")).select("bucket")
-    )
-    parities = distinct.select("id", "bands", *(F.col("parity")[i].alias(f"p{i}") for i in range(WORDS)))
-    return stored(placed.join(apart, "bucket").join(parities, "id"), "open-members")
-
-
-def may_link(other: str, threshold: float = THRESHOLD) -> Column:
+def may_link(threshold: float = THRESHOLD) -> Column:
     """Whether two texts may be similar: what they share is bounded by the bits that differ."""
     differ = sum(
-        (F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}{other}"))) for i in range(WORDS)),
+        (F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_")[i])) for i in range(WORDS)),
         start=F.lit(0),
     )
-    both = F.col("n") + F.col(f"n{other}")
+    both = F.col("n") + F.col("n_")
+    differ = F.greatest(differ, F.abs(F.col("n") - F.col("n_")))
     return (1 + threshold) * (both - differ) / 2 >= threshold * both - 1e-9
 
 
-def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return stored(
-        rows.drop("label").join(labels, "id", "left")
-        .withColumn("label", F.coalesce("label", "id")),
-        "open-members",
-    )
-
-
-def _others(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "bucket", *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "bucket")
-    )
-
-
-def _pairs(rows: DataFrame, here: Column | None = None) -> DataFrame:
-    open_ = (F.col("label") != F.col("label_")) & may_link("_")
-    return (
-        rows.filter(open_ if here is None else open_ & here)
-        .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
-        .distinct()
-    )
-
-
-def drawn_pairs(rows: DataFrame) -> DataFrame:
-    """Every open member with one of its bucket, drawn by hash."""
-    drawn = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id")).alias("drawn"))
-    hubs = rows.join(drawn, "bucket").filter(F.col("id") == F.col("drawn")).drop("drawn")
-    return _pairs(rows.join(_others(hubs), "bucket"))
-
-
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of one bucket but different components that may still be links.
-
-    Members of a bucket's largest component are paired with those outside only.
-    """
-    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("members"))
-    main = (
-        sizes.groupBy("bucket")
-        .agg(F.max_by("label", "members").alias("main"), F.count("*").alias("labels"))
-        .filter("labels > 1").drop("labels")
-    )
-    outside = rows.join(main, "bucket").filter(F.col("label") != F.col("main")).drop("main")
-    # Near copies share most of their buckets; a pair is made in the first of these alone.
-    first = F.array_min(F.array_intersect("bands", "bands_"))
-    return _pairs(outside.join(_others(rows), "bucket"), F.col("bucket") == first)
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id`` of every row."""
     rows = stored(signed(docs, doc_id, text), "signatures")
@@ -284,45 +199,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         ),
         "distinct-texts",
     )
-    members = distinct.select("id", "n", F.explode("bands").alias("bucket"))
-    hubs = stored(
-        members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        .filter(F.col("low") != F.col("high")),
-        "buckets",
-    )
-    shared = stored(members.join(hubs, "bucket"), "members")
-    stars = stored(
-        shared.select("id", F.explode(F.array("low", "high")).alias("hub"))
-        .filter(F.col("id") != F.col("hub"))
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        .distinct(),
-        "candidates",
+    members = distinct.select("id", F.explode("bands").alias("bucket"))
+    shared = stored(waves.shared_buckets(members), "shared-buckets")
+    read = docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
+    texts = stored(waves.texts_of(read, shared.select("id").distinct()), "candidate-texts")
+    facts = distinct.select(
+        "id", "n", "parity", F.transform("bands", waves.low_half).alias("buckets")
     )
-    # The merge hint keeps one plan at every size: ids grow with the documents.
-    texts = stored(
-        docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
-        .join(shared.select("id").distinct().hint("merge"), "id", "left_semi"),
-        "candidate-texts",
-    )
-    links = stored(linked(stars, texts), "star-links")
-    labels = components(links)
-    placed = stored(
-        shared.join(labels, "id", "left").select(
-            "bucket", "id", "n", F.coalesce("label", "id").alias("label")
-        ),
-        "placed",
-    )
-    tried, rows_left = stars, open_members(placed, distinct)
-    for pairs_of in (drawn_pairs, cross_pairs):
-        pairs = stored(
-            pairs_of(rows_left).join(tried, ["a", "b"], "left_anti"), "open-candidates"
-        )
-        more = stored(linked(pairs, texts), "more-links")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = components(links)
-            rows_left = relabelled(rows_left, labels)
-        tried = tried.unionAll(pairs)
+    labels = waves.connected(shared, facts, may_link(), lambda pairs: linked(pairs, texts))
     named = stored(
         distinct.join(labels, "id", "left").select(
             "key1", "key2", F.coalesce("label", "id").alias("class_id")
@@ -339,15 +223,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def first_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, the one with the smallest id, with all its columns.
+    """The rows of the smallest document of each class, with all their columns.
 
-    Rows without an id stay; of rows with one id one stays.
+    Rows without an id stay. Of rows equal in id and text one stays, the one whose columns
+    have the smallest hash; rows of one id whose texts differ are all kept.
     """
     ids = column(doc_id).cast("bigint")
+    mark = unused(docs, "gone")
     dropped = classes(docs, doc_id, text).filter(F.col("doc_id") != F.col("class_id"))
-    gone = stored(dropped.select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    kept = docs.join(gone, ids == F.col("gone"), "left_anti")
-    if docs.groupBy(ids.alias("id")).count().filter("id IS NOT NULL AND count > 1").isEmpty():
+    gone = stored(dropped.select(F.col("doc_id").alias(mark)).distinct(), "copies")
+    kept = docs.join(gone, ids == F.col(mark), "left_anti")
+    repeated = stored(
+        docs.select(ids.alias("id"), column(text).alias("text")).filter("id IS NOT NULL")
+        .groupBy("id", "text").agg(F.count("*").alias("rows")).filter("rows > 1")
+        .select(F.col("id").alias(mark)).distinct(),
+        "repeated-ids",
+    )
+    if repeated.isEmpty():
         return kept
-    named = kept.filter(ids.isNotNull()).dropDuplicates([doc_id])
-    return named.unionAll(kept.filter(ids.isNull()))
+    once = kept.join(repeated, ids == F.col(mark), "left_anti")
+    row = F.struct(*(column(c) for c in docs.columns))
+    hashed = [column(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    several = (
+        kept.join(repeated, ids == F.col(mark), "left_semi")
+        .groupBy(column(doc_id), column(text)).agg(F.min_by(row, F.xxhash64(*hashed)).alias("row"))
+    )
+    return once.unionAll(several.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

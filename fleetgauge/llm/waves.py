@@ -6,25 +6,64 @@ of rows that already do is never made:
 1. The first wave pairs each row once, with the hub that most of its buckets name. Links
    are checked and give components, which takes in nearly all of a group of near copies.
 2. Further waves pair rows of one bucket but different components, where a bound leaves
-   them a chance. A wave makes the pairs whose hash falls in one of ``share`` classes; the
-   next wave makes four times as many, and the last one all. A row that is like many
-   others has found one of them long before most pairs are made, and has left by then. So
-   a row makes few pairs in each wave, and the waves are as many as the largest bucket has
-   doublings, by two. The last wave leaves out no pair, so nothing is missed.
+   them a chance. The first of them look at buckets of more than ``FIRST`` rows only, and
+   make the pairs whose hash falls in one of ``share`` classes; each makes ``FACTOR`` times
+   as many as the one before. A row that is like many others has found one of them long
+   before most pairs are made, and has left by then. So a row makes few pairs in each wave,
+   and the waves grow with the logarithm of the largest bucket. The last wave makes all
+   pairs that are left, in all buckets, so nothing is missed.
 
 Every wave is written, so no plan grows and lost executors cost little.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.near_dedup import components
 from fleetgauge.session import stored
 
+#: Rows of a bucket that one row may meet in the first cross wave, about, and how many
+#: times as many pairs each further wave makes.
+FIRST, FACTOR = 64, 16
+
+#: Bits of the map of wanted ids.
+BITS = 26
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``id, label``: the smallest id that links lead to, for every id in a link.
+
+    Each round takes the smallest label of the neighbours, then the label's own label,
+    so that chains shorten by half. Every round is written.
+    """
+    edges = stored(
+        links.select("a", "b").unionAll(links.select("b", "a")).distinct(), "links"
+    )
+    labels = stored(edges.groupBy(F.col("a").alias("id")).agg(
+        F.least(F.min("b"), F.col("id")).alias("label")), "labels")
+    while True:
+        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(
+            F.min("label").alias("near")
+        )
+        lower = labels.join(near, F.col("id") == F.col("a")).select(
+            "id", F.col("label").alias("before"), F.least("label", "near").alias("label")
+        )
+        own = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        new = stored(
+            lower.join(own, "label").select(
+                "id", F.least("label", "next").alias("label"), "before"
+            ),
+            "labels",
+        )
+        labels = new.select("id", "label")
+        if new.filter(F.col("label") != F.col("before")).isEmpty():
+            return labels
+
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """``bucket, id`` of buckets with several rows, with ``hub``: one of them, by hash."""
@@ -45,6 +84,46 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def likely(pairs: DataFrame, facts: DataFrame, may_link: Column) -> DataFrame:
+    """Pairs (a, b) that ``may_link`` leaves a chance."""
+    left = facts.select(F.col("id").alias("a"), *(c for c in facts.columns if c != "id"))
+    right = facts.select(
+        F.col("id").alias("b"), *(F.col(c).alias(f"{c}_") for c in facts.columns if c != "id")
+    )
+    return pairs.join(left, "a").join(right, "b").filter(may_link).select("a", "b")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those rows of ``docs`` (id, text) whose id is in ``ids``.
+
+    Rows are first looked up in a bitmap of fixed size where they are read, so that hardly
+    any other text is shuffled.
+    """
+    spark = docs.sparkSession
+    place = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << BITS) - 1))
+    marks = (
+        ids.select(place("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
+        .toArrow()  # as many rows as the map has words, at most
+    )
+    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
+    bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    known = spark.sparkContext.broadcast(bitmap)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            hit = (known.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    met = (
+        docs.filter("id IS NOT NULL").select("id", "text", place("id").alias("bit"))
+        .mapInArrow(keep, "id bigint, text string")
+    )
+    # The merge hint keeps one plan at every size: ids grow with the documents.
+    return met.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+
+
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (bucket, id, label) of buckets that still hold several components."""
     placed = stored(
@@ -60,20 +139,25 @@ def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cross_pairs(
-    rows: DataFrame, facts: DataFrame, may_link: Column, share: int, done: int | None
+    rows: DataFrame, facts: DataFrame, bound: Column, share: int, done: int | None
 ) -> DataFrame:
     """Pairs of one bucket but different components, of one in ``share`` hash classes.
 
-    Rows of a bucket's largest component meet those outside only. Pairs that a wave of
-    one in ``done`` classes has made are left out. ``facts`` has ``id``, ``buckets`` and
-    what ``may_link`` looks at, where the other row's columns end in ``_``.
+    Rows of a bucket's largest component meet those outside only. With several classes
+    only large buckets count. Pairs that a wave of one in ``done`` classes has made are
+    left out. ``facts`` has ``id``, ``buckets`` (the
+    lower halves of all of a row's buckets) and what ``bound`` looks at, where the other
+    row's columns end in ``_``.
     """
+    if share > 1:
+        rows = rows.filter(F.col("members") > FIRST)
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
     told = rows.join(main, "bucket").join(facts, "id")
     outside = told.filter(F.col("label") != F.col("main"))
     others = told.select(
-        "bucket", *(F.col(c).alias(f"{c}_") for c in told.columns if c != "bucket")
+        "bucket",
+        *(F.col(c).alias(f"{c}_") for c in told.columns if c not in ("bucket", "members")),
     )
     inner = F.col("label_") != F.col("main_")  # both outside: one of the two orders will do
     pair = F.xxhash64(F.least("id", "id_"), F.greatest("id", "id_"))
@@ -83,40 +167,44 @@ def cross_pairs(
     if share > 1:
         wanted = wanted & (F.pmod(pair, F.lit(share)) == 0)
     if done is not None:
-        wanted = wanted & (F.pmod(pair, F.lit(done)) != 0)
+        wanted = wanted & ((F.col("members") <= FIRST) | (F.pmod(pair, F.lit(done)) != 0))
     same = outside.join(
-        others, (outside["bucket"] == others["bucket"]) & wanted & may_link
-        & (outside["bucket"] == first)
+        others, (outside["bucket"] == others["bucket"]) & wanted & bound
+        & (low_half(outside["bucket"]) == first)
     )
-    return same.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+    return same.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+
+def low_half(bucket: Column) -> Column:
+    """The lower 32 bits of a bucket."""
+    return F.shiftright(F.shiftleft(bucket, 32), 32).cast("int")
 
 
 def connected(
-    members: DataFrame, facts: DataFrame, may_link: Column,
+    shared: DataFrame, facts: DataFrame, bound: Column,
     linked: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``id, label``: the smallest id of the component of every row that has a link.
 
-    ``members`` has ``bucket`` and ``id``; ``linked`` keeps those of the pairs (a, b) that
-    are links. All inputs are written tables.
+    ``shared`` is :func:`shared_buckets`; ``linked`` keeps those of the pairs (a, b) that
+    are links. ``bound`` and ``facts`` are as for :func:`cross_pairs`. All inputs are
+    written tables.
     """
-    shared = stored(shared_buckets(members), "shared-buckets")
-    links = stored(linked(hub_pairs(shared)), "links")
+    links = stored(linked(likely(hub_pairs(shared), facts.drop("buckets"), bound)), "links")
     labels = components(links)
     rows = open_rows(shared, labels)
-    largest = rows.agg(F.max("members")).first()[0] or 1
+    largest = rows.agg(F.max("members")).first()[0]
+    if largest is None:
+        return labels
     share, done = 1, None
-    while share < largest:
-        share *= 4
-    while not rows.isEmpty():
-        more = stored(
-            linked(stored(cross_pairs(rows, facts, may_link, share, done), "open-pairs")), "links"
-        )
-        if not more.isEmpty():
-            links = links.unionAll(more)
+    while share * FIRST < largest:
+        share *= FACTOR
+    while True:
+        pairs = stored(cross_pairs(rows, facts, bound, share, done), "open-pairs")
+        if not pairs.isEmpty():
+            links = links.unionAll(stored(linked(pairs), "links"))
             labels = components(links)
-            rows = open_rows(shared, labels)
         if share == 1:
             return labels
-        share, done = share // 4, share
-    return labels
+        rows = open_rows(shared, labels)
+        share, done = share // FACTOR, share

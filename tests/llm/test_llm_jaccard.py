@@ -92,29 +92,30 @@ def test_groups_passages_and_chains(spark, frame):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdefg"), max_size=40), min_size=2, max_size=6), st.randoms())
-def test_linked_sets_share_a_prefix_token_under_every_order(texts, draw):
-    """Also where some shingles come last."""
+def test_linked_sets_pass_every_filter(texts, draw):
+    """A shared prefix token under every order, and too few shingles of their own."""
     hashes, of = jaccard.shingles([" ".join(t) for t in texts])
     sets = [set(hashes[of == i].tolist()) for i in range(len(texts))]
     assert [len(s) for s in sets] == [len(own_set(" ".join(t))) for t in texts]
-    last = np.isin(hashes, [h for h in np.unique(hashes) if draw.random() < 0.4])
     sizes = jaccard.prefix_sizes(np.bincount(of, minlength=len(texts)))
+    sampled = {h for h in hashes.tolist() if draw.random() < 0.5}
+    sole = [len({h for h in s & sampled if not any(h in o for o in sets if o != s)}) for s in sets]
     for order in range(jaccard.ORDERS):
-        tokens, text = jaccard.first_of(hashes, of, sizes, order, last)
+        tokens, text = jaccard.first_of(hashes, of, sizes, order)
         heads = [set(tokens[text == i].tolist()) for i in range(len(texts))]
         for i, a in enumerate(sets):
             for j, b in enumerate(sets[:i]):
-                if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                if a and b and a != b and 100 * len(a & b) >= 90 * len(a | b):
                     assert heads[i] & heads[j]
+                    assert sole[i] < sizes[i] and sole[j] < sizes[j]
 
 
-def test_marks_are_of_common_shingles(spark, frame):
-    rows = [(i, f"common words here own{i} text{i}") for i in range(jaccard.RARE + 1)]
-    bitmap = jaccard.common_shingles(frame(rows, SCHEMA), rare=2)
+def test_sole_shingles(spark, frame):
+    rows = [(i, f"common words here own{i} text{i % 4}") for i in range(8)] + [(9, "a b c"), (10, "A B c")]
+    found = {r.key1: r.sole for r in jaccard.sole_shingles(frame(rows, SCHEMA), sampled=1 - 1e-12).collect()}
     hashes, of = jaccard.shingles([t for _, t in rows])
-    values, counts = np.unique(hashes, return_counts=True)
-    marks = jaccard.marked(bitmap, values)
-    assert not marks[counts <= 2].any()
+    keys = jaccard.set_keys(hashes, of, len(rows), 1).tolist()
+    assert [found[k] for k in keys] == [2] * 8 + [1, 1] and len(found) == 9
 
 
 @pytest.mark.parametrize("left, right, like", [
