@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgauge.llm.common import column, sliced, slices
 from fleetgauge.llm.text import mix, powers, prefix_hash
@@ -376,7 +377,12 @@ def deduplicated(
         F.collect_list(F.struct("start", "n")).alias("runs")
     )
     joined = texts.join(lists, ["d", "t"], "left").select("row", "text", "runs")
-    row = joined.schema["row"].dataType.simpleString()
+    span = T.StructType().add("start", T.LongType()).add("end", T.LongType())
+    schema = (
+        T.StructType([joined.schema["row"]]).add(
+            "kept", T.StringType() if as_text else T.BinaryType()
+        ).add("n_bytes", T.LongType()).add("spans", T.ArrayType(span))
+    )
 
     def work(part: pa.RecordBatch) -> dict:
         kept, spans, sizes = [], [], []
@@ -394,11 +400,7 @@ def deduplicated(
         kept = [None if null else k for null, k in zip(nulls, kept, strict=True)]
         return {"row": part.column("row"), "kept": kept, "n_bytes": sizes, "spans": spans}
 
-    return sliced(
-        joined, "text", work,
-        f"row {row}, kept {'string' if as_text else 'binary'}, n_bytes bigint,"
-        " spans array<struct<start: bigint, end: bigint>>",
-    )
+    return sliced(joined, "text", work, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -62,3 +62,27 @@ def test_stages_take_odd_rows(spark, frame):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "None"]
     cut = corpus_pipeline.suffix_dedup(spark, frame(rows, schema), SF)
     assert {r.text for r in cut.filter(F.col("doc_id").isin(1, 2)).collect()} == {None, ""}
+
+
+def test_stages_take_any_column_names(spark):
+    rows = [(i, f"some clean prose of the usual kind number {i}, " * 12, "x", 1, 2, {"k": 1}, (3,)) for i in range(4)]
+    rows.append((3, rows[3][1].upper(), "y", 5, 6, None, None))
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, `my col` string, `a.b` int, `a:b` int, gone map<string,int>,"
+        " column_2_ struct<`x y:z`: int>")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "pack" or out.dtypes == docs.dtypes, name
+        assert out.count() <= docs.count() or name == "pack"
+    odd = docs.withColumnRenamed("my col", "Text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = {r[0] for r in stage(spark, odd, SF).collect()}
+        assert found == {r[0] for r in stage(spark, docs, SF).collect()}, name
+
+
+def test_unlike_texts_of_one_id_are_all_kept(spark, frame):
+    texts = ["one text about ships and the sea, long ago", "other words of a recipe for bread and salt",
+             "third and last, on stars seen at night in winter"]
+    rows = [(8, t) for t in texts] + [(8, texts[0]), (9, texts[1])]
+    kept = corpus_pipeline.near_dedup(spark, frame(rows, "doc_id bigint, text string"), SF).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 8) == sorted(texts)
