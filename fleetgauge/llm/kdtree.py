@@ -11,7 +11,8 @@ Vectors that are null or hold null or non-finite components take no part, as que
 as candidates. Shorter vectors count as filled up with zeros. A candidate with the
 query's id is the query's own and left out. Repeated candidate rows count each; every
 query row gets its own answer. Ties go to the smaller id. No queries or no candidates:
-no rows. Columns besides the named two are never read.
+no rows. Numbers so large that a score might pass 63 bits end the query with an error.
+Columns besides the named two are never read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +33,9 @@ LEAF, TREE, BLOCK = 256, 1 << 16, 8192
 #: Sums below this are exact in double precision.
 EXACT = 2.0**53
 
+#: Numbers and scores stay below this.
+LIMIT = 2.0**62
+
 
 def integer_vectors(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64
@@ -42,9 +46,15 @@ def integer_vectors(
         vector,
         lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")),
     )
+
+    def scaled(x: Column) -> Column:
+        number = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(number) < LIMIT, F.floor(number)).otherwise(
+            F.raise_error(F.lit("a vector's number is too large for exact scores")).cast("bigint")
+        )
+
     return df.filter(vector.isNotNull() & F.coalesce(usable, F.lit(False))).select(
-        column(vec_id).cast("bigint").alias("id"),
-        F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"),
+        column(vec_id).cast("bigint").alias("id"), F.transform(vector, scaled).alias("v")
     )
 
 
@@ -116,6 +126,8 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, best: Best) -> None
     every = np.arange(len(queries))
     largest = max(np.abs(queries).max(initial=0), 1) * float(queries.shape[1])
     reach = max(np.abs(tree.low).max(initial=0), np.abs(tree.high).max(initial=0))
+    if largest * float(reach) >= LIMIT:
+        raise OverflowError("scores of these vectors may pass 63 bits")
     number = float if largest * float(reach) < EXACT else np.int64
     as_numbers = queries.astype(number)
     for turn in range(order.shape[1]):

@@ -59,3 +59,11 @@ def test_large_numbers_are_exact(spark, frame):
 
 def test_empty_table(spark, frame):
     assert found(frame([], SCHEMA), 20, 20) == []
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [1e300, 1.0]), (1, [1.0, 1.0])], [(0, [1e9, 1e9]), (1, [1e9, 1e9])],
+])
+def test_scores_that_would_overflow_are_refused(spark, frame, rows):
+    with pytest.raises(Exception, match="too large|63 bits"):
+        kdtree.nearest(frame(rows, "vec_id bigint, embedding array<double>")).collect()
