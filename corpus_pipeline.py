@@ -6,18 +6,20 @@ of the documents, extra ones included:
 - ``quality`` drops rows whose text scores below 0.7; null and empty texts get the share
   of good labels as their score.
 - ``near_dedup`` keeps the row with the smallest doc_id of each class of near copies; rows
-  without words or without a doc_id stay, and of rows with one doc_id one stays.
+  without words or without a doc_id stay, and of rows equal in doc_id and text one stays.
 - ``suffix_dedup`` takes repeated strings of 100 bytes out of the texts and sets
   ``n_chars``; characters cut in half go, null texts stay null, emptied ones empty.
 - ``decontaminate`` drops rows that contain a benchmark item.
 - ``pack`` returns the pieces of all remaining documents with their places.
 
-Empty tables pass through all stages.
+Empty tables pass through all stages. Columns may have any names: only ``doc_id``, ``text``
+and ``n_chars`` are looked at, found by their exact names first, then in any capitals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,39 +28,51 @@ from fleetgauge.llm import decontaminate as containment
 from fleetgauge.llm import near_dedup as copies
 from fleetgauge.llm import packing, suffixes
 from fleetgauge.llm import quality as voting
-from fleetgauge.llm.common import shipped
+from fleetgauge.llm.common import by_place, shipped
 from fleetgauge.session import stored
 from fleetgauge.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage(work: Stage) -> Stage:
+    """A stage that sees plain column names, whatever those of its documents are."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain, back = by_place(docs, "doc_id", "text", "n_chars")
+        return back(work(shipped(spark), plain, sf_dir))
+
+    return run
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
     return voting.good_rows(docs, voting.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
     return copies.first_rows(docs)
 
 
+@stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
     cut = suffixes.cut_rows(docs)
     if "n_chars" not in docs.columns:
         return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
     return containment.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped(spark)
-    return packing.packed_digests(docs)
+    plain, _ = by_place(docs, "doc_id", "text")
+    return packing.packed_digests(plain)
 
 
 STAGES: list[tuple[str, Stage]] = [
