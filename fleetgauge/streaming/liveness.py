@@ -24,7 +24,7 @@ class Liveness(InOrder):
     gives = ("ts", "place", "up", "reason")
 
     def __init__(self, keys: Sequence[str], interval: int, forget: int) -> None:
-        super().__init__(keys, 1)
+        super().__init__(keys)
         self.interval, self.forget = interval, forget
 
     def _silence(self, own: tuple) -> list[tuple]:

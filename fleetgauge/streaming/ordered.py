@@ -34,8 +34,8 @@ class InOrder(StatefulProcessor):
     #: Names of the outputs.
     gives: Sequence[str]
 
-    def __init__(self, keys: Sequence[str], n_fields: int) -> None:
-        self.keys, self.n_fields = list(keys), n_fields
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.keys = list(keys)
 
     def step(self, own: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         """The values after a row that has its turn, and what it gives."""

@@ -19,7 +19,7 @@ class Sticky(InOrder):
     gives = ("place", "entity_id", "late")
 
     def __init__(self, keys: Sequence[str], fallback: str | None = None) -> None:
-        super().__init__(keys, 2)
+        super().__init__(keys)
         self.fallback = fallback
 
     def step(self, own: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
