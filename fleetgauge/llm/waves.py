@@ -6,12 +6,14 @@ of rows that already do is never made:
 1. The first wave pairs each row once, with the hub that most of its buckets name. Links
    are checked and give components, which takes in nearly all of a group of near copies.
 2. Further waves pair rows of one bucket but different components, where a bound leaves
-   them a chance. The first of them look at buckets of more than ``FIRST`` rows only, and
-   make the pairs whose hash falls in one of ``share`` classes; each makes ``FACTOR`` times
-   as many as the one before. A row that is like many others has found one of them long
-   before most pairs are made, and has left by then. So a row makes few pairs in each wave,
-   and the waves grow with the logarithm of the largest bucket. The last wave makes all
-   pairs that are left, in all buckets, so nothing is missed.
+   them a chance. The first of them look at each row in its largest bucket only, if that
+   has more than ``FIRST`` rows, and make the pairs whose hash falls in one of ``share``
+   classes; each makes ``FACTOR`` times as many as the one before. A row that is like many
+   others has found one of them long before most pairs are made, and has left by then. So
+   a row makes few pairs in each wave, and the waves grow with the logarithm of the
+   largest bucket. The last wave makes all pairs that are left, in all buckets, so nothing
+   is missed.
+3. The links of a wave join components, so each link is looked at in its own wave only.
 
 Every wave is written, so no plan grows and lost executors cost little.
 """
@@ -65,6 +67,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``id, label`` after further links (a, b), found on the components' names."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        "a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")
+    )
+    named = stored(named, "named-links")
+    joined = components(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    ends = named.select("a", "label_a").unionAll(named.select("b", "label_b")).toDF("id", "label")
+    every = labels.select("id", "label").unionAll(ends).distinct()
+    new = joined.select(F.col("id").alias("label"), F.col("label").alias("new"))
+    return stored(
+        every.join(new, "label", "left").select("id", F.coalesce("new", "label").alias("label")),
+        "labels",
+    )
+
+
 def shared_buckets(members: DataFrame) -> DataFrame:
     """``bucket, id`` of buckets with several rows, with ``hub``: one of them, by hash."""
     hubs = members.groupBy("bucket").agg(
@@ -138,40 +157,38 @@ def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(placed.join(apart, "bucket"), "open-rows")
 
 
-def cross_pairs(
-    rows: DataFrame, facts: DataFrame, bound: Column, share: int, done: int | None
-) -> DataFrame:
+def cross_pairs(rows: DataFrame, facts: DataFrame, bound: Column, share: int) -> DataFrame:
     """Pairs of one bucket but different components, of one in ``share`` hash classes.
 
-    Rows of a bucket's largest component meet those outside only. With several classes
-    only large buckets count. Pairs that a wave of one in ``done`` classes has made are
-    left out. ``facts`` has ``id``, ``buckets`` (the
-    lower halves of all of a row's buckets) and what ``bound`` looks at, where the other
-    row's columns end in ``_``.
+    Rows of a bucket's largest component meet those outside only. With several classes a
+    row counts in its largest bucket alone, if that is large; with one, in all of them.
+    ``facts`` has ``id``, ``buckets`` (the lower halves of all of a row's buckets) and what
+    ``bound`` looks at, where the other row's columns end in ``_``.
     """
     if share > 1:
-        rows = rows.filter(F.col("members") > FIRST)
+        rows = (
+            rows.filter(F.col("members") > FIRST)
+            .groupBy("id").agg(F.max(F.struct("members", "bucket", "label")).alias("own"))
+            .select("own.bucket", "id", "own.label")
+        )
+    rows = rows.select("bucket", "id", "label")
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
     told = rows.join(main, "bucket").join(facts, "id")
     outside = told.filter(F.col("label") != F.col("main"))
     others = told.select(
-        "bucket",
-        *(F.col(c).alias(f"{c}_") for c in told.columns if c not in ("bucket", "members")),
+        "bucket", *(F.col(c).alias(f"{c}_") for c in told.columns if c != "bucket")
     )
     inner = F.col("label_") != F.col("main_")  # both outside: one of the two orders will do
-    pair = F.xxhash64(F.least("id", "id_"), F.greatest("id", "id_"))
-    # Near copies share most of their buckets; a pair is made in the first of these alone.
-    first = F.array_min(F.array_intersect("buckets", "buckets_"))
     wanted = (F.col("label") != F.col("label_")) & (~inner | (F.col("id") < F.col("id_")))
     if share > 1:
-        wanted = wanted & (F.pmod(pair, F.lit(share)) == 0)
-    if done is not None:
-        wanted = wanted & ((F.col("members") <= FIRST) | (F.pmod(pair, F.lit(done)) != 0))
-    same = outside.join(
-        others, (outside["bucket"] == others["bucket"]) & wanted & bound
-        & (low_half(outside["bucket"]) == first)
-    )
+        pair = F.xxhash64(F.least("id", "id_"), F.greatest("id", "id_"))
+        wanted = wanted & (F.pmod(pair, F.lit(share)) == 0) & bound
+    else:
+        # Near copies share most of their buckets; a pair is made in the first of these.
+        first = F.array_min(F.array_intersect("buckets", "buckets_"))
+        wanted = wanted & bound & (low_half(outside["bucket"]) == first)
+    same = outside.join(others, (outside["bucket"] == others["bucket"]) & wanted)
     return same.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
@@ -190,21 +207,23 @@ def connected(
     are links. ``bound`` and ``facts`` are as for :func:`cross_pairs`. All inputs are
     written tables.
     """
-    links = stored(linked(likely(hub_pairs(shared), facts.drop("buckets"), bound)), "links")
-    labels = components(links)
+    labels = components(
+        stored(linked(likely(hub_pairs(shared), facts.drop("buckets"), bound)), "links")
+    )
     rows = open_rows(shared, labels)
     largest = rows.agg(F.max("members")).first()[0]
     if largest is None:
         return labels
-    share, done = 1, None
+    share = 1
     while share * FIRST < largest:
         share *= FACTOR
     while True:
-        pairs = stored(cross_pairs(rows, facts, bound, share, done), "open-pairs")
+        pairs = stored(cross_pairs(rows, facts, bound, share), "open-pairs")
         if not pairs.isEmpty():
-            links = links.unionAll(stored(linked(pairs), "links"))
-            labels = components(links)
+            more = stored(linked(pairs), "links")
+            if not more.isEmpty():
+                labels = merged(labels, more)
         if share == 1:
             return labels
         rows = open_rows(shared, labels)
-        share, done = share // FACTOR, share
+        share //= FACTOR
