@@ -57,6 +57,9 @@ SAMPLED = 0.3
 #: Orders by hash, and words of parity bits of each set.
 ORDERS, PARITY_WORDS = 3, 8
 
+#: Words of the parity bits that pairs are held against before their texts are read.
+WIDE = 64
+
 _SALT = 0xA0761D6478BD642F
 
 
@@ -169,6 +172,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             "doc_id": part.column("doc_id"), "n": size,
             "key1": set_keys(hashes, of, n, 1), "key2": set_keys(hashes, of, n, 2),
             "parity": list(parities(hashes, of, np.ones(len(of)), n, PARITY_WORDS)),
+            "wide": list(parities(hashes, of, np.ones(len(of)), n, WIDE)),
         }
         for order in range(ORDERS):
             tokens, text_of = first_of(hashes, of, prefix_sizes(size), order)
@@ -179,16 +183,16 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     others = ", ".join(f"prefix{k} array<int>" for k in range(1, ORDERS))
     return sliced(
         read, "text", work,
-        "doc_id bigint, n bigint, key1 bigint, key2 bigint, parity array<bigint>,"
+        "doc_id bigint, n bigint, key1 bigint, key2 bigint, parity array<bigint>, wide array<bigint>,"
         f" buckets array<bigint>, {others}",
     )
 
 
-def bound() -> Column:
+def bound(bits: str = "parity", words: int = PARITY_WORDS) -> Column:
     """Whether sets may be linked, by their sizes and parities."""
     both = F.col("n") + F.col("n_")
     differ = sum(
-        (F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_")[i])) for i in range(PARITY_WORDS)),
+        (F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(f"{bits}_")[i])) for i in range(words)),
         start=F.lit(0),
     )
     differ = F.greatest(F.abs(F.col("n") - F.col("n_")), differ)
@@ -196,8 +200,8 @@ def bound() -> Column:
 
 
 def other_orders() -> Column:
-    """Whether sets share a prefix token under every further order."""
-    met = F.lit(True)
+    """Whether sets share a prefix token under every further order, and pass the wide bound."""
+    met = bound("wide", WIDE)
     for k in range(1, ORDERS):
         met = met & F.arrays_overlap(f"prefix{k}", f"prefix{k}_")
     return met
@@ -243,7 +247,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         "open-sets",
     )
     # A set goes by the smallest document that has it.
-    named = ["n", "parity", "buckets", *(f"prefix{k}" for k in range(1, ORDERS))]
+    named = ["n", "parity", "wide", "buckets", *(f"prefix{k}" for k in range(1, ORDERS))]
     sets = stored(
         known.join(open_sets, "key1", "left_semi").groupBy("key1", "key2").agg(
             F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in named)
@@ -256,7 +260,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     read = docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
     texts = stored(texts_of(read, shared.select("id").distinct()), "candidate-texts")
     facts = sets.select("id", "n", "parity", F.transform("buckets", low_half).alias("buckets"))
-    prefixes = sets.select("id", *(f"prefix{k}" for k in range(1, ORDERS)))
+    prefixes = sets.select("id", "n", "wide", *(f"prefix{k}" for k in range(1, ORDERS)))
     labels = connected(shared, facts, bound(), lambda pairs: linked(pairs, prefixes, texts))
     of_set = stored(
         known.groupBy("key1", "key2").agg(F.min("doc_id").alias("id")), "names-of-sets"
