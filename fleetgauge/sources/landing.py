@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import schemas
@@ -21,6 +21,9 @@ Names = Sequence[str]
 UNREADABLE, NO_JOBS, EMPTY_FILE = "unreadable document", "no list of jobs", "empty file"
 NAMELESS_JOB = "job without an id"
 
+# In no JSON document: texts are UTF-8 and have no bare control characters.
+NO_LINE_END = "\x00"
+
 
 def write_raw_polls(raw: DataFrame, path: str) -> None:
     """Land pages by endpoint and day, so that a reader opens only the files it needs."""
@@ -132,11 +135,21 @@ def slurm_errors(raw: DataFrame, keys: Names) -> DataFrame:
     return raw.select(*keys, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def _whole_documents(spark: SparkSession, schema: str) -> DataFrameReader:
+    """Reads each file as one JSON document, whatever lines it is written over.
+
+    With ``multiLine`` Spark goes back to the file for every number that is read as a
+    string, job ids among them, and each time reads some kilobytes around it. A document
+    that is one line is parsed in memory. One in UTF-16 or UTF-32 falls apart into lines
+    that cannot be read.
+    """
+    return spark.read.schema(schema).option("lineSep", NO_LINE_END)
+
+
 def read_slurm_files(spark: SparkSession, path: str) -> DataFrame:
     """Scheduler jobs from files that each hold one JSON document."""
     return (
-        spark.read.schema(schemas.slurm_jobs())
-        .option("multiLine", True)
+        _whole_documents(spark, schemas.slurm_jobs())
         .json(path)
         .transform(lambda docs: rows.structs(docs, [], F.col("jobs"), always="job_id"))
     )
@@ -158,8 +171,8 @@ def slurm_file_documents(spark: SparkSession, path: str) -> DataFrame:
     whole document, holds no list of jobs, or only blanks, has its ``fault`` told.
     """
     read = (
-        spark.read.schema(schemas.slurm_jobs() + ", _bad STRING")
-        .option("multiLine", True).option("mode", "PERMISSIVE")
+        _whole_documents(spark, schemas.slurm_jobs() + ", _bad STRING")
+        .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True)
         .json(path)
         .select("jobs", "_bad", F.col("_metadata.file_path").alias("file"))
@@ -181,7 +194,8 @@ def slurm_file_faults(documents: DataFrame) -> DataFrame:
     """``file`` and ``reason`` of files that cannot be read or whose jobs have no id."""
     nameless = F.exists("jobs", lambda job: job["job_id"].isNull())
     reason = F.coalesce("fault", F.when(nameless, NAMELESS_JOB))
-    return documents.select("file", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    told = documents.select("file", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return told.distinct()
 
 
 def trip_lines(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:

@@ -114,6 +114,34 @@ def test_faults_of_slurm_files_are_told(spark, tmp_path):
     }
 
 
+def test_slurm_files_are_read_about_once(spark, tmp_path):
+    """Job ids that are numbers do not send the reader back to the file."""
+    path = tmp_path / "queue.json"
+    jobs = ",\n".join(f'{{"job_id": {i}, "nodes": {{"a": [{i}, 1.50]}}}}' for i in range(5000))
+    path.write_text(f'{{"jobs": [\n{jobs}\n]}}')
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
+
+    def read():
+        return sum(some.getBytesRead() for some in files.getAllStatistics())
+
+    for load in (
+        lambda: landing.read_slurm_files(spark, str(path)),
+        lambda: landing.slurm_file_jobs(landing.slurm_file_documents(spark, str(path))),
+    ):
+        before, found = read(), load().select("job_id", "nodes").collect()
+        assert read() - before < 10 * path.stat().st_size
+        assert {(r.job_id, r.nodes) for r in found} == {
+            (str(i), f'{{"a": [{i}, 1.50]}}') for i in range(5000)}
+
+
+def test_slurm_files_that_are_not_utf8_are_told_once(spark, tmp_path):
+    for code in ("utf-16", "utf-16-be", "utf-32"):
+        (tmp_path / f"{code}.json").write_bytes('{"jobs": [{"job_id": 7}]}'.encode(code))
+    documents = landing.slurm_file_documents(spark, str(tmp_path))
+    assert landing.slurm_file_jobs(documents).collect() == []
+    assert [r.reason for r in landing.slurm_file_faults(documents).collect()] == [landing.UNREADABLE] * 3
+
+
 def test_lookup_takes_the_first(spark):
     jobs = spark.createDataFrame(
         [("7", 2, "late"), ("7", 1, "early"), ("x", 0, "bad"), ("8", 3, "other")],
