@@ -6,6 +6,8 @@ stream spans batches.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import liveness as liveness_ops
@@ -21,8 +23,8 @@ from fleetgauge.sources.tables import table
 from fleetgauge.streaming import history, liveness, push, selection, snapshots, timelines
 from fleetgauge.streaming.ingest import run_available, stream_files
 
-# Micro-batches that each table arrives in.
-BATCHES = 4
+# Micro-batches that each table arrives in, and the rows that a landed file may hold about.
+BATCHES, FILE_ROWS = 4, 250_000
 
 
 def landed(spark, sf_dir, name):
@@ -118,21 +120,28 @@ FILES, SOME = 4, 97
 def landed_late(spark, rows, number, jitter):
     """Rows (with ``seconds``) as a stream of files in order, then one row far ahead.
 
-    The last row moves the watermark past all others; its key is null throughout.
+    Each of the ``FILES`` is a share of files of about ``FILE_ROWS`` rows, and a micro-batch
+    of its own. The last row moves the watermark past all others; its key is null throughout.
     """
-    end = rows.agg(F.max("seconds")).first()[0] or 0
+    first, end, count = rows.agg(F.min("seconds"), F.max("seconds"), F.count(F.lit(1))).first()
+    first, end = first or 0, end or 0
     folder = new_folder(spark, "landed-late")
     arrival = F.col("seconds") + F.pmod(F.col(number) * 7919, F.lit(jitter))
-    first = rows.agg(F.min("seconds")).first()[0] or 0
     file = F.floor((arrival - first) * FILES / F.lit(end - first + jitter))
     file = F.when(F.col(number) % SOME == 5, FILES - 1).otherwise(file)
     placed = rows.withColumn("_file", file)
+    share = max(1, math.ceil(count / (FILES * FILE_ROWS)))
+    nobody = [F.lit(None).cast(field.dataType).alias(field.name) for field in rows.schema]
+    slot = F.pmod(F.xxhash64("seconds", number), F.lit(share)).cast("int").alias("_slot")
     for part in range(FILES):
-        placed.filter(F.col("_file") == part).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+        # A row without a time, which has no place in the order, lets no file be missing.
+        some = placed.filter(F.col("_file") == part).select(*rows.columns, slot)
+        every = some.unionByName(spark.range(share).select(*nobody, F.col("id").cast("int").alias("_slot")))
+        every.repartitionById(share, "_slot").drop("_slot").write.mode("append").parquet(folder)
     ahead = [F.lit(end + 10**9).cast("bigint").alias("seconds") if c == "seconds"
              else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
     spark.range(1).select(*ahead).coalesce(1).write.mode("append").parquet(folder)
-    stream = stream_files(spark, folder, rows.schema, files_per_batch=1)
+    stream = stream_files(spark, folder, rows.schema, files_per_batch=share)
     return stream.withColumn("ts", F.timestamp_seconds("seconds"))
 
 

@@ -10,6 +10,7 @@ and the machine's own few values.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -19,6 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Rows of a piece of state or of output.
+PIECE = 10_000
+
+
+def _pieces(rows: list[tuple]) -> list[tuple]:
+    return [(pickle.dumps(rows[at : at + PIECE]),) for at in range(0, len(rows), PIECE)]
+
+
 class InOrder(StatefulProcessor):
     """Base of a machine; a subclass says what rows in order, and time alone, give.
 
@@ -55,16 +64,12 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"ts bigint, place bigint, {self.fields}")
+        # Rows are held by the piece, not one by one: each item of state is a call to Spark.
+        self.held = handle.getListState("held", "piece binary")
         self.values = handle.getValueState("own", self.own)
         self.timer = handle.getValueState("timer", "at bigint")
 
-    def _set_timer(self, held: list[tuple], own: tuple | None) -> None:
-        moments = [row[0] for row in held]
-        if own is not None and (moment := self.wait(own)) is not None:
-            moments.append(moment)
-        before = self.timer.get()[0] if self.timer.exists() else None
-        after = min(moments, default=None)
+    def _set_timer(self, before: int | None, after: int | None) -> None:
         if before == after:
             return
         if before is not None:
@@ -76,51 +81,62 @@ class InOrder(StatefulProcessor):
             self.timer.update((after,))
 
     def _frame(self, key: Any, given: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(given, columns=[*self.gives], dtype=object)
-        for name, part in reversed(list(zip(self.keys, key, strict=True))):
-            frame.insert(0, name, pd.Series([part] * len(frame), dtype=object))
-        return frame
+        columns = {name: [part] * len(given) for name, part in zip(self.keys, key, strict=True)}
+        columns |= zip(self.gives, zip(*given, strict=True), strict=True)
+        return pd.DataFrame(columns, dtype=object)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
         now, first = timerValues.getCurrentWatermarkInMs(), []
         for frame in rows:  # one Arrow batch at a time
-            columns = ["ts", "place", *frame.columns[len(self.keys) + 2 :]]
-            every = [
-                tuple(None if pd.isna(x) else x for x in row)
-                for row in frame[columns].astype(object).itertuples(index=False, name=None)
+            columns = [frame[name] for name in ("ts", "place", *frame.columns[len(self.keys) + 2 :])]
+            values = [
+                [None if gone else x for x, gone in zip(c.tolist(), c.isna(), strict=True)]
+                if c.hasnans else c.tolist() for c in columns
             ]
+            every = list(zip(*values, strict=True))
             timely = [row for row in every if row[0] > now]
             if timely:
-                self.held.appendList(timely)
-                first.append(min(row[:2] for row in timely))
+                self.held.appendList(_pieces(timely))
+                first.append(min(row[0] for row in timely))
             if len(timely) < len(every):
                 yield self._frame(key, [self.late(row) for row in every if row[0] <= now])
         if first:
-            at = self.timer.get() if self.timer.exists() else None
-            self._set_timer([min(first), *([at] if at else [])], None)
+            at = self.timer.get()
+            before = None if at is None else at[0]
+            self._set_timer(before, min(first) if before is None else min(*first, before))
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(row) for row in self.held.get()] if self.held.exists() else []
-        turn = sorted((row for row in held if row[0] <= now), key=lambda row: row[:2])
-        rest = [row for row in held if row[0] > now]
-        own: tuple | None = tuple(self.values.get()) if self.values.exists() else self.start
+        now, turn, rest = timerValues.getCurrentWatermarkInMs(), [], []
+        for (piece,) in self.held.get():
+            for row in pickle.loads(piece):
+                (turn if row[0] <= now else rest).append(row)
+        turn.sort(key=lambda row: row[:2])
+        if turn:
+            self.held.put(_pieces(rest)) if rest else self.held.clear()
+        values = self.values.get()
+        own: tuple | None = self.start if values is None else tuple(values)
         given: list[tuple] = []
         for row in turn:
             own, some = self.step(own, row)
             given += some
+            if len(given) >= PIECE:
+                yield self._frame(key, given)
+                given = []
         while own is not None and (moment := self.wait(own)) is not None and moment <= now:
             own, some = self.pass_by(own, moment)
             given += some
-        if turn:
-            self.held.put(rest) if rest else self.held.clear()
         self.values.clear() if own is None else self.values.update(own)
-        self.timer.clear()  # it has just gone off
-        self._set_timer(rest, own)
+        moments = [row[0] for row in rest]
+        if own is not None and (moment := self.wait(own)) is not None:
+            moments.append(moment)
+        if moments:
+            self._set_timer(None, min(moments))  # the one before has just gone off
+        else:
+            self.timer.clear()
         if given:
             yield self._frame(key, given)
 

@@ -2,14 +2,16 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fleetgauge.plans import streams
 from fleetgauge.session import new_folder
 from fleetgauge.streaming.history import batch_sink, read_batches
 from fleetgauge.streaming.ingest import run_available, stream_files
 from fleetgauge.streaming.liveness import LATE, REPORTED, SILENT, stream_cluster_up
-from fleetgauge.streaming.selection import stream_sticky_entity
+from fleetgauge.streaming.selection import Sticky, stream_sticky_entity
 from test_selection import brute_force
 
 START = 1_000_000
@@ -124,3 +126,89 @@ def test_silence_is_told_while_the_cluster_stays_silent(spark):
 def test_an_interval_longer_than_memory_is_refused():
     with pytest.raises(ValueError):
         stream_cluster_up(None, ["cluster"], "number", "ts", "1 second", 30, 10)
+
+
+class Calls:
+    """Stands for the state that Spark keeps, and counts what is put into it."""
+
+    def __init__(self):
+        self.items, self.timers = {}, set()
+
+    def getListState(self, name, schema):
+        return State(self.items.setdefault(name, []))
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, items):
+        self.items = items
+
+    def get(self):
+        return iter(list(self.items)) if self.items and isinstance(self.items[0][0], bytes) else (
+            self.items[0] if self.items else None)
+
+    def exists(self):
+        return bool(self.items)
+
+    def appendList(self, some):
+        self.items += some
+
+    def put(self, some):
+        self.items[:] = some
+
+    def update(self, one):
+        self.items[:] = [one]
+
+    def clear(self):
+        self.items.clear()
+
+
+class Mark(int):
+    def getCurrentWatermarkInMs(self):
+        return int(self)
+
+
+def test_rows_are_held_in_few_items_of_state():
+    """Each item is a call to Spark, so a busy key must not make one of every row."""
+    machine, calls = Sticky(["cluster"]), Calls()
+    machine.init(calls)
+    number = 25_000
+    frame = pd.DataFrame({
+        "cluster": "a", "ts": range(1, number + 1), "place": range(number),
+        "candidate": [None, "x"] * (number // 2), "ok": True,
+    })[::-1]
+    assert list(machine.handleInputRows(("a",), iter([frame]), Mark(0))) == []
+    assert len(calls.items["held"]) <= 3 and calls.timers == {1}
+    for mark, want in ((10, 9), (number, number - 10)):
+        told = pd.concat(machine.handleExpiredTimer(("a",), Mark(mark), None))
+        assert len(told) == want and set(told["entity_id"]) == {"x"}
+        assert list(told["place"]) == sorted(told["place"])
+    assert calls.items["held"] == []
+
+
+def batches_of(spark, stream):
+    """The rows of each micro-batch of a stream, and the number of files they come from."""
+    out = []
+    run_available(spark, stream.withColumn("_file", F.input_file_name()).writeStream.foreachBatch(
+        lambda batch, _: out.append(batch.collect())))
+    return [(rows, len({r["_file"] for r in rows})) for rows in out]
+
+
+def test_rows_landed_late_keep_their_micro_batch(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    rows = spark.range(1, 1001).select("id", F.col("id").alias("seconds"))
+    found = batches_of(spark, streams.landed_late(spark, rows, "id", 3))
+    assert [files for _, files in found] == [5] * streams.FILES + [1]
+    last = streams.FILES - 1
+    want = [set() for _ in range(streams.FILES)]
+    for i in range(1, 1001):
+        late = i % streams.SOME == 5
+        want[last if late else (i + i * 7919 % 3 - 1) * streams.FILES // (999 + 3)].add(i)
+    assert [{r.id for r in rows if r.id is not None} for rows, _ in found[:-1]] == want
