@@ -24,17 +24,20 @@ from fleetgauge.streaming import history, liveness, push, selection, snapshots,
 from fleetgauge.streaming.ingest import run_available, stream_files
 
 # Micro-batches that each table arrives in, and the rows that a landed file may hold about.
-BATCHES, FILE_ROWS = 4, 250_000
+BATCHES, FILE_ROWS = 4, 100_000
 
 
 def landed(spark, sf_dir, name):
-    """A table as a stream of files, dealt to the micro-batches by a hash of its rows."""
+    """A table as a stream of files, dealt to them by a hash of its rows.
+
+    The files grow in number with the table, not in size, so that each is written and read
+    by a task of its own; a micro-batch takes its share of them.
+    """
     rows = table(spark, sf_dir, name)
     folder = new_folder(spark, f"landed-{name}")
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
-    rows.withColumn("_part", part).repartition(BATCHES, "_part").write.partitionBy("_part").parquet(folder)
-    schema = rows.schema.add("_part", "integer")
-    return stream_files(spark, folder, schema, files_per_batch=1).drop("_part")
+    share = max(1, math.ceil(rows.count() / (BATCHES * FILE_ROWS)))
+    rows.repartition(BATCHES * share, F.xxhash64(*rows.columns)).write.parquet(folder)
+    return stream_files(spark, folder, rows.schema, files_per_batch=share)
 
 
 def _events(spark, sf_dir):

@@ -201,6 +201,14 @@ def batches_of(spark, stream):
     return [(rows, len({r["_file"] for r in rows})) for rows in out]
 
 
+def test_landed_tables_come_in_more_files_as_they_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    spark.range(1000).write.parquet(str(tmp_path / "events.parquet"))
+    found = batches_of(spark, streams.landed(spark, str(tmp_path), "events"))
+    assert [files for _, files in found] == [5] * streams.BATCHES
+    assert sorted(r.id for rows, _ in found for r in rows) == list(range(1000))
+
+
 def test_rows_landed_late_keep_their_micro_batch(spark, monkeypatch):
     monkeypatch.setattr(streams, "FILE_ROWS", 50)
     rows = spark.range(1, 1001).select("id", F.col("id").alias("seconds"))
