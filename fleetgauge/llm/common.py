@@ -81,12 +81,13 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
 def sliced(
     df: DataFrame, text: str, work: Callable[[pa.RecordBatch], dict],
     schema: str | StructType,
+    keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter,
 ) -> DataFrame:
-    """``work`` on slices of ``df``, as new columns by name."""
+    """``work`` on slices of those rows of ``df`` that ``keep`` leaves, as new columns by name."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(keep(batches), text):
             made = work(part)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -9,12 +9,17 @@ sets go by it.
    whole prefix is made of such shingles is linked with nothing. They are counted per
    set, of a share ``SAMPLED`` of all shingles by hash, which takes two shuffles of
    hashes. That a set has many such shingles is all that is kept of this order.
-2. Other orders go by hashes of the shingles. The remaining sets' prefix tokens under one
-   of them are buckets: they hold those of the first order's prefix that other sets can
-   have too. A pair must also share a prefix token under each further order, and pass the
-   bounds on sizes and on parities: each set has 512 bits, the parities of its shingles by
-   hash, and sets differ in at least as many shingles as bits.
-3. Equal sets are one. Pairs that pass all filters are verified on the whole texts. Pairs
+2. The remaining sets are dealt by hash into more parts than linked sets of their size
+   class differ in shingles, so some parts of theirs are equal. Of m parts, where sets
+   differ in k shingles at most, m - k are equal at least, so one is left if each set
+   leaves out its m - k - 1 smallest. The kept parts are buckets: a bucket's sets have
+   several shingles in common, not one, so that it stays small however large the input is.
+   A set goes by its own size class and by the one below, as linked sets are of the same
+   class or of neighbours.
+3. Other orders go by hashes of the shingles. A pair must share a prefix token under each
+   of them, and pass the bounds on sizes and on parities: each set has 512 bits, the
+   parities of its shingles by hash, and sets differ in at least as many shingles as bits.
+4. Equal sets are one. Pairs that pass all filters are verified on the whole texts. Pairs
    are made in waves (``waves``), because only components are wanted: texts that
    already hang together are never paired, so a large group of near copies costs a few
    pairs for each of its members, and no link between different components is lost.
@@ -43,6 +48,9 @@ from fleetgauge.llm.waves import (
     connected,
     likely,
     low_half,
+    marked,
+    met,
+    place,
     shared_buckets,
     texts_of,
 )
@@ -60,8 +68,17 @@ ORDERS, PARITY_WORDS = 3, 8
 #: Words of the parity bits that pairs are held against before their texts are read.
 WIDE = 64
 
+#: Texts whose many parity bits are counted at once.
+PARITY_TEXTS = 128
+
 _SALT = 0xA0761D6478BD642F
 
+#: Least sizes of the size classes. Of linked sets the larger one, which has at most ten
+#: ninths of the other's size, is of the same class or of the next.
+CLASSES = [1]
+while CLASSES[-1] < 1 << 40:
+    CLASSES.append(-(-10 * CLASSES[-1] // 9))
+
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the index of the text it stands in."""
@@ -124,6 +141,48 @@ def first_of(
     return hashes[kept], of[kept]
 
 
+def differing(size_class: np.ndarray) -> np.ndarray:
+    """In how many shingles linked sets can differ, the smaller of which is of the class.
+
+    Sets of a and b shingles are linked if they differ in at most (a + b) / 19 of them.
+    """
+    largest = np.array(CLASSES, np.int64)[size_class + 1] - 1  # of the class
+    return (100 - PERCENT) * (largest + 100 * largest // PERCENT) // (100 + PERCENT)
+
+
+def equal_parts(
+    hashes: np.ndarray, of: np.ndarray, size: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sums that name parts of every text's set, and their texts, sorted by text.
+
+    Linked sets that are not equal share one at least.
+    """
+    own = np.searchsorted(CLASSES, size, "right") - 1
+    found = []
+    for below in (0, 1):
+        classes = own - below
+        may = differing(np.maximum(classes, 0))
+        dealt = (classes >= 0) & (may > 0)
+        kept = np.where(dealt, may + 1, 0)
+        parts = np.where(dealt, kept + 1 + kept // 4, 0)
+        first = np.cumsum(parts) - parts
+        text = np.repeat(np.arange(len(size)), parts)
+        place = np.arange(len(text)) - first[text]
+        there = dealt[of]
+        h, t = hashes[there], of[there]
+        slot = first[t] + (mix(h + np.uint64(_SALT)) % parts[t].astype(np.uint64)).astype(np.int64)
+        members = np.bincount(slot, minlength=len(text))
+        sums = mix((classes[text].astype(np.uint64) << np.uint64(44)) + place.astype(np.uint64))
+        np.add.at(sums, slot, mix(h))
+        # The smallest parts are left out; equal parts are equally large and in one place.
+        order = np.lexsort([place, -members, text])
+        order = order[place < kept[text]]
+        found.append((mix(sums[order]), text[order]))
+    names, text = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(text, kind="stable")
+    return names[order], text[order]
+
+
 def set_keys(hashes: np.ndarray, of: np.ndarray, texts: int, salt: int) -> np.ndarray:
     """A sum that names each text's set."""
     keys = np.zeros(texts, np.uint64)
@@ -158,33 +217,60 @@ def sole_shingles(docs: DataFrame, text: str = "text", sampled: float = SAMPLED)
     )
 
 
-def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every row its set's size, two sums that name it, its parities and prefixes."""
+def named(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of every row its set's size and two sums that name it."""
     read = docs.select(
         column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text")
     )
 
+    def work(part: pa.RecordBatch) -> dict:
+        n = part.num_rows
+        hashes, of = shingles(part.column("text").to_pylist())
+        return {
+            "doc_id": part.column("doc_id"), "n": np.bincount(of, minlength=n),
+            "key1": set_keys(hashes, of, n, 1), "key2": set_keys(hashes, of, n, 2),
+        }
+
+    return sliced(read, "text", work, "doc_id bigint, n bigint, key1 bigint, key2 bigint")
+
+
+def wide_parities(hashes: np.ndarray, of: np.ndarray, texts: int) -> list[np.ndarray]:
+    """The many parity bits of every text, for a few texts at a time."""
+    found = []
+    for first in range(0, texts, PARITY_TEXTS):
+        some = min(PARITY_TEXTS, texts - first)
+        a, b = np.searchsorted(of, [first, first + some])
+        found += list(parities(hashes[a:b], of[a:b] - first, np.ones(b - a), some, WIDE))
+    return found
+
+
+def signed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of the rows (id, text) whose id is in ``ids``, and a few others, their set's size
+    and names, its parities, parts and prefixes."""
+
     def work(part: pa.RecordBatch) -> dict:
         n = part.num_rows
         hashes, of = shingles(part.column("text").to_pylist())
         size = np.bincount(of, minlength=n)
         made = {
-            "doc_id": part.column("doc_id"), "n": size,
+            "id": part.column("id"), "n": size,
             "key1": set_keys(hashes, of, n, 1), "key2": set_keys(hashes, of, n, 2),
             "parity": list(parities(hashes, of, np.ones(len(of)), n, PARITY_WORDS)),
-            "wide": list(parities(hashes, of, np.ones(len(of)), n, WIDE)),
+            "wide": wide_parities(hashes, of, n),
         }
+        names, text_of = equal_parts(hashes, of, size)
+        made["buckets"] = _lists(names.view(np.int64), text_of, n)
         for order in range(ORDERS):
             tokens, text_of = first_of(hashes, of, prefix_sizes(size), order)
-            values = tokens.view(np.int64) if not order else tokens.astype(np.uint32).view(np.int32)
-            made["buckets" if not order else f"prefix{order}"] = _lists(values, text_of, n)
+            made[f"prefix{order}"] = _lists(tokens.astype(np.uint32).view(np.int32), text_of, n)
         return made
 
-    others = ", ".join(f"prefix{k} array<int>" for k in range(1, ORDERS))
+    prefixes = ", ".join(f"prefix{k} array<int>" for k in range(ORDERS))
     return sliced(
-        read, "text", work,
-        "doc_id bigint, n bigint, key1 bigint, key2 bigint, parity array<bigint>, wide array<bigint>,"
-        f" buckets array<bigint>, {others}",
+        docs.filter("id IS NOT NULL").select("id", "text", place("id")), "text", work,
+        "id bigint, n bigint, key1 bigint, key2 bigint, parity array<bigint>,"
+        f" wide array<bigint>, buckets array<bigint>, {prefixes}",
+        marked(ids),
     )
 
 
@@ -200,11 +286,11 @@ def bound(bits: str = "parity", words: int = PARITY_WORDS) -> Column:
 
 
 def other_orders() -> Column:
-    """Whether sets share a prefix token under every further order, and pass the wide bound."""
-    met = bound("wide", WIDE)
-    for k in range(1, ORDERS):
-        met = met & F.arrays_overlap(f"prefix{k}", f"prefix{k}_")
-    return met
+    """Whether sets share a prefix token under every order by hash, and pass the wide bound."""
+    passed = bound("wide", WIDE)
+    for k in range(ORDERS):
+        passed = passed & F.arrays_overlap(f"prefix{k}", f"prefix{k}_")
+    return passed
 
 
 def verified(left: list[str], right: list[str]) -> np.ndarray:
@@ -223,9 +309,14 @@ def verified(left: list[str], right: list[str]) -> np.ndarray:
 
 def linked(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that pass the further orders, then the whole texts."""
-    both = likely(pairs, prefixes, other_orders()).join(
-        texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
-    ).join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    # Few sets may be left in a wave, so only theirs are shuffled.
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    pairs = stored(pairs, "made-pairs")
+    pairs = stored(likely(pairs, met(prefixes, ends(pairs)), other_orders()), "likely-pairs")
+    read = met(texts, ends(pairs))
+    both = pairs.join(
+        read.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
+    ).join(read.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def work(part: pa.RecordBatch) -> dict:
         like = verified(part.column("text_a").to_pylist(), part.column("text_b").to_pylist())
@@ -236,35 +327,39 @@ def linked(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame) -> DataFrame
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    rows = stored(signed(docs, doc_id, text), "sets")
+    rows = stored(named(docs, doc_id, text), "sets")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    # A set goes by the smallest document that has it.
+    of_set = stored(
+        known.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")),
+        "names-of-sets",
+    )
     # Sets that have too many shingles for themselves to be linked with any other.
     sole = sole_shingles(docs, text)
-    alone = F.coalesce("sole", F.lit(0)) >= F.col("prefix")
+    prefix = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1
     open_sets = stored(
-        known.select("key1", F.size("buckets").alias("prefix")).distinct()
-        .join(sole, "key1", "left").filter(~alone).select("key1").distinct(),
+        of_set.join(sole, "key1", "left").filter(F.coalesce("sole", F.lit(0)) < prefix)
+        .select("id", "key1", "key2"),
         "open-sets",
     )
-    # A set goes by the smallest document that has it.
-    named = ["n", "parity", "wide", "buckets", *(f"prefix{k}" for k in range(1, ORDERS))]
+    read = docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
+    # Parities, parts and prefixes are large; they are worked out for these sets only.
+    some = signed(read, open_sets).join(open_sets, ["id", "key1", "key2"], "left_semi")
+    of_sets = ["n", "parity", "wide", "buckets", *(f"prefix{k}" for k in range(ORDERS))]
     sets = stored(
-        known.join(open_sets, "key1", "left_semi").groupBy("key1", "key2").agg(
-            F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in named)
-        ),
+        some.groupBy("id", "key1", "key2").agg(*(F.first(c).alias(c) for c in of_sets)),
         "distinct-sets",
     )
     shared = stored(
         shared_buckets(sets.select("id", F.explode("buckets").alias("bucket"))), "shared-buckets"
     )
-    read = docs.select(column(doc_id).cast("bigint").alias("id"), column(text).alias("text"))
     texts = stored(texts_of(read, shared.select("id").distinct()), "candidate-texts")
-    facts = sets.select("id", "n", "parity", F.transform("buckets", low_half).alias("buckets"))
-    prefixes = sets.select("id", "n", "wide", *(f"prefix{k}" for k in range(1, ORDERS)))
+    # Sets that share no part with any other are linked with nothing.
+    candidates = stored(met(sets.drop("buckets"), shared.select("id")), "candidates")
+    in_buckets = shared.groupBy("id").agg(F.collect_list(low_half(F.col("bucket"))).alias("buckets"))
+    facts = stored(candidates.select("id", "n", "parity").join(in_buckets, "id"), "facts")
+    prefixes = candidates.select("id", "n", "wide", *(f"prefix{k}" for k in range(ORDERS)))
     labels = connected(shared, facts, bound(), lambda pairs: linked(pairs, prefixes, texts))
-    of_set = stored(
-        known.groupBy("key1", "key2").agg(F.min("doc_id").alias("id")), "names-of-sets"
-    )
     # Documents with several sets tie these together.
     several = known.select("doc_id", "key1", "key2").join(of_set, ["key1", "key2"]).groupBy("doc_id").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.collect_set("id").alias("ids")

@@ -112,35 +112,53 @@ def likely(pairs: DataFrame, facts: DataFrame, may_link: Column) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(may_link).select("a", "b")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those rows of ``docs`` (id, text) whose id is in ``ids``.
+def place(x: str) -> Column:
+    """The place of an id in the map of :func:`marked`."""
+    return F.xxhash64(x).bitwiseAND(F.lit((1 << BITS) - 1)).alias("bit")
+
+
+def marked(ids: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What keeps rows, by their ``bit`` (:func:`place`), whose id is in ``ids``, and a few others.
 
-    Rows are first looked up in a bitmap of fixed size where they are read, so that hardly
-    any other text is shuffled.
+    They are looked up in a bitmap where they are read, without a shuffle. It has 512 bits
+    for each id or more, up to a fixed size.
     """
-    spark = docs.sparkSession
-    place = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << BITS) - 1))
     marks = (
-        ids.select(place("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+        ids.select(place("id")).groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
         .toArrow()  # as many rows as the map has words, at most
     )
     bitmap = np.zeros(1 << (BITS - 6), np.uint64)
     bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-    known = spark.sparkContext.broadcast(bitmap)
+    while len(bitmap) > max(1 << 10, 16 * marks.num_rows):
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] | bitmap[half:]
+    last = 64 * len(bitmap) - 1
+    known = ids.sparkSession.sparkContext.broadcast(bitmap)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
+            bit = batch.column("bit").to_numpy() & last
             hit = (known.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
+            yield batch.drop_columns(["bit"]).filter(pa.array(hit.astype(bool)))
 
-    met = (
-        docs.filter("id IS NOT NULL").select("id", "text", place("id").alias("bit"))
-        .mapInArrow(keep, "id bigint, text string")
-    )
+    return keep
+
+
+def met(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in ``ids``, and a few others (:func:`marked`)."""
+    return rows.filter("id IS NOT NULL").select("*", place("id")).mapInArrow(marked(ids), rows.schema)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those rows of ``docs`` (id, text) whose id is in ``ids``.
+
+    Hardly any other text is shuffled (:func:`met`).
+    """
     # The merge hint keeps one plan at every size: ids grow with the documents.
-    return met.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+    return met(docs.select("id", "text"), ids).join(
+        ids.select("id").distinct().hint("merge"), "id", "left_semi"
+    )
 
 
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:

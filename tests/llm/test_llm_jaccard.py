@@ -110,6 +110,54 @@ def test_linked_sets_pass_every_filter(texts, draw):
                     assert sole[i] < sizes[i] and sole[j] < sizes[j]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 45), st.integers(0, 45), st.integers(0, 2**32))
+def test_linked_sets_share_a_part(n, fewer, more, seed):
+    """Sets that are linked, of any sizes, equal ones apart; those of one size class too."""
+    draw = np.random.default_rng(seed)
+    h = draw.integers(0, 2**64, n + more, np.uint64)
+    sets = [set(h[:n].tolist()), set(h[min(fewer, n - 1):].tolist())]
+    hashes = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in sets])
+    size = np.array([len(s) for s in sets])
+    names, text = jaccard.equal_parts(hashes, np.repeat([0, 1], size), size)
+    assert (np.diff(text) >= 0).all()
+    shared = set(names[text == 0].tolist()) & set(names[text == 1].tolist())
+    both = len(sets[0] & sets[1])
+    if sets[0] != sets[1] and 100 * both >= 90 * (sum(size) - both):
+        assert shared
+    if not both and size.min() > 20:
+        assert not shared
+
+
+def test_every_linked_pair_of_sizes_is_in_one_class_or_the_next():
+    for a in range(1, 3000):
+        low, high = np.searchsorted(jaccard.CLASSES, [a, 10 * a // 9], "right") - 1
+        assert high - low <= 1
+        assert jaccard.differing(low) >= (a + 10 * a // 9) // 19
+
+
+def test_unlike_sets_cost_nothing_after_they_are_named(spark, frame, monkeypatch):
+    """Texts of sentences that others have too, but no two texts alike: no set has shingles
+    of its own, and none is in a bucket for one shingle it shares."""
+    draw = random.Random(7)
+    pool = [" ".join(draw.choices("abcdefghijklm", k=12)) for _ in range(60)]
+    rows = [(i, " . ".join(draw.sample(pool, 12))) for i in range(150)]
+    rows += [(1000 + i, f"text {i} is all its own " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(50)]
+    rows.append((2000, rows[0][1] + " end"))
+    written = {}
+
+    def stored(df, name, real=jaccard.stored):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    assert found(frame(rows, SCHEMA)) == plain(rows)
+    assert written["sets"].columns == ["doc_id", "n", "key1", "key2"]
+    assert 100 < written["distinct-sets"].count() < 180
+    assert written["shared-buckets"].count() < 4 * 151
+    assert written["candidate-texts"].count() < 60
+
+
 def test_sole_shingles(spark, frame):
     rows = [(i, f"common words here own{i} text{i % 4}") for i in range(8)] + [(9, "a b c"), (10, "A B c")]
     found = {r.key1: r.sole for r in jaccard.sole_shingles(frame(rows, SCHEMA), sampled=1 - 1e-12).collect()}
